@@ -242,21 +242,29 @@ def _cut_words(batch: pa.RecordBatch, key: np.ndarray, lo: np.ndarray, hi: np.nd
         if with_text:
             kept.append(out.decode("utf-8", "replace"))
     columns = {"rid": batch.column("rid"), "doc_id": batch.column("doc_id"), "n_words": pa.array(np.diff(first), pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(sha, pa.string())}
-    if with_text:
-        columns |= {"kept_text": pa.array(kept, pa.string())}
+    if with_text:  # a text that loses nothing stays as it is, blanks and all
+        whole = batch.column("text").to_pylist()
+        columns |= {"kept_text": pa.array([t if r == 0 else k for t, k, r in zip(whole, kept, removed.tolist(), strict=True)], pa.string())}
+    if "row" in batch.schema.names:
+        columns["row"] = batch.column("row")
     return pa.RecordBatch.from_pydict(columns)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIMISER, with_text: bool = True) -> DataFrame:
-    """(rid, doc_id, n_words, n_removed, kept_sha256[, kept_text]) of every row of docs; rid is common.row_key()."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("rid", row_key())
+    """(rid, doc_id, n_words, n_removed, kept_sha256[, kept_text][, row]) of every row of docs; rid is common.row_key().
+
+    A struct column `row` of docs is carried along.
+    """
+    carried = [c for c in docs.columns if c == "row"]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carried).withColumn("rid", row_key())
     buckets, parts = parts_for(docs.select("text"), BUCKET_BYTES), parts_for(docs.select("text"), TEXT_BYTES)
-    packed = rows.mapInArrow(_send(window, minimiser, buckets), "bucket int, blob binary").repartitionById(buckets, F.col("bucket"))
+    packed = rows.select("doc_id", "text", "rid").mapInArrow(_send(window, minimiser, buckets), "bucket int, blob binary").repartitionById(buckets, F.col("bucket"))
     found = packed.mapInArrow(_judge(window, parts), "part int, spans binary")
-    texts = rows.select(F.pmod("rid", F.lit(parts)).cast("int").alias("part"), "doc_id", "rid", "text", F.lit(None).cast("binary").alias("spans"))
-    none = [F.lit(None).cast(t).alias(c) for c, t in (("doc_id", "long"), ("rid", "long"), ("text", "string"))]
+    texts = rows.select(F.pmod("rid", F.lit(parts)).cast("int").alias("part"), "doc_id", "rid", "text", *carried, F.lit(None).cast("binary").alias("spans"))
+    none = [F.lit(None).cast(texts.schema[c].dataType).alias(c) for c in ("doc_id", "rid", "text", *carried)]
     both = texts.unionByName(found.select("part", *none, "spans")).repartitionById(parts, F.col("part"))
     schema = "rid long, doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
+    schema += "".join(f", row {rows.schema[c].dataType.simpleString()}" for c in carried)
     return both.mapInArrow(_apply(with_text), schema)
 
 
