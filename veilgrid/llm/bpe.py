@@ -6,6 +6,11 @@ list; every mergeable neighbouring pair waits in the bucket of its rank, and thr
 rank, its bucket the leftmost position; entries whose pair has changed meanwhile are skipped.
 The cost is near linear in the pre-token's length, however long it is.
 
+Pre-tokens of up to SHORT bytes that a task has not seen yet are merged many at once: they share
+one queue, whose buckets hold positions over all of them, and a bucket gives the leftmost
+position of each pre-token in one vectorised step.  Pre-tokens don't interact, so each sees its
+own merges in its own order.  Longer ones have a queue each.
+
 Merged pre-tokens are remembered in a bounded table (REMEMBERED entries), which changes speed
 only.  Defined cases: null and empty texts have no ids; ids of equal texts are equal; every byte
 has a token, so decoding gives back exactly the text's UTF-8 bytes.
@@ -27,53 +32,117 @@ from pyspark.sql import functions as F
 
 from .common import load, steps
 
-REMEMBERED = 300_000
-#: Pre-tokens longer than this are not remembered.
-_SHORT = 64
+REMEMBERED = 600_000
+#: Longer pre-tokens are merged alone and not remembered.
+SHORT = 64
 
 
-class RankQueue:
-    """Positions by rank; pop() gives the lowest rank's leftmost position."""
+class RankBits:
+    """A set of ranks as three levels of 64-bit words; first() finds the least."""
 
     def __init__(self):
-        self.buckets: dict[int, list[int]] = {}
         self.low: dict[int, int] = {}
         self.mid: dict[int, int] = {}
         self.top = 0
 
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket:
-            heapq.heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
+    def add(self, rank: int) -> None:
         a, b = rank >> 6, rank >> 12
         self.low[a] = self.low.get(a, 0) | 1 << (rank & 63)
         self.mid[b] = self.mid.get(b, 0) | 1 << (a & 63)
         self.top |= 1 << b
 
-    def pop(self) -> tuple[int, int] | None:
+    def first(self) -> int:
+        """The least rank, or -1."""
         top = self.top
         if not top:
-            return None
+            return -1
         b = (top & -top).bit_length() - 1
         mid = self.mid[b]
         a = b << 6 | (mid & -mid).bit_length() - 1
         low = self.low[a]
-        rank = a << 6 | (low & -low).bit_length() - 1
+        return a << 6 | (low & -low).bit_length() - 1
+
+    def remove(self, rank: int) -> None:
+        a, b = rank >> 6, rank >> 12
+        self.low[a] &= ~(1 << (rank & 63))
+        if not self.low[a]:
+            self.mid[b] &= ~(1 << (a & 63))
+            if not self.mid[b]:
+                self.top &= ~(1 << b)
+
+
+class RankQueue(RankBits):
+    """Positions by rank; pop() gives the lowest rank's leftmost position."""
+
+    def __init__(self):
+        super().__init__()
+        self.buckets: dict[int, list[int]] = {}
+
+    def push(self, rank: int, position: int) -> None:
+        bucket = self.buckets.get(rank)
+        if bucket:
+            heapq.heappush(bucket, position)
+        else:
+            self.buckets[rank] = [position]
+            self.add(rank)
+
+    def pop(self) -> tuple[int, int] | None:
+        rank = self.first()
+        if rank < 0:
+            return None
         bucket = self.buckets[rank]
         position = heapq.heappop(bucket)
         if not bucket:
-            low &= low - 1
-            self.low[a] = low
-            if not low:
-                mid &= mid - 1
-                self.mid[b] = mid
-                if not mid:
-                    self.top &= ~(1 << b)
+            self.remove(rank)
         return rank, position
 
 
+class PairRanks:
+    """Rank of two neighbouring tokens, for arrays of them: every split of every token, in an open-addressed table."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        keys, values = [], []
+        get = ranks.get
+        for token, rank in ranks.items():
+            for i in range(1, len(token)):
+                if (a := get(token[:i])) is not None and (b := get(token[i:])) is not None:
+                    keys.append(a << 32 | b)
+                    values.append(rank)
+        key, value = np.array(keys, np.uint64), np.array(values, np.int64)
+        self.shift = np.uint64(64 - max(8, int(2 * len(keys) + 1).bit_length() + 1))
+        size = 1 << (64 - int(self.shift))
+        self.keys, self.values = np.full(size + 512, np.uint64(0xFFFFFFFFFFFFFFFF)), np.full(size + 512, -1, np.int64)
+        slot = self._slot(key)
+        left = np.arange(len(key))
+        while len(left):
+            free = self.values[slot[left]] < 0
+            at, first = np.unique(slot[left[free]], return_index=True)
+            own = left[free][first]
+            self.keys[at], self.values[at] = key[own], value[own]
+            placed = np.zeros(len(key), bool)
+            placed[own] = True
+            left = left[~placed[left]]
+            slot[left] += 1
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks, -1 where the two don't make a token."""
+        key = (a.astype(np.uint64) << np.uint64(32)) | b.astype(np.uint64)
+        slot = self._slot(key)
+        found = self.keys[slot]
+        out = np.where(found == key, self.values[slot], -1)
+        left = np.flatnonzero((found != key) & (self.values[slot] >= 0))
+        while len(left):
+            slot[left] += 1
+            s = slot[left]
+            hit = self.keys[s] == key[left]
+            out[left[hit]] = self.values[s[hit]]
+            left = left[~hit & (self.values[s] >= 0)]
+        return out
+
+
 class Codec:
     """ranks: token bytes to id, as in a rank file."""
 
@@ -83,6 +152,110 @@ class Codec:
         self.token = {v: k for k, v in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
         self.known = _Known(self)
+        self._pairs: PairRanks | None = None
+
+    @property
+    def pairs(self) -> PairRanks:
+        if self._pairs is None:
+            self._pairs = PairRanks(self.ranks)
+            self._bytes = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)])
+            self._two = self._pairs(np.repeat(np.maximum(self._bytes, 0), 256), np.tile(np.maximum(self._bytes, 0), 256))
+        return self._pairs
+
+    def merge_all(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of many pre-tokens, merged through one queue."""
+        pairs = self.pairs
+        size = np.array([len(x) for x in pieces], np.int64)
+        raw = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int64)
+        n = len(raw)
+        end = np.cumsum(size)
+        piece = np.repeat(np.arange(len(pieces)), size)
+        token = self._bytes[raw]
+        after, prior = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after[end - 1] = -1
+        prior[end - size] = -1
+        waiting = np.full(n, -1, np.int64)  # the rank of the pair that starts here
+        waiting[:-1] = self._two[raw[:-1] * 256 + raw[1:]]
+        waiting[end - 1] = -1
+        alive = np.ones(n, bool)
+        bits = RankBits()
+        buckets: dict[int, list[np.ndarray]] = {}
+
+        def push(positions: np.ndarray) -> None:
+            rank = waiting[positions]
+            positions, rank = positions[rank >= 0], rank[rank >= 0]
+            if not len(rank):
+                return
+            order = np.lexsort((positions, rank))
+            positions, rank = positions[order], rank[order]
+            edges = np.flatnonzero(rank[1:] != rank[:-1]) + 1
+            at = [0, *edges.tolist(), len(rank)]
+            for r, lo, hi in zip(rank[at[:-1]].tolist(), at[:-1], at[1:], strict=True):
+                if r in buckets:
+                    buckets[r].append(positions[lo:hi])
+                else:
+                    buckets[r] = [positions[lo:hi]]
+                    bits.add(r)
+
+        push(np.flatnonzero(waiting >= 0))
+        while (r := bits.first()) >= 0:
+            held = buckets.pop(r)
+            here = held[0] if len(held) == 1 else np.unique(np.concatenate(held))
+            here = here[waiting[here] == r]  # the others are stale
+            own = piece[here]
+            first = np.ones(len(here), bool)
+            first[1:] = own[1:] != own[:-1]
+            if first.all():
+                bits.remove(r)
+            else:
+                buckets[r] = [here[~first]]
+                here = here[first]
+            if not len(here):
+                continue
+            gone = after[here]
+            beyond = after[gone]
+            token[here] = r
+            alive[gone] = False
+            waiting[gone] = waiting[here] = -1
+            after[here] = beyond
+            more = beyond >= 0
+            a, b = here[more], beyond[more]
+            prior[b] = a
+            before = prior[here]
+            less = before >= 0
+            c, d = before[less], here[less]
+            left = np.concatenate([a, c])
+            waiting[left] = pairs(token[left], token[np.concatenate([b, d])])
+            push(left)
+        ids = token[alive].astype("<u4").tobytes()
+        at = 4 * np.append(0, np.cumsum(np.bincount(piece[alive], minlength=len(pieces))))
+        return [ids[x:y] for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+    def learn(self, found: list[list[str]]) -> None:
+        """Merges what is new and short in these pre-tokens at once."""
+        known, ranks = self.known, self.ranks
+        new = set().union(*found) - known.keys()
+        if len(known) + len(new) > REMEMBERED:
+            known.clear()
+            new = set().union(*found)
+        texts, pieces = [], []
+        for x in new:
+            raw = x.encode()
+            if (whole := ranks.get(raw)) is not None:
+                known[x] = struct.pack("<I", whole)
+            elif len(raw) <= SHORT:
+                texts.append(x)
+                pieces.append(raw)
+        if pieces:
+            known.update(zip(texts, self.merge_all(pieces), strict=True))
+
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        found = [self.find(x) for x in texts]
+        self.learn(found)
+        get = self.known.__getitem__
+        for x in found:
+            yield b"".join(map(get, x))
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
@@ -140,10 +313,6 @@ class _Known(dict):
         raw = piece.encode()
         ids = self.codec.merge(raw)
         out = struct.pack(f"<{len(ids)}I", *ids)
-        if len(raw) <= _SHORT:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[piece] = out
         return out
 
 
@@ -167,8 +336,7 @@ def _digest(path: str, pattern: str):
         c = codec(path, pattern)
         for batch in steps(batches):
             n, ids_sha, text_sha = [], [], []
-            for text in batch.column("text").to_pylist():
-                ids = c.encode(text or "")
+            for ids in c.encode_all([x or "" for x in batch.column("text").to_pylist()]):
                 n.append(len(ids) // 4)
                 ids_sha.append(hashlib.sha256(ids).hexdigest())
                 text_sha.append(hashlib.sha256(c.decode(ids)).hexdigest())
@@ -181,7 +349,7 @@ def _ids(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for batch in steps(batches):
-            ids = [np.frombuffer(c.encode(x or ""), "<u4").astype(np.int32) for x in batch.column("text").to_pylist()]
+            ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in c.encode_all([x or "" for x in batch.column("text").to_pylist()])]
             at = np.append(0, np.cumsum([len(x) for x in ids])).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(at), pa.int64()), lists], ["doc_id", "n_tokens", "ids"])
