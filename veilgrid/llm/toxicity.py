@@ -85,7 +85,7 @@ class Trie:
                 continue
             seen.add(key)
             if node.get("size", 0) >= FUZZY_FROM:
-                if "stem" in node:
+                if "stem" in node and n - i <= 1:
                     best = max(best, node["stem"])
                 if "whole" in node and n - i + edits <= 1:
                     best = max(best, node["whole"])
@@ -220,10 +220,14 @@ def learn(docs: DataFrame, labels: DataFrame, train: F.Column, rows: int = SAMPL
     stems: dict[str, float] = {}
     for r in best:
         stem = r["stem"].rstrip("$")
+        while longer := max((x for x in rows_of if len(x) == len(stem) + 1 and x.startswith(stem) and x[-1] != "$" and rows_of[x] >= 0.95 * r["t"]), key=rows_of.__getitem__, default=""):
+            stem = longer  # as specific as it can be without losing rows
+        if stem in stems:
+            continue
         # a longer form of a stem adds nothing unless it is in about as many rows
-        if any((s := stem[:k]) in rows_of and s != r["stem"] and rows_of[s] >= r["t"] and s in stems for k in range(STEM_MIN, len(stem) + 1)):
+        if any((s := stem[:k]) in rows_of and rows_of[s] >= r["t"] and s in stems for k in range(STEM_MIN, len(stem) + 1)):
             continue
-        stems[r["stem"]] = float(r["odds"])
+        stems[stem if stem != r["stem"].rstrip("$") else r["stem"]] = float(r["odds"])
         if len(stems) >= LEXICON:
             break
     lexicon = Lexicon(stems)
