@@ -33,6 +33,10 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Catalyst gives plans without statistics, such as rows made in the driver, a size near the largest long.
+UNKNOWN = 1 << 60
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's own size estimate, which for a file scan is the size of the files."""
     try:
@@ -42,9 +46,10 @@ def plan_bytes(df: DataFrame) -> int:
 
 
 def parts_for(df: DataFrame, bytes_each: int) -> int:
-    """Partitions so that each holds about bytes_each of df as stored; never under the session's own number."""
+    """Partitions so that each holds about bytes_each of df as stored; never under the session's own number, which holds where the size is unknown."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, min(plan_bytes(df) // bytes_each + 1, 100_000))
+    size = plan_bytes(df)
+    return least if size >= UNKNOWN else max(least, min(size // bytes_each + 1, 100_000))
 
 
 def shared_dir(spark: SparkSession) -> str:
