@@ -1,10 +1,11 @@
 """Sharding of indivisible groups by Karmarkar-Karp differencing.
 
 Equal texts are one group, whose size is added up before any shuffle.  Groups are dealt to
-partitions; each starts from partial partitions with one group in one shard and repeatedly
-combines the two with the largest spread, oppositely ordered, until one is left.  The driver then
-combines these, one small tuple of shard sizes for each partition, in the same way, and the
-composed order says which shard each partition's part goes to.
+partitions; each starts from partial partitions with one group in one piece and repeatedly
+combines the two with the largest spread, oppositely ordered, until one with PIECES pieces is
+left.  The driver combines these pieces to shards in the same way, together with each group that
+is larger than 1 in LARGE of a shard's share: there are fewer than shards * LARGE of those, and
+small pieces are left to balance them.
 
 Law: bytes.  Size is the text's UTF-8 bytes plus 8.  No group is split, so one that is larger
 than a shard's share makes that shard the largest.  Slots count each shard's rows from 0 without
@@ -31,6 +32,8 @@ SHARDS = 24
 HOT = 2000
 #: Slices of a shard, each numbered by itself.
 GROUP_BYTES = 64 << 20
+#: Pieces that a partition's small groups are combined to.
+PIECES, LARGE, MOST_PARTS = 64, 64, 1024
 
 
 def difference(partials: list[tuple[np.ndarray, object]], shards: int) -> tuple[np.ndarray, list[list[object]]]:
@@ -68,8 +71,15 @@ def difference(partials: list[tuple[np.ndarray, object]], shards: int) -> tuple[
     return sizes, out
 
 
-def _part(shards: int):
-    """Groups of one partition to local shards, 0 being the smallest; one partition in, one combination."""
+def single(size: int, shards: int) -> np.ndarray:
+    """The partial partition with one item, in its last and largest place."""
+    v = np.zeros(shards, np.int64)
+    v[-1] = size
+    return v
+
+
+def _part(pieces: int):
+    """Groups of one partition to its pieces; one partition in, one combination."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [x for x in batches if x.num_rows]
@@ -78,31 +88,31 @@ def _part(shards: int):
         table = pa.Table.from_batches(got).combine_chunks()
         size = table.column("bytes").to_numpy()
         local = np.zeros(len(size), np.int32)
-        partials = []
-        for i, b in enumerate(size.tolist()):
-            v = np.zeros(shards, np.int64)
-            v[-1] = b
-            partials.append((v, i))
-        for s, members in enumerate(difference(partials, shards)[1]):
-            own = [i for i, place in members if place == shards - 1]
-            local[own] = s
+        partials = [(single(b, pieces), i) for i, b in enumerate(size.tolist())]
+        for s, members in enumerate(difference(partials, pieces)[1]):
+            local[[i for i, place in members if place == pieces - 1]] = s
         yield from table.append_column("local", pa.array(local)).to_batches()
 
     return run
 
 
 def shard_groups(groups: DataFrame, shards: int = SHARDS, parts: int = 64) -> DataFrame:
-    """groups (k, bytes, n) with the shard of each."""
-    dealt = groups.withColumn("part", F.pmod(F.xxhash64("k"), F.lit(parts)).cast("int")).repartitionById(parts, F.col("part"))
-    local = cut(dealt.mapInArrow(_part(shards), "k binary, bytes long, n long, part int, local int"), "local")
-    sums: dict[int, np.ndarray] = {}
-    for part, place, size in local.groupBy("part", "local").agg(F.sum("bytes")).collect():  # parts * shards at most
-        sums.setdefault(part, np.zeros(shards, np.int64))[place] = size
-    if not sums:
-        return local.select("k", "bytes", "n", F.lit(0).alias("shard"))
-    _, placed = difference([(v, p) for p, v in sorted(sums.items())], shards)
-    order = groups.sparkSession.createDataFrame([(p, place, s) for s, members in enumerate(placed) for p, place in members], "part int, local int, shard int")
-    return local.join(F.broadcast(order), ["part", "local"]).select("k", "bytes", "n", "shard")
+    """groups (k, bytes, n) with the shard of each; they are read more than once."""
+    spark = groups.sparkSession
+    total = groups.agg(F.sum("bytes")).first()[0] or 0
+    is_large = F.col("bytes") * (shards * LARGE) > total
+    large = [(bytes(k), size) for k, size in groups.filter(is_large).select("k", "bytes").orderBy("k").collect()]  # fewer than shards * LARGE
+    dealt = groups.filter(~is_large).withColumn("part", F.pmod(F.xxhash64("k"), F.lit(parts)).cast("int")).repartitionById(parts, F.col("part"))
+    local = cut(dealt.mapInArrow(_part(PIECES), "k binary, bytes long, n long, part int, local int"), "local")
+    sums = sorted(tuple(r) for r in local.groupBy("part", "local").agg(F.sum("bytes")).collect())  # parts * PIECES at most
+    items: list[tuple[np.ndarray, object]] = [(single(size, shards), (part, piece)) for part, piece, size in sums] + [(single(size, shards), k) for k, size in large]
+    if not items:
+        return groups.select("k", "bytes", "n", F.lit(0).alias("shard"))
+    of_item = {label: s for s, members in enumerate(difference(items, shards)[1]) for label, place in members if place == shards - 1}
+    of_pieces = spark.createDataFrame([(*k, s) for k, s in of_item.items() if isinstance(k, tuple)], "part int, local int, shard int")
+    of_large = spark.createDataFrame([(bytearray(k), s) for k, s in of_item.items() if isinstance(k, bytes)], "k binary, shard int")
+    small = local.join(F.broadcast(of_pieces), ["part", "local"]).select("k", "bytes", "n", "shard")
+    return small.unionByName(groups.join(F.broadcast(of_large), "k").select("k", "bytes", "n", "shard"))
 
 
 def shard_rows(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -114,8 +124,8 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         F.coalesce(F.unhex(F.md5(text)), F.lit(b"null").cast("binary")).alias("k"),
     )
     rows = cut(rows, "sizes")
-    groups = rows.groupBy("k").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
-    parts = max(8, min(1024, parts_for(docs.select("text"), GROUP_BYTES)))
+    groups = cut(rows.groupBy("k").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")), "groups")
+    parts = min(MOST_PARTS, parts_for(docs.select("text"), GROUP_BYTES))
     placed = cut(shard_groups(groups, shards, parts), "placed")
     total = rows.count()
     hot = placed.filter(F.col("n") * HOT > total).select("k", "shard")
