@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import encode_words, load, spans, steps, text_buffer
 
 SAMPLE_ROWS = 4000
+#: Blocks that the rows of a label are ranked in, and rows that a block gives at most.
+BLOCKS, BLOCK_ROWS = 64, 1000
 STEM_MIN, STEM_MAX, LEXICON = 3, 12, 400
 MIN_ROWS, MIN_ODDS = 4, 2.5
 FUZZY_FROM = 5
@@ -201,8 +203,11 @@ def _featured(shared):
 def labelled_sample(docs: DataFrame, labels: DataFrame, train: F.Column, rows: int = SAMPLE_ROWS) -> DataFrame:
     """(text, toxic): at most `rows` rows of each label, those whose doc_id has the least hash."""
     one = labels.select("doc_id", "toxic").filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).filter(train)
-    rank = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = one.withColumn("n", rank).filter(F.col("n") <= rows).select("doc_id", "toxic")
+    # first within blocks of each label, where Spark keeps only the least of each task before it shuffles; what is left is bounded
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    in_block = F.row_number().over(Window.partitionBy("toxic", F.pmod(F.xxhash64("doc_id"), F.lit(BLOCKS))).orderBy(*order))
+    few = one.withColumn("n", in_block).filter(F.col("n") <= min(rows, BLOCK_ROWS)).select("doc_id", "toxic")
+    chosen = few.withColumn("n", F.row_number().over(Window.partitionBy("toxic").orderBy(*order))).filter(F.col("n") <= rows).select("doc_id", "toxic")
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")  # 2 * rows ids at most
 
 
