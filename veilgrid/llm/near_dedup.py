@@ -38,6 +38,8 @@ BANDS, ROWS = 32, 6
 ALONE_BYTES = 8 << 20
 #: Representatives of one component compared in one round over all tasks.
 ROUND = 16
+#: What the representatives of one round weigh at most (and one more); those left over are chosen again.
+ROUND_BYTES = 64 << 20
 _STEP = 2 << 20
 
 
@@ -232,10 +234,13 @@ def _large(members: DataFrame, similarity: float) -> DataFrame:
             waiting = waiting.join(settled, "id", "left_anti")
         chosen = waiting.groupBy("component").agg(F.min("id").alias("id"), *[F.min_by("id", F.xxhash64("id", F.lit(i))).alias(f"r{i}") for i in range(ROUND - 1)])
         chosen = chosen.select("component", F.explode(F.array_distinct(F.array("id", *[f"r{i}" for i in range(ROUND - 1)]))).alias("id"))
-        # one component holds ALONE_BYTES at least, so there are few of them in any corpus
         reps: dict[int, list[tuple[int, bytes]]] = {}
+        held = 0
         for c, i, u in chosen.join(members, ["component", "id"]).select("component", "id", "units").toLocalIterator():
             reps.setdefault(c, []).append((i, bytes(u)))
+            held += len(u)
+            if held >= ROUND_BYTES:
+                break
         if not reps:
             break
         got = cut(members.mapInArrow(_round(sc.broadcast(reps), similarity), "component long, id long, rep long, d double"), "round")
