@@ -366,6 +366,8 @@ def test_frequent_lines_go_and_depleted_documents_with_them(spark):
     assert all(got[i].kept and got[i].removed_lines == 1 for i in range(61))
     assert not got[61].kept
     assert quality_rules.judge(rows.limit(0)).count() == 0
+    twice = quality_rules.judge(rows.unionByName(rows)).collect()
+    assert len(twice) == 124 and all(x.removed_lines == got[x.doc_id].removed_lines and x.kept == got[x.doc_id].kept for x in twice)
 
 
 def test_word_hashes_are_by_content():

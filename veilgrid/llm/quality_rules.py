@@ -10,8 +10,9 @@ Only keys (document, host, hash, length) leave the scan: never a text or a line.
 up before the shuffle, so a line that a third of all documents have costs a row for each task.
 
 Defined cases: null texts have no words and fail the base rules; lines without a word are neither
-counted nor removed; rows are told apart by doc_id and text, and equal rows by neither; a null
-source is a host of its own.
+counted nor removed; a row is known by doc_id, text and source, so a repeated row gets the same answer each
+time, counts once for its lines and each time for its host's documents; a null source is a host of
+its own.
 """
 
 from __future__ import annotations
@@ -27,6 +28,10 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
+def _rid() -> F.Column:
+    return F.xxhash64("doc_id", "text", "source")
+
+
 def words(text: F.Column) -> F.Column:
     """Words in order; empty for a null text."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), _SPACE), lambda w: w != "")
@@ -53,7 +58,7 @@ def base_rules(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
     rows = docs.select(
-        F.xxhash64("doc_id", "text").alias("rid"),
+        _rid().alias("rid"),
         F.col("doc_id").cast("long").alias("doc_id"),
         words(text).alias("w"),
         F.char_length(F.regexp_replace(text, _SPACE, "")).cast("long").alias("word_chars"),
@@ -67,12 +72,12 @@ def base_rules(docs: DataFrame) -> DataFrame:
 
 
 def line_keys(docs: DataFrame) -> DataFrame:
-    """(rid, host, line, chars, times): each distinct normalised line of each document."""
+    """(rid, host, no_host, place, line, chars): each normalised line of each document, by its place among them."""
     text = F.translate(F.coalesce(F.col("text"), F.lit("")), _UPPER, _LOWER)
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
     norm = F.transform(lines, lambda x: F.trim(F.regexp_replace(x, _SPACE, " ")))
     keys = F.transform(norm, lambda x: F.struct(F.xxhash64(x).alias("line"), F.char_length(x).alias("chars")))
-    return docs.select(F.xxhash64("doc_id", "text").alias("rid"), F.col("source").alias("host"), F.explode(keys).alias("e")).select("rid", F.coalesce("host", F.lit("")).alias("host"), F.col("host").isNull().alias("no_host"), "e.line", "e.chars")
+    return docs.select(_rid().alias("rid"), F.col("source").alias("host"), F.posexplode(keys).alias("place", "e")).select("rid", F.coalesce("host", F.lit("")).alias("host"), F.col("host").isNull().alias("no_host"), "place", "e.line", "e.chars")
 
 
 def line_frequency(docs: DataFrame, floor: int = FLOOR, share: int = SHARE) -> DataFrame:
@@ -80,13 +85,13 @@ def line_frequency(docs: DataFrame, floor: int = FLOOR, share: int = SHARE) -> D
     own = line_keys(docs).select("rid", "host", "no_host", "line")
     once = own.groupBy("host", "no_host", "line", "rid").agg(F.lit(1).alias("one"))
     counts = once.groupBy("host", "no_host", "line").agg(F.count("*").alias("df")).filter(F.col("df") > floor)
-    hosts = docs.select(F.xxhash64("doc_id", "text").alias("rid"), F.coalesce("source", F.lit("")).alias("host"), F.col("source").isNull().alias("no_host")).groupBy("host", "no_host").agg(F.count("*").alias("docs"))
+    hosts = docs.select(F.coalesce("source", F.lit("")).alias("host"), F.col("source").isNull().alias("no_host")).groupBy("host", "no_host").agg(F.count("*").alias("docs"))
     return counts.join(hosts, ["host", "no_host"]).filter(F.col("df") * share > F.col("docs")).select("host", "no_host", "line")
 
 
 def verdicts(docs: DataFrame, floor: int = FLOOR, share: int = SHARE, least_kept: float = LEAST_KEPT) -> DataFrame:
     frequent = line_frequency(docs, floor, share)
-    lost = line_keys(docs).join(frequent, ["host", "no_host", "line"], "left_semi").groupBy("rid").agg(F.sum("chars").alias("lost_chars"), F.count("*").alias("lost_lines"))
+    lost = line_keys(docs).join(frequent, ["host", "no_host", "line"], "left_semi").dropDuplicates(["rid", "place"]).groupBy("rid").agg(F.sum("chars").alias("lost_chars"), F.count("*").alias("lost_lines"))
     rows = base_rules(docs)
     return rows.join(lost, "rid", "left").withColumns({"removed_lines": F.coalesce("lost_lines", F.lit(0)).cast("long"), "removed_chars": F.coalesce("lost_chars", F.lit(0)).cast("long")}).drop("lost_lines", "lost_chars")
 
