@@ -295,7 +295,7 @@ ORACLES = {
     "string_encode": "SELECT p_brand AS brand, row_number() OVER (ORDER BY p_brand) - 1 AS place FROM (SELECT DISTINCT p_brand FROM part WHERE p_brand IS NOT NULL)",
     "timestamp_encode": "SELECT o_orderkey, round(epoch_us(o_orderdate::TIMESTAMP) / 1e6 + 5364662400.0, 3) AS seconds FROM orders",
     "snapped_range": "WITH e AS (" + " UNION ALL ".join(f"SELECT '{c}' AS name, min({c})::DOUBLE a, max({c})::DOUBLE b FROM lineitem" for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax"))
-    + "), n AS (SELECT name, a, 2 * b AS s FROM e), p AS (SELECT *, pow(2, ceil(log2(s - least(a, s)))) z FROM n), q AS (SELECT *, floor(a / (z / 2)) * (z / 2) lo FROM p), r AS (SELECT name, s, a, CASE WHEN lo + z >= s THEN z ELSE 2 * z END z FROM q) SELECT name, s AS sentinel, floor(a / (z / 2)) * (z / 2) AS lo, floor(a / (z / 2)) * (z / 2) + z AS hi FROM r",
+    + "), n AS (SELECT name, a, 2 * b AS s FROM e), p AS (SELECT *, pow(2, ceil(log2(s - least(a, s)))) z FROM n), q AS (SELECT *, floor(a / (z / 2)) * (z / 2) lo FROM p), r AS (SELECT name, s, a, CASE WHEN lo + z >= s THEN z ELSE 2 * z END z FROM q) SELECT name, s AS sentinel, CASE WHEN a >= 0 AND a < z / 2 THEN 0.0::DOUBLE ELSE floor(a / (z / 2)) * (z / 2) END AS lo, floor(a / (z / 2)) * (z / 2) + z AS hi FROM r",
     "grid_counts": f"WITH u AS (SELECT {_U('l_quantity')} x, {_U('l_extendedprice')} y FROM lineitem), d AS (SELECT d::INTEGER AS depth, floor(x * pow(2, d))::BIGINT AS x, unnest([-1, floor(y * pow(2, d))::BIGINT]) AS y FROM u, range(1, 5) t(d)) SELECT depth, x, y, count(*) AS n FROM d GROUP BY ALL",
     "tree_noiseless": _TREE.format(x=_U("p_size")),
     "lcf_groups": "SELECT o_orderstatus, o_orderpriority, year(o_orderdate) AS year, month(o_orderdate) AS month, count(DISTINCT o_custkey) AS entities, count(*) AS n FROM orders GROUP BY ALL HAVING count(DISTINCT o_custkey) >= 3",
