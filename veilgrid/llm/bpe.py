@@ -30,9 +30,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import load, steps
+from .common import in_arrow, load, steps
 
-REMEMBERED = 600_000
+REMEMBERED = 250_000
 #: Longer pre-tokens are merged alone and not remembered.
 SHORT = 64
 
@@ -375,17 +375,17 @@ def default_vocabulary() -> tuple[str, str]:
 
 def encode(docs: DataFrame, vocabulary: tuple[str, str] | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids array<int>)."""
-    return docs.select("doc_id", "text").mapInArrow(_ids(*(vocabulary or default_vocabulary())), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids array<int>")
+    return docs.select("doc_id", "text").transform(in_arrow, _ids(*(vocabulary or default_vocabulary())), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids array<int>")
 
 
 def decode(encoded: DataFrame, vocabulary: tuple[str, str] | None = None) -> DataFrame:
     """(doc_id, text) from (doc_id, ids)."""
-    return encoded.select("doc_id", "ids").mapInArrow(_texts(*(vocabulary or default_vocabulary())), f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string")
+    return encoded.select("doc_id", "ids").transform(in_arrow, _texts(*(vocabulary or default_vocabulary())), f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string")
 
 
 def digests(docs: DataFrame, vocabulary: tuple[str, str] | None = None) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(_digest(*(vocabulary or default_vocabulary())), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.transform(in_arrow, _digest(*(vocabulary or default_vocabulary())), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op10_byte_bpe_rank_queue(spark, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, binary_array, cut, encode_words, hash_words, load, mix, parts_for, row_key, spans, steps, text_buffer
+from .common import LOWER, binary_array, cut, encode_words, hash_words, in_arrow, load, mix, parts_for, row_key, spans, steps, text_buffer
 
 DEPTH, TOP = 6, 2
 TEXT_BYTES, BUCKET_BYTES = 3_500_000, 8_000_000
@@ -329,16 +329,16 @@ def score_texts(docs: DataFrame, train: F.Column) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", train.alias("train")).withColumn("rid", row_key())
     rows = rows.withColumn("part", F.pmod("rid", F.lit(parts)).cast("int"))
     texts = rows.repartitionById(parts, F.col("part"))
-    sent = cut(texts.mapInArrow(_send(buckets), "bucket int, part int, seq int, blob binary"), "grams")
+    sent = cut(texts.transform(in_arrow, _send(buckets), "bucket int, part int, seq int, blob binary"), "grams")
     dealt = sent.repartitionById(2 * buckets, F.col("bucket"))
-    summary = dealt.mapInArrow(_summarise(buckets), "context int, node int, zeros double, ones double, child double").groupBy("context", "node").agg(F.sum("zeros"), F.sum("ones"), F.sum("child")).collect()
+    summary = dealt.transform(in_arrow, _summarise(buckets), "context int, node int, zeros double, ones double, child double").groupBy("context", "node").agg(F.sum("zeros"), F.sum("ones"), F.sum("child")).collect()
     n, v = next(((int(r[2]), int(r[3])) for r in summary if r[0] == -1), (0, 0))
     shared = spark.sparkContext.broadcast(Shallow([tuple(r) for r in summary if r[0] >= 0]))
-    answers = dealt.mapInArrow(_answer(buckets, shared), "bucket int, part int, seq int, answer binary")
+    answers = dealt.transform(in_arrow, _answer(buckets, shared), "bucket int, part int, seq int, answer binary")
     empty = {c: F.lit(None).cast(t) for c, t in (("doc_id", "long"), ("text", "string"), ("train", "boolean"), ("rid", "long"))}
     both = rows.withColumns({c: F.lit(None).cast(t) for c, t in (("bucket", "int"), ("seq", "int"), ("answer", "binary"))}).unionByName(answers.withColumns(empty))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    return both.repartitionById(parts, F.col("part")).mapInArrow(_score(buckets, n, v), schema)
+    return both.repartitionById(parts, F.col("part")).transform(in_arrow, _score(buckets, n, v), schema)
 
 
 def op6_context_tree_weighting(spark, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, binary_array, encode_words, load, spans, steps, text_buffer
+from .common import LOWER, binary_array, encode_words, in_arrow, load, spans, steps, text_buffer
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
@@ -247,8 +247,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, with
     if with_text:
         keep = docs.select("doc_id", "text", *[c for c in docs.columns if c == "row"])
         schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keep.schema) + schema.removeprefix("doc_id long") + ", clean_text string"
-        return keep.mapInArrow(_scan(shared, True), schema)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan(shared, False), schema)
+        return keep.transform(in_arrow, _scan(shared, True), schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(in_arrow, _scan(shared, False), schema)
 
 
 def op8_benchmark_fm_index(spark, sf_dir: str) -> DataFrame:

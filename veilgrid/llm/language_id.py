@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import load, steps, text_buffer
+from .common import in_arrow, load, steps, text_buffer
 
 PER_LANGUAGE, SAMPLE_BYTES = 48, 24_000
 MOST_LANGUAGES = 256
@@ -201,7 +201,7 @@ def predict(rows: DataFrame, model: Model) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(model)
     keep = rows.drop("text")
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keep.schema] + ["lang_pred string", "score double"])
-    return rows.withColumn("letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).mapInArrow(_predict(shared), schema)
+    return rows.withColumn("letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).transform(in_arrow, _predict(shared), schema)
 
 
 def op3_cross_parsing_language(spark, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, binary_array, cut, hash_words, load, mix, parts_for, spans, steps, text_buffer
+from .common import LOWER, binary_array, cut, hash_words, in_arrow, load, mix, parts_for, spans, steps, text_buffer
 from .graph import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -154,7 +154,7 @@ def link(ids: np.ndarray, sets: list[bytes], similarity: float) -> np.ndarray:
     far = 1 - similarity + 1e-12
     label = np.arange(len(ids))
     waiting, done = np.ones(len(ids), bool), np.zeros(len(ids), bool)
-    reps: list[tuple[int, np.ndarray]] = []
+    reps: list[tuple[int, np.ndarray, np.ndarray]] = []  # who, the members within twice the distance, how far they are
     while waiting.any():
         r = int(np.flatnonzero(waiting)[0])
         waiting[r] = False
@@ -164,11 +164,14 @@ def link(ids: np.ndarray, sets: list[bytes], similarity: float) -> np.ndarray:
         waiting[near] = False
         joined = np.isin(label, label[near])
         label[joined] = label[joined].min()
-        reps.append((r, d))
+        around = np.flatnonzero(d <= 2 * far)
+        reps.append((r, around, d[around]))
         # a member of another group within twice the distance may link to a member of this one
-        for q, e in reps:
+        for q, at, e in reps:
             if label[q] != label[r]:
-                waiting |= ~done & ((d <= far) & (e <= 2 * far) | (e <= far) & (d <= 2 * far))
+                x = d[at]
+                maybe = at[(x <= far) | (e <= far) & (x <= 2 * far)]
+                waiting[maybe[~done[maybe]]] = True
     return np.array([ids[label == x].min() for x in label])
 
 
@@ -243,7 +246,7 @@ def _large(members: DataFrame, similarity: float) -> DataFrame:
                 break
         if not reps:
             break
-        got = cut(members.mapInArrow(_round(sc.broadcast(reps), similarity), "component long, id long, rep long, d double"), "round")
+        got = cut(members.transform(in_arrow, _round(sc.broadcast(reps), similarity), "component long, id long, rep long, d double"), "round")
         found = got if found is None else found.unionByName(got)
     group = components(found.filter(F.col("d") <= far).select(F.col("id").alias("a"), F.col("rep").alias("b")), "groups")
     return members.select("id").join(group, "id", "left").select("id", F.coalesce("component", "id").alias("class_id"))
@@ -259,7 +262,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
     ids = cut(first.select("id"), "ids")
     texts = own.withColumnRenamed("doc_id", "id").filter(F.col("text").isNotNull())
     # copies are signed too, which spares a shuffle of the texts
-    signed = cut(texts.mapInArrow(_bands(bands, rows), "id long, bands array<long>, units long"), "bands")
+    signed = cut(texts.transform(in_arrow, _bands(bands, rows), "id long, bands array<long>, units long"), "bands")
     signed = cut(signed.join(ids, "id", "left_semi").dropDuplicates(["id"]), "signed")
     banded = signed.select("id", F.explode("bands").alias("band"))
     least = banded.groupBy("band").agg(F.min("id").alias("least"), F.count("*").alias("n")).filter("n > 1").select("band", "least")
@@ -268,9 +271,9 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
     sized = member.join(signed.select("id", "units"), "id")
     large = sized.groupBy("component").agg(F.sum("units").alias("units")).filter(F.col("units") * 8 > ALONE_BYTES).select("component", F.lit(True).alias("large"))
     member = cut(member.join(large, "component", "left").select("id", "component", F.coalesce("large", F.lit(False)).alias("large")), "members")
-    sets = cut(texts.join(member, "id").mapInArrow(_units, "id long, component long, large boolean, units binary"), "units").dropDuplicates(["id"])
+    sets = cut(texts.join(member, "id").transform(in_arrow, _units, "id long, component long, large boolean, units binary"), "units").dropDuplicates(["id"])
     parts = parts_for(docs.select("text"), 8_000_000)
-    alone = sets.filter(~F.col("large")).repartition(parts, "component").sortWithinPartitions("component", "id").select("component", "id", "units").mapInArrow(_alone(similarity), "id long, class_id long")
+    alone = sets.filter(~F.col("large")).repartition(parts, "component").sortWithinPartitions("component", "id").select("component", "id", "units").transform(in_arrow, _alone(similarity), "id long, class_id long")
     whole = sets.filter("large").select("component", "id", "units")
     if whole.limit(1).count():
         alone = alone.unionByName(_large(cut(whole.repartition(parts), "large"), similarity))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, load, parts_for
+from .common import cut, in_arrow, load, parts_for
 
 SHARDS = 24
 #: Groups with more than 1 in HOT rows are joined by broadcast: there are fewer than HOT of them.
@@ -103,7 +103,7 @@ def shard_groups(groups: DataFrame, shards: int = SHARDS, parts: int = 64) -> Da
     is_large = F.col("bytes") * (shards * LARGE) > total
     large = [(bytes(k), size) for k, size in groups.filter(is_large).select("k", "bytes").orderBy("k").collect()]  # fewer than shards * LARGE
     dealt = groups.filter(~is_large).withColumn("part", F.pmod(F.xxhash64("k"), F.lit(parts)).cast("int")).repartitionById(parts, F.col("part"))
-    local = cut(dealt.mapInArrow(_part(PIECES), "k binary, bytes long, n long, part int, local int"), "local")
+    local = cut(dealt.transform(in_arrow, _part(PIECES), "k binary, bytes long, n long, part int, local int"), "local")
     sums = sorted(tuple(r) for r in local.groupBy("part", "local").agg(F.sum("bytes")).collect())  # parts * PIECES at most
     items: list[tuple[np.ndarray, object]] = [(single(size, shards), (part, piece)) for part, piece, size in sums] + [(single(size, shards), k) for k, size in large]
     if not items:

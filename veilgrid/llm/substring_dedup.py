@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_array, encode_words, hash_words, load, mix, parts_for, row_key, single_spaced, spans, steps, text_buffer
+from .common import binary_array, encode_words, hash_words, in_arrow, load, mix, parts_for, row_key, single_spaced, spans, steps, text_buffer
 
 WINDOW, MINIMISER = 13, 3
 _LAST = np.iinfo(np.int64).max
@@ -258,14 +258,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIM
     carried = [c for c in docs.columns if c == "row"]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carried).withColumn("rid", row_key())
     buckets, parts = parts_for(docs.select("text"), BUCKET_BYTES), parts_for(docs.select("text"), TEXT_BYTES)
-    packed = rows.select("doc_id", "text", "rid").mapInArrow(_send(window, minimiser, buckets), "bucket int, blob binary").repartitionById(buckets, F.col("bucket"))
-    found = packed.mapInArrow(_judge(window, parts), "part int, spans binary")
+    packed = rows.select("doc_id", "text", "rid").transform(in_arrow, _send(window, minimiser, buckets), "bucket int, blob binary").repartitionById(buckets, F.col("bucket"))
+    found = packed.transform(in_arrow, _judge(window, parts), "part int, spans binary")
     texts = rows.select(F.pmod("rid", F.lit(parts)).cast("int").alias("part"), "doc_id", "rid", "text", *carried, F.lit(None).cast("binary").alias("spans"))
     none = [F.lit(None).cast(texts.schema[c].dataType).alias(c) for c in ("doc_id", "rid", "text", *carried)]
     both = texts.unionByName(found.select("part", *none, "spans")).repartitionById(parts, F.col("part"))
     schema = "rid long, doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     schema += "".join(f", row {rows.schema[c].dataType.simpleString()}" for c in carried)
-    return both.mapInArrow(_apply(with_text), schema)
+    return both.transform(in_arrow, _apply(with_text), schema)
 
 
 def op5_super_kmer_dedup(spark, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import encode_words, load, spans, steps, text_buffer
+from .common import encode_words, in_arrow, load, spans, steps, text_buffer
 
 SAMPLE_ROWS = 4000
 #: Blocks that the rows of a label are ranked in, and rows that a block gives at most.
@@ -218,7 +218,7 @@ def learn(docs: DataFrame, labels: DataFrame, train: F.Column, rows: int = SAMPL
     if not t or not c:
         sample.unpersist()
         return Lexicon({}), np.zeros(0)
-    counted = sample.mapInArrow(_stems, "stem string, toxic int, n long").groupBy("stem").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c"))
+    counted = sample.transform(in_arrow, _stems, "stem string, toxic int, n long").groupBy("stem").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c"))
     odds = F.log((F.col("t") + 0.1) / F.lit(t + 0.2)) - F.log((F.col("c") + 0.1) / F.lit(c + 0.2))
     best = counted.filter(F.col("t") >= MIN_ROWS).withColumn("odds", odds).filter(F.col("odds") >= MIN_ODDS).orderBy(F.desc(F.col("odds") * F.sqrt("t")), "stem").limit(LEXICON * 8).collect()
     rows_of = {r["stem"]: r["t"] for r in best}
@@ -237,7 +237,7 @@ def learn(docs: DataFrame, labels: DataFrame, train: F.Column, rows: int = SAMPL
             break
     lexicon = Lexicon(stems)
     shared = sample.sparkSession.sparkContext.broadcast(lexicon)
-    got = sample.mapInArrow(_featured(shared), "toxic int, x array<double>").collect()
+    got = sample.transform(in_arrow, _featured(shared), "toxic int, x array<double>").collect()
     sample.unpersist()
     y, x = np.array([r[0] for r in got], float), np.array([r[1] for r in got])
     # the sample holds equal parts where it can: weigh labels back to one toxic row in five
@@ -276,7 +276,7 @@ def score(rows: DataFrame, model: tuple[Lexicon, np.ndarray]) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(model)
     keep = rows.drop("text")
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keep.schema] + ["score double", "predicted int"])
-    return rows.mapInArrow(_scored(shared), schema)
+    return rows.transform(in_arrow, _scored(shared), schema)
 
 
 def op7_toxicity_automata(spark, sf_dir: str) -> DataFrame:
