@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import in_arrow, load, steps
 
-REMEMBERED = 250_000
+REMEMBERED = 120_000
 #: Longer pre-tokens are merged alone and not remembered.
 SHORT = 64
 

@@ -29,7 +29,9 @@ from .common import binary_array, encode_words, hash_words, in_arrow, load, mix,
 WINDOW, MINIMISER = 13, 3
 _LAST = np.iinfo(np.int64).max
 #: Stored bytes of the input behind each bucket of windows and behind each partition of texts.
-BUCKET_BYTES, TEXT_BYTES = 2_400_000, 4_000_000
+BUCKET_BYTES, TEXT_BYTES = 1_200_000, 2_000_000
+#: Bytes of text whose super-k-mers are packed at once.
+_PACKED = 2 << 20
 
 
 def _pack(*arrays: np.ndarray | bytes) -> bytes:
@@ -80,7 +82,7 @@ def super_kmers(words: np.ndarray, first: np.ndarray, window: int, m: int) -> tu
 
 def _send(window: int, m: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches):
+        for batch in steps(batches, most=_PACKED):
             raw, at = text_buffer(batch.column("text"))
             start, end, first, mask = spans(raw, at)
             if len(start) < window:
@@ -149,6 +151,13 @@ def repeated_windows(ids: np.ndarray, starts: np.ndarray, owner: np.ndarray, win
     return flags
 
 
+def _word_ids(raw: np.ndarray) -> np.ndarray:
+    """An exact id for each of the words, every one of which a blank follows."""
+    blank = raw == 0x20
+    lengths = np.diff(np.flatnonzero(blank), prepend=-1) - 1
+    return binary_array(raw[~blank], lengths).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+
+
 def _judge(window: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[bytes]] = defaultdict(list)
@@ -161,10 +170,8 @@ def _judge(window: int, parts: int):
             pos, size = (np.frombuffer(b"".join(x[i] for x in got), np.int32).astype(np.int64) for i in (2, 3))
             raw = np.frombuffer(b"".join(x[4] for x in got), np.uint8)
             del got
-            blank = raw == 0x20
-            ends = np.flatnonzero(blank)
-            lengths = np.diff(ends, prepend=-1) - 1
-            ids = binary_array(raw[~blank], lengths).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            ids = _word_ids(raw)
+            del raw
             first = np.cumsum(size) - size
             each = size - window + 1
             kmer = np.repeat(np.arange(len(size)), each)
