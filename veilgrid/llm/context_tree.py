@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, binary_array, cut, encode_words, hash_words, in_arrow, load, mix, parts_for, row_key, spans, steps, text_buffer
 
-DEPTH, TOP = 6, 2
+DEPTH, TOP = 5, 2
 TEXT_BYTES, BUCKET_BYTES = 3_500_000, 8_000_000
 _STEP = 6 << 20
 _END = b" "  # no word has a blank
