@@ -328,6 +328,41 @@ def test_context_tree_scores(spark):
     assert {x.train_tokens for x in context_tree.score_texts(frame(spark, ["a"]), F.lit(False)).collect()} == {0}
 
 
+def test_context_trees_look_six_bytes_back(spark):
+    texts = ["1abcde1", "2abcde2"] * 20 + ["1abcde1", "1abcde2"]
+    rows = {x.doc_id: x for x in context_tree.score_texts(frame(spark, texts), F.col("doc_id") < 40).collect()}
+    assert rows[40].score > rows[41].score + 1
+
+
+def test_context_tree_grams_are_sent_once_a_partition(monkeypatch):
+    texts = ["the same words again", "other words", "", "the same words again", "é new"] * 3
+    n = len(texts)
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(n), pa.int64()), "text": pa.array(texts), "train": pa.array([i % 5 != 4 for i in range(n)]), "rid": pa.array(range(n), pa.int64()), "part": pa.array([0] * n, pa.int32())})
+
+    def scores(step):
+        monkeypatch.setattr(context_tree, "_STEP", step)
+        sent = list(context_tree._send(4)(iter([batch])))
+        grams = [k for b in sent for k in b.column("bucket").to_pylist() if k < 4]
+        assert sorted(grams) == sorted(set(grams))
+        rows = [r for b in context_tree._summarise(4)(iter(sent)) for r in b.to_pylist()]
+        sums = defaultdict(lambda: [0.0, 0.0, 0.0])
+        for r in rows:
+            for i, c in enumerate(("zeros", "ones", "child")):
+                sums[r["context"], r["node"]][i] += r[c]
+        total, kinds, _ = sums.pop((-1, 0))
+        shallow = type("Shared", (), {"value": context_tree.Shallow([(*k, *v) for k, v in sums.items()])})
+        both = []
+        for a in context_tree._answer(4, shallow)(iter(sent)):
+            m = a.num_rows
+            both.append(pa.RecordBatch.from_pydict({"doc_id": pa.nulls(m, pa.int64()), "text": pa.nulls(m, pa.string()), "train": pa.nulls(m, pa.bool_()), "rid": pa.nulls(m, pa.int64()), **{c: a.column(c) for c in ("part", "bucket", "seq", "answer")}}))
+        own = batch.to_pydict() | {c: [None] * n for c in ("bucket", "seq", "answer")}
+        both.append(pa.RecordBatch.from_pydict(own, schema=both[0].schema))
+        return {r["doc_id"]: (r["score"], r["base_score"]) for b in context_tree._score(4, int(total), int(kinds))(iter(both)) for r in b.to_pylist()}
+
+    whole, cut = scores(6 << 20), scores(30)
+    assert len(whole) == n and all(cut[i] == pytest.approx(whole[i]) for i in whole)
+
+
 def test_toxicity(spark):
     r = random.Random(8)
     clean = [f"{a}{b}" for a in "ba ko lu me".split() for b in "n r st l".split()]
