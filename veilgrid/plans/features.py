@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CATEGORIES = 15
-FOLDS = 3
+FOLDS = 5
 MIN_VARIANCE = 1e-5
 
 
@@ -28,31 +28,39 @@ def is_categorical(values: DataFrame, column: str) -> bool:
     return values.select(column).distinct().limit(CATEGORIES + 1).count() <= CATEGORIES
 
 
-def select_features(encoded: DataFrame, names: list[str], target: int, classifier=None, regressor=None, sample_rows: int = 20_000) -> FeatureSelection:
-    """encoded: v, the encoded columns.  The tree is fitted on the sample_rows rows of least hash at most."""
-    rows = encoded.select("v", F.xxhash64("v").alias("h"))
-    total = rows.count()
-    if total > sample_rows:
-        rows = rows.orderBy("h").limit(sample_rows)
-    rows = rows.select("h", *[F.col("v")[i].alias(f"x{i}") for i in range(len(names))]).persist()
+def select_features(encoded: DataFrame, names: list[str], target: int, classifier=None, regressor=None) -> FeatureSelection:
+    """encoded: v, the encoded columns.  All rows count: equal ones are one row with a weight in each fold.
+
+    A model without weightCol gets a row for each.  The copies of a vector are dealt over the folds in turn, from a fold by its hash.
+    """
+    columns = [f"x{i}" for i in range(len(names))]
+    wide = encoded.select(*[F.col("v")[i].alias(x) for i, x in enumerate(columns)])
+    distinct = wide.groupBy(*columns).agg(F.count("*").alias("n"))
+    dealt = distinct.select("*", F.explode(F.sequence(F.lit(0), F.least(F.col("n"), F.lit(FOLDS)).cast("int") - 1)).alias("j"))
+    weight = F.floor(F.col("n") / FOLDS) + F.when(F.col("j") < F.col("n") % FOLDS, 1).otherwise(0)
+    rows = dealt.select(*columns, weight.cast("double").alias("weight"), F.pmod(F.xxhash64(*columns) + F.col("j"), F.lit(FOLDS)).alias("fold")).persist()
+    held = rows
     label = f"x{target}"
     categorical = is_categorical(rows, label)
     if categorical:
         codes = {r[0]: float(i) for i, r in enumerate(rows.select(label).distinct().orderBy(label).collect())}
         table = F.create_map(*[F.lit(x) for kv in codes.items() for x in kv])
         rows = rows.withColumn("label", table[F.col(label)])
-        model, evaluator = classifier or DecisionTreeClassifier(seed=0), MulticlassClassificationEvaluator(metricName="accuracy")
+        model, evaluator = classifier or DecisionTreeClassifier(seed=0), MulticlassClassificationEvaluator(metricName="accuracy", weightCol="weight")
     else:
         rows = rows.withColumn("label", F.col(label))
-        model, evaluator = regressor or DecisionTreeRegressor(seed=0), RegressionEvaluator(metricName="r2")
+        model, evaluator = regressor or DecisionTreeRegressor(seed=0), RegressionEvaluator(metricName="r2", weightCol="weight")
+    if model.hasParam("weightCol"):
+        model = model.copy({model.weightCol: "weight"})
+    else:
+        rows = rows.withColumn("weight", F.explode(F.array_repeat(F.lit(1.0), F.col("weight").cast("int"))))
     others = [i for i in range(len(names)) if i != target]
-    spread = rows.agg(*[F.variance(f"x{i}").alias(f"x{i}") for i in others]).first() if others else {}
+    spread = wide.agg(*[F.variance(f"x{i}").alias(f"x{i}") for i in others]).first() if others else {}
     left = [i for i in others if (spread[f"x{i}"] or 0.0) > MIN_VARIANCE]
-    fold = F.pmod(F.xxhash64("h", F.lit("fold")), F.lit(FOLDS))
     best: tuple[float, list[int]] = (float("-inf"), [])
     importance: dict[int, float] = {}
     while left:
-        made = VectorAssembler(inputCols=[f"x{i}" for i in left], outputCol="features").transform(rows).select("features", "label", fold.alias("fold"))
+        made = VectorAssembler(inputCols=[f"x{i}" for i in left], outputCol="features").transform(rows).select("features", "label", "weight", "fold")
         scores = []
         for k in range(FOLDS):
             train, test = made.filter(F.col("fold") != k), made.filter(F.col("fold") == k)
@@ -65,6 +73,6 @@ def select_features(encoded: DataFrame, names: list[str], target: int, classifie
         if score >= best[0]:
             best = (score, list(left))
         left.remove(min(left, key=lambda i: (importance[i], -i)))
-    rows.unpersist()
+    held.unpersist()
     ranked = sorted(best[1], key=lambda i: -importance[i])
     return FeatureSelection(names[target], [names[i] for i in ranked], {names[i]: importance.get(i, 0.0) for i in others}, len(ranked))
