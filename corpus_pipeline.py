@@ -16,8 +16,10 @@ ORACLE_SQL = None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps what has a language: documents without a letter, or none at all, go."""
+    """Keeps what has a language: documents without a letter, or none at all, go; so too where no row names its language."""
     model = language_id.fit(docs, F.lit(True))
+    if not model.names:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     rows = docs.select("text", F.struct(*docs.columns).alias("row"))
     return language_id.predict(rows, model).filter(F.col("lang_pred") != language_id.UND).select("row.*")
 

@@ -34,3 +34,10 @@ def test_stages(spark, tmp_path):
     assert seen["decontaminate"][0].text == texts[0]
     assert set(seen["byte_bpe"]) == kept and all(x.n_tokens == len(x.ids) > 0 for x in seen["byte_bpe"].values())
     assert docs.filter(F.col("n_tokens") <= 0).count() == 0
+
+
+def test_documents_without_any_label_stay(spark):
+    texts = ["some words", None, "12 !", "", "é"]
+    docs = spark.createDataFrame([(i, t, None, "s", None, "own", 7, "own") for i, t in enumerate(texts)], SCHEMA)
+    got = corpus_pipeline.identify_language(spark, docs, "")
+    assert got.columns == docs.columns and {x.doc_id for x in got.collect()} == {0, 4}
