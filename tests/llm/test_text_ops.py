@@ -379,6 +379,14 @@ def test_toxicity(spark):
     assert {x.score for x in toxicity.score(docs.select("doc_id", "text"), none).collect()} == {0.0}
 
 
+def test_near_stems_match_longer_words():
+    lexicon = toxicity.Lexicon({"stupid": 3.0, "zarko": 2.0, "mork": 2.0, "plinth$": 2.0})
+    assert lexicon.look(b"stupidity")[0] == 3.0
+    assert all(lexicon.look(w)[1] == 3.0 for w in (b"stpidity", b"sttupidity", b"stupdiity", b"xtupidity", b"tupidity"))
+    assert all(lexicon.look(w)[1] == 2.0 for w in (b"qarkoes", b"azrkoes", b"arkoes", b"plnth"))
+    assert all(lexicon.look(w)[:2] == (0.0, 0.0) for w in (b"mrokes", b"plnthes", b"stpdity"))
+
+
 def test_quality_rules(spark):
     texts = corpus(80)
     got = {x.doc_id: x for x in quality_rules.base_rules(frame(spark, texts)).collect()}

@@ -4,7 +4,8 @@ The lexicon is learnt from labelled text: stems (beginnings of words, and whole
 in toxic rows far more often than in others.  It is kept as a trie whose ends carry the stem's
 log-odds.  A word is matched by walking the trie with the rows of a Levenshtein automaton, so all
 stems within one edit (for stems of `FUZZY_FROM` letters on) are found in one walk; digits and
-signs that stand for letters are folded first.  The score of a text comes from what its hits say in
+signs that stand for letters are folded first.  As without edits, a word may go on after a stem that
+is not a whole word; shorter stems are matched without edits only.  The score of a text comes from what its hits say in
 their context windows: hits within quotation marks or after a word of reporting, and hits that other hits
 stand near, are counted apart, and a logistic model over these counts, fitted on the same labelled
 rows, tells quotation from abuse.
@@ -73,7 +74,7 @@ class Trie:
         return max(best, node.get("stem", 0.0), node.get("whole", 0.0))
 
     def fuzzy(self, word: str) -> float:
-        """The same within one edit (insertion, deletion, substitution or swap of neighbours) of a stem of FUZZY_FROM letters or more.
+        """The same, whatever the word's rest, within one edit (insertion, deletion, substitution or swap of neighbours) of a stem of FUZZY_FROM letters or more.
 
         The automaton's state is its row of edit distances over word[:i], as at most three live (i, edits) pairs.
         """
@@ -87,7 +88,7 @@ class Trie:
                 continue
             seen.add(key)
             if node.get("size", 0) >= FUZZY_FROM:
-                if "stem" in node and n - i <= 1:
+                if "stem" in node:
                     best = max(best, node["stem"])
                 if "whole" in node and n - i + edits <= 1:
                     best = max(best, node["whole"])
@@ -112,7 +113,8 @@ class Lexicon:
         self.stems = stems
         self.trie = Trie(stems)
         self.cache: dict[bytes, tuple[float, float, bool]] = {}
-        self.first = {s[:1] for s in stems} | {s[1:2] for s in stems if len(s) > FUZZY_FROM}
+        long = [x for s in stems if len(x := s.rstrip("$")) >= FUZZY_FROM]
+        self.begin, self.inner = {x[:2] for x in long}, {x[3:5] for x in long}
 
     def __reduce__(self):
         return Lexicon, (self.stems,)
@@ -123,8 +125,9 @@ class Lexicon:
         if len(word) < STEM_MIN:
             return 0.0, 0.0, False
         exact = self.trie.exact(word)
-        # a word one edit from a stem begins with the stem's first or second letter, or has its first letter second
-        fuzzy = 0.0 if exact or len(word) < FUZZY_FROM - 1 or not (word[0] in self.first or word[1] in self.first) else self.trie.fuzzy(word)
+        # one edit leaves the stem's first two letters as they are, or its fourth and fifth, moved by one place at most
+        may = len(word) >= FUZZY_FROM - 1 and (word[:2] in self.begin or any(word[i : i + 2] in self.inner for i in (2, 3, 4)))
+        fuzzy = self.trie.fuzzy(word) if may and not exact else 0.0
         return exact, fuzzy, word in _REPORTING
 
     def features(self, batch: pa.RecordBatch) -> np.ndarray:
