@@ -5,7 +5,7 @@ revision takes the old count away and adds the new one.  A batch of changes is a
 for each (source, lang, tokenizer) and written under its batch id; a batch counts once its commit
 marker stands, which is renamed into place last.  Totals are the sums over committed batches, so
 a batch that is sent again, or whose first attempt died half way, changes nothing twice.
-`compact` folds committed batches into one snapshot with the ids it holds.
+Batches are never folded together: every total reads all that were committed.
 
 Defined cases: a null source or lang is a key of its own; a null text has no tokens; keys whose
 documents and tokens are all gone drop out of the totals; an empty batch commits and adds nothing.
