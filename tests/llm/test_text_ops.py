@@ -417,3 +417,38 @@ def test_word_hashes_are_by_content():
     a = hash_words(pa.array([b"x", b"yz", b"", b"x"]))
     b = hash_words(pa.array([b"yz", b"x"]))
     assert a[0] == a[3] == b[1] and a[1] == b[0] and len(set(a.tolist())) == 3
+
+
+def one_edit_apart(a, b):
+    """By the recurrence of the distance with swaps of neighbours."""
+    d = [[max(i, j) if not i or not j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+    return d[-1][-1] <= 1
+
+
+def test_the_automaton_finds_what_brute_force_finds():
+    r = random.Random(6)
+    draw = lambda lo, hi: "".join(r.choice("abcé") for _ in range(r.randint(lo, hi)))
+    stems = {draw(3, 8) + r.choice(["", "$"]): float(r.randint(1, 9)) for _ in range(25)}
+    lexicon = toxicity.Lexicon(stems)
+    hits = 0
+    for _ in range(1500):
+        word = draw(3, 10)
+        want = max((w for s, w in stems.items() if (x := s.rstrip("$")) and len(x) >= toxicity.FUZZY_FROM and (one_edit_apart(word, x) if s.endswith("$") else any(one_edit_apart(word[:k], x) for k in range(len(word) + 1)))), default=0.0)
+        assert lexicon.near.best(word) == want, (word, stems)
+        hits += want > 0
+        exact = max((w for s, w in stems.items() if (word == s[:-1] if s.endswith("$") else word.startswith(s))), default=0.0)
+        assert lexicon.trie.exact(word) == exact
+    assert 50 < hits < 1450
+    assert lexicon.near.best("") == 0.0 and toxicity.Lexicon({}).look(b"other") == (0.0, 0.0, False)
+
+
+def test_quotation_marks_quote_within_a_line_and_apostrophes_do_not():
+    texts = ["don’t you zugdorf now", "“you zugdorf now”", 'say "zugdorf" now', 'an inch is 1" zugdorf', '"one line\nzugdorf" two', "‘a zugdorf’ said", "«zugdorf»", "„zugdorf“", "zugdorf “then”", None, ""]
+    x = toxicity.Lexicon({"zugdorf": 3.0}).features(pa.RecordBatch.from_pydict({"text": pa.array(texts)}))
+    assert (x[:, 1] > 0).tolist() == [False, True, True, False, False, True, True, True, False, False, False]
+    assert (x[:, 0] > 0).tolist() == [True, False, False, True, True, False, False, False, True, False, False]

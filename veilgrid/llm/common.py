@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A word is a run of anything but blank and the controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -90,7 +91,7 @@ def _tidy(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch
     return run
 
 
-def in_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def in_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """mapInArrow whose batches are bounded in bytes as well as in rows, however long the texts are."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     now = conf.get(key).lower().removesuffix("b")

@@ -1,14 +1,20 @@
 """Toxicity by Levenshtein automata intersected with a lexicon trie.
 
 The lexicon is learnt from labelled text: stems (beginnings of words, and whole words) that stand
-in toxic rows far more often than in others.  It is kept as a trie whose ends carry the stem's
-log-odds.  A word is matched by walking the trie with the rows of a Levenshtein automaton, so all
-stems within one edit (for stems of `FUZZY_FROM` letters on) are found in one walk; digits and
-signs that stand for letters are folded first.  As without edits, a word may go on after a stem that
-is not a whole word; shorter stems are matched without edits only.  The score of a text comes from what its hits say in
-their context windows: hits within quotation marks or after a word of reporting, and hits that other hits
-stand near, are counted apart, and a logistic model over these counts, fitted on the same labelled
-rows, tells quotation from abuse.
+in toxic rows far more often than in others, LEXICON of them at most.  It is kept as a trie whose
+ends carry the stem's log-odds.  The Levenshtein automaton of one edit (insertion, deletion,
+substitution, swap of neighbours) intersected with the trie is determinised as words call for it:
+a state is the set of (trie node, edits) pairs that are live after some letters, and each state's
+moves are remembered, so that a word costs a step a letter and most words end in the dead state after
+a few.  Stems of fewer than `FUZZY_FROM` letters are matched without edits only; digits and signs
+that stand for letters are folded first.  As without edits, a word may go on after a stem that is
+not a whole word.
+
+The score of a text comes from what its hits say in their context windows: hits between quotation
+marks of one line or within `NEAR` words after a word of reporting, and hits that other hits stand
+near, are counted apart, and a logistic model over these counts, fitted on the same labelled rows,
+tells quotation from abuse.  A mark quotes only what stands between it and another on the same
+line; an apostrophe within a word is no mark.
 
 The lexicon and the model are fitted on a bounded sample of labelled rows (SAMPLE_ROWS per label,
 those of least hash).  Every whole text is scored, from its text alone.
@@ -27,21 +33,28 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from .common import encode_words, in_arrow, load, spans, steps, text_buffer
 
+#: Labelled rows of each label that are fitted on at most.
 SAMPLE_ROWS = 4000
-#: Blocks that the rows of a label are ranked in, and rows that a block gives at most.
-BLOCKS, BLOCK_ROWS = 64, 1000
+#: Blocks that the rows of a label are ranked in first, so that no task sorts all of them.
+BLOCKS = 64
+#: Letters of a stem, and stems at most.
 STEM_MIN, STEM_MAX, LEXICON = 3, 12, 400
 MIN_ROWS, MIN_ODDS = 4, 2.5
 FUZZY_FROM = 5
 NEAR = 6
+#: Remembered words, and automaton states, of a task; both are dropped and found again when they are more.
+REMEMBERED, STATES = 400_000, 200_000
 _LOOKALIKE = str.maketrans("013457@$!|", "oleastasii")
-_REPORTING = {"said", "says", "called", "wrote", "quote", "quoted", "word", "term", "a dit", "sagte", "dijo"}
-_QUOTES = "\"“”«»„‘’"
-#: Word bytes: anything but white space; signs are stripped from the word's ends later.
-_SIGNS = " \t\r\n.,;:!?()[]{}<>#*$%&|+=~^/\\_-" + _QUOTES + "'`"
+_REPORTING = {"said", "says", "called", "wrote", "quote", "quoted", "word", "term", "dit", "sagte", "dijo"}
+_DOUBLE, _SINGLE = "\"“”«»„", "‘’"
+_SIGNS = " \t\r\n.,;:!?()[]{}<>#*$%&|+=~^/\\_-" + _DOUBLE + _SINGLE + "'`"
+#: Bytes of letters and digits; those of a mark of three bytes are taken out where they stand.
+_LETTER = np.zeros(256, bool)
+_LETTER[0x30:0x3A] = _LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = _LETTER[0x80:] = True
 
 
 def normal(word: str) -> str:
@@ -51,70 +64,136 @@ def normal(word: str) -> str:
 
 
 class Trie:
-    """Stems with weights; a whole-word stem ends in '$'."""
+    """Stems with weights, a whole-word stem ending in '$': moves of each node by letter, and what ends there."""
 
     def __init__(self, stems: dict[str, float]):
-        self.root: dict = {}
+        self.moves: list[dict[str, int]] = [{}]
+        self.stem: list[float] = [0.0]
+        self.whole: list[float] = [0.0]
+        self.size: list[int] = [0]
         for stem, weight in stems.items():
-            node = self.root
+            node = 0
             for c in stem.rstrip("$"):
-                node = node.setdefault(c, {})
-            node["whole" if stem.endswith("$") else "stem"] = weight
-            node["size"] = len(stem.rstrip("$"))
+                if c not in self.moves[node]:
+                    self.moves[node][c] = len(self.moves)
+                    self.moves.append({})
+                    self.stem.append(0.0)
+                    self.whole.append(0.0)
+                    self.size.append(self.size[node] + 1)
+                node = self.moves[node][c]
+            (self.whole if stem.endswith("$") else self.stem)[node] = weight
 
     def exact(self, word: str) -> float:
         """The largest weight among stems that the word begins with (or is)."""
-        node, best = self.root, 0.0
+        node, best = 0, 0.0
         for c in word:
-            if "stem" in node:
-                best = max(best, node["stem"])
-            node = node.get(c)
-            if node is None:
+            node = self.moves[node].get(c, -1)
+            if node < 0:
                 return best
-        return max(best, node.get("stem", 0.0), node.get("whole", 0.0))
-
-    def fuzzy(self, word: str) -> float:
-        """The same, whatever the word's rest, within one edit (insertion, deletion, substitution or swap of neighbours) of a stem of FUZZY_FROM letters or more.
-
-        The automaton's state is its row of edit distances over word[:i], as at most three live (i, edits) pairs.
-        """
-        best = 0.0
-        n = len(word)
-        todo = [(self.root, 0, 0)]
-        seen = set()
-        while todo:
-            node, i, edits = todo.pop()
-            if (key := (id(node), i, edits)) in seen:
+            best = max(best, self.stem[node])
+        return max(best, self.whole[node])
+
+
+class OneEdit:
+    """The trie intersected with the Levenshtein automaton of one edit, determinised on demand.
+
+    A live pair is (node, edits, letter): the letter is the one that must come next to end a swap, else ''.
+    """
+
+    def __init__(self, trie: Trie):
+        self.trie = trie
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number: dict[frozenset, int] = {}
+        self.sets: list[frozenset] = []
+        self.moves: list[dict[str, int]] = []
+        self.begun: list[float] = []  # the best stem that ends here, and the best whole word
+        self.ended: list[float] = []
+        self._state(frozenset())  # 0 is dead
+        self.start = self._state(self._with_deletions({(0, 0, "")}))
+
+    def _with_deletions(self, live: set[tuple[int, int, str]]) -> frozenset:
+        """With the pairs that a letter left out leads to."""
+        return frozenset(live | {(child, 1, "") for node, edits, _ in live if edits == 0 for child in self.trie.moves[node].values()})
+
+    def _state(self, live: frozenset) -> int:
+        if live not in self.number:
+            self.number[live] = len(self.sets)
+            self.sets.append(live)
+            self.moves.append({})
+            at = [node for node, _, letter in live if not letter and self.trie.size[node] >= FUZZY_FROM]
+            self.begun.append(max((self.trie.stem[n] for n in at), default=0.0))
+            self.ended.append(max((self.trie.whole[n] for n in at), default=0.0))
+        return self.number[live]
+
+    def _step(self, state: int, c: str) -> int:
+        moves, out = self.trie.moves, set()
+        for node, edits, letter in self.sets[state]:
+            if letter:
+                if c == letter:
+                    out.add((node, 1, ""))
                 continue
-            seen.add(key)
-            if node.get("size", 0) >= FUZZY_FROM:
-                if "stem" in node:
-                    best = max(best, node["stem"])
-                if "whole" in node and n - i + edits <= 1:
-                    best = max(best, node["whole"])
-            if i < n and (child := node.get(word[i])) is not None:
-                todo.append((child, i + 1, edits))
+            if c in moves[node]:
+                out.add((moves[node][c], edits, ""))
             if edits == 0:
-                if i < n:
-                    todo.append((node, i + 1, 1))
-                for c, child in node.items():
-                    if len(c) > 1:
-                        continue
-                    todo.append((child, i, 1))
-                    if i < n and c != word[i]:
-                        todo.append((child, i + 1, 1))
-                        if i + 1 < n and word[i + 1] == c and (swap := child.get(word[i])) is not None:
-                            todo.append((swap, i + 2, 1))
-        return best
+                out.add((node, 1, ""))
+                for x, child in moves[node].items():
+                    out.add((child, 1, ""))
+                    if c in moves[child] and x != c:
+                        out.add((moves[child][c], 1, x))
+        found = self.moves[state][c] = self._state(self._with_deletions(out))
+        return found
+
+    def best(self, word: str) -> float:
+        """The largest weight among stems of FUZZY_FROM letters or more within one edit of the word's beginning (or of the word)."""
+        if len(self.sets) > STATES:
+            self._forget()
+        moves, begun = self.moves, self.begun
+        state, best = self.start, 0.0
+        for c in word:
+            got = moves[state].get(c)
+            state = self._step(state, c) if got is None else got
+            if state == 0:
+                return best
+            if begun[state] > best:
+                best = begun[state]
+        return max(best, self.ended[state])
+
+
+def _marks(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where double quotation marks begin, and single ones that are no apostrophe within a word; at: where texts begin, and the end."""
+    if not len(raw):
+        return np.zeros(0, bool), np.zeros(0, bool)
+    next1, next2, next3 = (np.append(raw[i:], np.zeros(min(i, len(raw)), np.uint8)) for i in (1, 2, 3))
+    general = (raw == 0xE2) & (next1 == 0x80)
+    double = (raw == 0x22) | general & ((next2 == 0x9C) | (next2 == 0x9D) | (next2 == 0x9E)) | (raw == 0xC2) & ((next1 == 0xAB) | (next1 == 0xBB))
+    single = general & ((next2 == 0x98) | (next2 == 0x99))
+    open_left, open_right = _LETTER[np.append(np.uint8(0), raw[:-1])], _LETTER[next3]
+    open_left[at[:-1][at[:-1] < len(raw)]] = False
+    open_right[at[1:][at[1:] >= 3] - 3] = False
+    return double, single & ~(open_left & open_right)
+
+
+def quoted_at(raw: np.ndarray, at: np.ndarray, place: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether each place of raw stands between two marks of its line."""
+    lines = np.flatnonzero(raw == 10)
+    before, after = np.searchsorted(lines, place), np.searchsorted(lines, place)
+    begin = np.maximum(at[doc], np.where(before > 0, np.append(lines, 0)[before - 1] + 1, 0))
+    stop = np.minimum(at[doc + 1], np.append(lines, len(raw))[after])
+    inside = np.zeros(len(place), bool)
+    for mark in _marks(raw, at):
+        total = np.append(0, np.cumsum(mark))
+        inside |= ((total[place] - total[begin]) % 2 == 1) & (total[stop] > total[place])
+    return inside
 
 
 class Lexicon:
     def __init__(self, stems: dict[str, float]):
         self.stems = stems
         self.trie = Trie(stems)
+        self.near = OneEdit(self.trie)
         self.cache: dict[bytes, tuple[float, float, bool]] = {}
-        long = [x for s in stems if len(x := s.rstrip("$")) >= FUZZY_FROM]
-        self.begin, self.inner = {x[:2] for x in long}, {x[3:5] for x in long}
 
     def __reduce__(self):
         return Lexicon, (self.stems,)
@@ -125,10 +204,7 @@ class Lexicon:
         if len(word) < STEM_MIN:
             return 0.0, 0.0, False
         exact = self.trie.exact(word)
-        # one edit leaves the stem's first two letters as they are, or its fourth and fifth, moved by one place at most
-        may = len(word) >= FUZZY_FROM - 1 and (word[:2] in self.begin or any(word[i : i + 2] in self.inner for i in (2, 3, 4)))
-        fuzzy = self.trie.fuzzy(word) if may and not exact else 0.0
-        return exact, fuzzy, word in _REPORTING
+        return exact, 0.0 if exact else self.near.best(word), word in _REPORTING
 
     def features(self, batch: pa.RecordBatch) -> np.ndarray:
         """A row of FEATURES for each text."""
@@ -144,18 +220,18 @@ class Lexicon:
             if got is None:
                 got = cache[w] = self.look(w)
             looked.append(got)
-        if len(cache) > 400_000:
+        if len(cache) > REMEMBERED:
             cache.clear()
         look = np.array(looked, float).reshape(-1, 3)
-        marks = np.array([sum(w.count(q.encode()) for q in _QUOTES) if any(ord(c) > 127 or c == '"' for c in w.decode("utf-8", "replace")) else 0 for w in words.to_pylist()])
         exact, fuzzy, report = (look[ids, i] for i in range(3))
         hit = np.flatnonzero((exact > 0) | (fuzzy > 0))
         if not len(hit):
             return out
         doc = np.searchsorted(first, hit, side="right") - 1
-        before = np.append(0, np.cumsum(marks[ids]))
-        own = marks[ids[hit]]
-        inside = ((before[hit] - before[first[doc]]) % 2 == 1) | (own > 0)
+        # a word's own marks before its first letter open a quotation
+        letter = np.flatnonzero(_LETTER[raw] & ~_of_mark(raw, at))
+        place = np.append(letter, len(raw))[np.searchsorted(letter, start[hit])]
+        inside = quoted_at(raw, at, np.minimum(place, end[hit] - 1), doc)
         reports = np.append(0, np.cumsum(report))
         told = reports[hit] - reports[np.maximum(first[doc], hit - NEAR)] > 0
         hits = np.append(0, np.cumsum((exact > 0) | (fuzzy > 0)))
@@ -176,6 +252,16 @@ class Lexicon:
         return out
 
 
+def _of_mark(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The bytes of quotation marks beyond ASCII."""
+    out = np.zeros(len(raw) + 3, bool)
+    double, single = _marks(raw, at)
+    begin = np.flatnonzero((double | single) & (raw >= 0x80))
+    out[begin] = out[begin + 1] = True
+    out[begin[raw[begin] == 0xE2] + 2] = True
+    return out[: len(raw)]
+
+
 FEATURES = ("exact", "exact_quoted", "fuzzy", "fuzzy_quoted", "near_others", "odds", "fuzzy_odds", "density")
 
 
@@ -209,7 +295,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, train: F.Column, rows: i
     # first within blocks of each label, where Spark keeps only the least of each task before it shuffles; what is left is bounded
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     in_block = F.row_number().over(Window.partitionBy("toxic", F.pmod(F.xxhash64("doc_id"), F.lit(BLOCKS))).orderBy(*order))
-    few = one.withColumn("n", in_block).filter(F.col("n") <= min(rows, BLOCK_ROWS)).select("doc_id", "toxic")
+    few = one.withColumn("n", in_block).filter(F.col("n") <= rows).select("doc_id", "toxic")
     chosen = few.withColumn("n", F.row_number().over(Window.partitionBy("toxic").orderBy(*order))).filter(F.col("n") <= rows).select("doc_id", "toxic")
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")  # 2 * rows ids at most
 
@@ -278,7 +364,7 @@ def _scored(shared):
 def score(rows: DataFrame, model: tuple[Lexicon, np.ndarray]) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(model)
     keep = rows.drop("text")
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keep.schema] + ["score double", "predicted int"])
+    schema = StructType([*keep.schema, StructField("score", DoubleType()), StructField("predicted", IntegerType())])
     return rows.transform(in_arrow, _scored(shared), schema)
 
 
