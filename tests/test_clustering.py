@@ -3,7 +3,7 @@ import pytest
 
 from veilgrid.operators.harvest import adjust_counts
 from veilgrid.operators.stitch import StitchOwner
-from veilgrid.plans.clustering import Clusters, ClusteringContext, build_clusters, quality, should_sample, simplify, solve, solve_with_features
+from veilgrid.plans.clustering import Clusters, ClusteringContext, build_clusters, should_sample, simplify, solve, solve_with_features, unmet
 
 
 def blocks(n: int = 8) -> ClusteringContext:
@@ -25,7 +25,7 @@ def test_dependent_columns_share_a_cluster():
     together = [set(c.initial), *[set(d) for _, _, d in c.derived]]
     assert all(any({i, i + 1} <= t for t in together) for i in range(0, 8, 2))
     assert sorted(x for t in together for x in t) == list(range(8))
-    assert quality(blocks(), c) < quality(blocks(), build_clusters(blocks(), 12.0, 0.1, [0, 2, 4, 6, 1, 3, 5, 7])) + 1e-9
+    assert unmet(blocks(), c) < unmet(blocks(), build_clusters(blocks(), 12.0, 0.1, [0, 2, 4, 6, 1, 3, 5, 7])) + 1e-9
 
 
 def test_simplify_merges_a_cluster_that_stitches_on_the_initial_one():

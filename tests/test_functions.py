@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from veilgrid.functions.intervals import Interval, null_sentinel, snap
+from veilgrid.functions.intervals import Range, checked, holds, hull, in_upper_half, inside, midpoint, null_sentinel, overlap, snap
 from veilgrid.functions.noise import (
     Contributions, compact_flattening, count_multiple, flatten, hash_pid, hash_strings, is_low_count, money_round_noise, noisy_row_limit, salted, uniform_int, xor_all,
 )
@@ -12,23 +12,29 @@ from veilgrid.functions.params import NOISELESS, AnonymizationParams, Flattening
 
 @pytest.mark.parametrize("raw", [(0, 1), (1, 2), (0, 0), (-3, 5), (0.3, 0.9), (10, 200), (-1e-3, 1e-3), (1.5, 1.5), (7, 9)])
 def test_snapped_ranges_hold_theirs_on_the_grid(raw):
-    s = snap(Interval(*raw))
-    assert s.min <= raw[0] and raw[1] <= s.max
-    assert math.frexp(s.size())[0] == 0.5
-    assert (s.min / (s.size() / 2)).is_integer()
+    lo, hi = snap(Range(*raw))
+    assert lo <= raw[0] and raw[1] <= hi
+    assert math.frexp(hi - lo)[0] == 0.5
+    assert (lo / ((hi - lo) / 2)).is_integer()
+    half = (hi - lo) / 2
+    assert raw[0] == raw[1] or math.floor(raw[0] / (half / 2)) * (half / 2) + half < raw[1]
 
 
-def test_interval_algebra():
-    x = Interval(0, 4)
-    assert (x.middle(), x.half_index(1.9), x.half_index(2), x.half(1)) == (2, 0, 1, Interval(2, 4))
-    assert x.contains_value(0) and not x.contains_value(4) and Interval(4, 4).contains_value(4)
-    assert x.overlaps(Interval(3, 5)) and not x.overlaps(Interval(4, 5)) and x.contains_interval(Interval(1, 4))
+def test_range_algebra(spark):
+    assert (midpoint(0, 4), Range(0, 4).half(True), Range(0, 4).half(False), hull(3, 1, 2)) == (2, (2, 4), (0, 2), (1, 3))
     with pytest.raises(ValueError):
-        Interval(2, 1)
+        checked(2, 1)
+    from pyspark.sql import functions as F
+
+    rows = [(0.0, 4.0, 0.0, 1.0, 4.0), (0.0, 4.0, 4.0, 3.0, 5.0), (0.0, 4.0, 1.9, 4.0, 5.0), (4.0, 4.0, 4.0, 0.0, 4.0), (0.0, 4.0, 2.0, 0.0, 4.0), (0.0, 4.0, None, 5.0, 6.0)]
+    df = spark.createDataFrame(rows, "lo double, hi double, v double, a double, b double")
+    lo, hi, v, a, b = (F.col(c) for c in df.columns)
+    got = [tuple(r) for r in df.select(F.coalesce(in_upper_half(v, lo, hi), F.lit(False)), F.coalesce(holds(lo, hi, v), F.lit(False)), inside(a, b, lo, hi), overlap(lo, hi, a, b)).collect()]
+    assert got == [(False, True, True, True), (True, False, False, True), (False, True, False, False), (False, True, False, False), (True, True, True, True), (False, False, False, False)]
 
 
 def test_null_sentinels_are_outside():
-    assert (null_sentinel(Interval(-2, 6)), null_sentinel(Interval(-2, 0)), null_sentinel(Interval(0, 0))) == (12, -4, 1.0)
+    assert (null_sentinel(Range(-2, 6)), null_sentinel(Range(-2, 0)), null_sentinel(Range(0, 0))) == (12, -4, 1.0)
 
 
 def test_id_hashes_are_fixed():

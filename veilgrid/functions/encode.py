@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.tables import cut, numbered
-from .intervals import Interval, null_sentinel, snap
+from .intervals import Range, hull, null_sentinel, snap
 from .params import ColumnType, column_type
 
 TOP = 0.9999
@@ -27,7 +27,7 @@ class Encoder:
     high: float = 0.0
     precision: int = 0
     sentinel: float = 1.0
-    root: Interval | None = None
+    root: Range | None = None
     value_safe: bool = False
 
     @property
@@ -90,15 +90,14 @@ def fit(df: DataFrame, value_safe: list[bool] | None = None) -> tuple[list[Encod
         for i, e in enumerate(plain):
             e.low, e.high = (0.0, 0.0) if row[f"a{i}"] is None else (float(row[f"a{i}"]), float(row[f"b{i}"]))
             if row[f"a{i}"] is None:
-                e.sentinel, e.root = 1.0, snap(Interval(0.0, 1.0))
+                e.sentinel, e.root = 1.0, snap(Range(0.0, 1.0))
     for e in encoders:
         if e.kind is ColumnType.STRING:
             e.high = float(max(0, words[e.name].count() - 1))
         if e.root is None:
-            ends = Interval(e.low, e.high) if not e.scaled else Interval(0.0, e.high * e.scale - e.low * e.scale if e.high > e.low else 0.0)
+            ends = Range(e.low, e.high) if not e.scaled else Range(0.0, e.high * e.scale - e.low * e.scale if e.high > e.low else 0.0)
             e.sentinel = null_sentinel(ends)
-            ends.expand(e.sentinel)
-            e.root = snap(ends)
+            e.root = snap(hull(*ends, e.sentinel))
     return encoders, words
 
 

@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from ..functions.intervals import Interval
+from ..functions.intervals import Range
 from ..functions.noise import hash_string
 
 Ranges = tuple[tuple[float, float], ...]
@@ -158,8 +158,7 @@ class Harvest:
         if not node.split and node.stub:
             lower, upper = node.half_low[2 * d], node.half_low[2 * d + 1]
             if lower != upper:
-                half = Interval(lo, hi).half(1 if lower else 0)
-                lo, hi = half.min, half.max
+                lo, hi = Range(lo, hi).half(lower)
         if lo < small[1] and small[0] < hi:
             return max(lo, small[0]), min(hi, small[1])
         return min(lo, small[0]), max(hi, small[1])

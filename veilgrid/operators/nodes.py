@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.intervals import Interval
+from ..functions.intervals import Range, midpoint
 from ..functions.noise import Contributions, count_multiple, count_single, hash_strings, is_low_count, noisy_row_limit, unsigned
 from ..functions.params import AnonymizationParams, BucketizationParams
 from ..sources.tables import cut
@@ -94,7 +94,7 @@ def _rule(depth: int, params: AnonymizationParams, buckets: BucketizationParams,
         stub_sub = bool(r.is_stub) or low_with(r.kinds, buckets.singularity_low_threshold if single else buckets.range_low_threshold)
         deep = depth <= buckets.precision_limit_depth_threshold or r.n_in >= limits[r.combo]
         splits = deep and not r.is_stub and not single and r.n_in > 1 and (safe[r.combo] or not low_with(r.inner, suppression.low_threshold))
-        labels = [str(Interval(a, b).middle()) if a == b else str(Interval(lo, hi).middle()) for lo, hi, a, b in zip(r.lo, r.hi, r.amin, r.amax, strict=True)]
+        labels = [str(midpoint(a, b)) if a == b else str(midpoint(lo, hi)) for lo, hi, a, b in zip(r.lo, r.hi, r.amin, r.amax, strict=True)]
         seed = seeds[r.combo] ^ hash_strings(labels)
         if unique:
             noisy = count_single(params, seed, r.kinds[0]["entities"], unsigned(r.kinds[0]["seed"]))
@@ -208,11 +208,11 @@ def _finish(judges, unique: bool, has_smaller: bool, start: int):
 class TreeBuilder:
     """rows: pids array<long> and v array<double>, one entry for each encoded column."""
 
-    def __init__(self, rows: DataFrame, names: list[str], roots: list[Interval], params: AnonymizationParams, buckets: BucketizationParams, unique: bool, kinds: int = 1, value_safe: list[bool] | None = None):
+    def __init__(self, rows: DataFrame, names: list[str], roots: list[Range], params: AnonymizationParams, buckets: BucketizationParams, unique: bool, kinds: int = 1, value_safe: list[bool] | None = None):
         self.rows, self.names, self.params, self.buckets, self.unique, self.kinds = rows, names, params, buckets, unique, kinds
         self.value_safe = value_safe or [False] * len(names)
         self.total = rows.count()
-        self.roots = [x.copy() for x in roots]
+        self.roots = list(roots)
         self.levels: dict[int, DataFrame] = {}
         self.built: set[Combo] = set()
         self._push_down()
@@ -220,15 +220,15 @@ class TreeBuilder:
     def _seed(self, combo: Combo) -> int:
         return hash_strings(self.names[c] for c in combo)
 
-    def _active(self, combos: list[Combo], roots: list[Interval]) -> DataFrame:
+    def _active(self, combos: list[Combo], roots: list[Range]) -> DataFrame:
         made = []
         for combo in combos:
             x = [F.col("v")[c] for c in combo]
             outside = F.lit(False)
             if len(combo) == 1:
                 r = roots[combo[0]]
-                outside = ~((x[0] >= r.min) & (x[0] < r.max))
-            made.append(F.struct(F.lit(key_of(combo)).alias("combo"), F.array(*[F.lit(0).cast("long") for _ in combo]).alias("cell"), F.array(*x).alias("x"), _literal([float(roots[c].min) for c in combo]).alias("lo"), _literal([float(roots[c].max) for c in combo]).alias("hi"), outside.alias("outlier")))
+                outside = ~((x[0] >= r.lo) & (x[0] < r.hi))
+            made.append(F.struct(F.lit(key_of(combo)).alias("combo"), F.array(*[F.lit(0).cast("long") for _ in combo]).alias("cell"), F.array(*x).alias("x"), _literal([float(roots[c].lo) for c in combo]).alias("lo"), _literal([float(roots[c].hi) for c in combo]).alias("hi"), outside.alias("outlier")))
         return self.rows.select("pids", F.explode(F.array(*made)).alias("s")).select("pids", "s.*")
 
     def _rules(self, combos: list[Combo]):
@@ -296,7 +296,7 @@ class TreeBuilder:
                     continue
                 gone = [found.get((key, h), True) for h in (0, 1)]
                 if gone[0] != gone[1]:
-                    self.roots[c] = self.roots[c].half(0 if gone[1] else 1)
+                    self.roots[c] = self.roots[c].half(gone[0])
                     moved.append(c)
             waiting = moved
 

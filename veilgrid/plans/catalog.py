@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import encode as enc
-from ..functions.intervals import Interval, null_sentinel, snap
+from ..functions.intervals import hull, null_sentinel, snap
 from ..functions.noise import low_count_column
 from ..functions.params import NOISELESS, SuppressionParams
 from ..operators.stitch import StitchColumn, StitchOwner, patch, stitch_rows
@@ -44,11 +44,9 @@ def snapped_range(spark, sf_dir):
     ends = df.agg(*[f(c).alias(f"{n}{c}") for c in df.columns for n, f in (("a_", F.min), ("b_", F.max))]).first()
     rows = []
     for c in df.columns:
-        x = Interval(float(ends[f"a_{c}"]), float(ends[f"b_{c}"]))
+        x = hull(ends[f"a_{c}"], ends[f"b_{c}"])
         null = null_sentinel(x)
-        x.expand(null)
-        s = snap(x)
-        rows.append((c, null, s.min, s.max))
+        rows.append((c, null, *snap(hull(*x, null))))
     return spark.createDataFrame(rows, "name string, sentinel double, lo double, hi double")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import encode as enc
-from ..functions.intervals import Interval, null_sentinel, snap
+from ..functions.intervals import hull, null_sentinel, snap
 from ..functions.noise import hash_string, hashed_ids
 from ..functions.params import AnonymizationParams, BucketizationParams, ColumnType, SuppressionParams, column_positions
 from ..operators.harvest import harvest
@@ -113,9 +113,8 @@ class Synthesizer:
             ends = few.agg(*[f(F.col("v")[i]).alias(f"{n}{i}") for i in range(len(self.names)) for n, f in (("a", F.min), ("b", F.max))]).first()
             roots = []
             for i in range(len(self.names)):
-                x = Interval(ends[f"a{i}"], ends[f"b{i}"])
-                x.expand(null_sentinel(x))
-                roots.append(snap(x))
+                x = hull(ends[f"a{i}"], ends[f"b{i}"])
+                roots.append(snap(hull(*x, null_sentinel(x))))
             return measure_all(TreeBuilder(few, self.names, roots, params, self.buckets, self.unique))
         return measure_all(self.builder)
 
@@ -162,7 +161,7 @@ class Synthesizer:
         for c in sorted(columns, key=lambda c: (entropy[c], c)):
             e, root = self.encoders[c], self.builder.roots[c]
             unit = (e.scale if e.scaled else 1.0) if e.integral else None
-            out.append(StitchColumn(c, root.min, root.max, unit, max(e.sentinel, enc.TOP)))
+            out.append(StitchColumn(c, root.lo, root.hi, unit, max(e.sentinel, enc.TOP)))
         return out
 
     def sample(self) -> DataFrame:
@@ -214,7 +213,7 @@ def stitch(left: DataFrame, right: DataFrame, shared: bool = True) -> DataFrame:
     columns = []
     for i in sorted(entropy, key=lambda i: (entropy[i], i)):
         e = encoders[i]
-        columns.append(StitchColumn(i, e.root.min, e.root.max, (e.scale if e.scaled else 1.0) if e.integral else None, e.sentinel))
+        columns.append(StitchColumn(i, e.root.lo, e.root.hi, (e.scale if e.scaled else 1.0) if e.integral else None, e.sentinel))
     if not l.limit(1).count() and not r.limit(1).count():
         out = l.join(r.drop(*[c for c in r.columns if c in l.columns]), F.lit(False), "inner")
     else:
