@@ -452,3 +452,64 @@ def test_quotation_marks_quote_within_a_line_and_apostrophes_do_not():
     x = toxicity.Lexicon({"zugdorf": 3.0}).features(pa.RecordBatch.from_pydict({"text": pa.array(texts)}))
     assert (x[:, 1] > 0).tolist() == [False, True, True, False, False, True, True, True, False, False, False]
     assert (x[:, 0] > 0).tolist() == [True, False, False, True, True, False, False, False, True, False, False]
+
+
+def brute_phrases(sample, text):
+    """One parse: a phrase ends where the sample doesn't have it longer, and an unseen byte ends one by itself."""
+    n, phrase = 0, b""
+    for i in range(len(text)):
+        c = text[i : i + 1]
+        if phrase + c in sample:
+            phrase += c
+        else:
+            n, phrase = n + 1, c if c in sample else b""
+    return n + (len(text) > 0)
+
+
+@pytest.mark.parametrize("segment", [3, 256])
+def test_whole_texts_are_one_parse(monkeypatch, segment):
+    monkeypatch.setattr(language_id, "_SEGMENT", segment)
+    r = random.Random(12)
+    draw = lambda n, letters: "".join(r.choice(letters) for _ in range(n))
+    samples = {"a": draw(400, "abc d").encode(), "b": draw(300, "bcde ").encode()}
+    texts = ["", "z", *(draw(r.randint(1, 60), "abcdez ") for _ in range(40)), samples["a"].decode(), draw(50, "ab") + samples["b"].decode() * 2]
+    raw, at = language_id.fold(*text_buffer(pa.array(texts)))
+    folded = [raw[x:y].tobytes() for x, y in zip(at[:-1], at[1:])]
+    got = language_id.Model(samples).phrases(raw, at)
+    assert got.tolist() == [[brute_phrases(samples[k], t) for k in "ab"] for t in folded]
+
+
+def test_language_of_ties_many_labels_and_clashing_columns(spark, monkeypatch):
+    docs = frame(spark, ["same text here", "same text here", None], lang=["yy", "xx", None]).withColumn("my-col", F.lit(1)).withColumn("a.b", F.lit("x"))
+    model = language_id.fit(docs, F.lit(True))
+    got = {x.doc_id: x for x in language_id.predict(docs, model).collect()}
+    assert [got[i].lang_pred for i in range(3)] == ["xx", "xx", "und"] and got[0]["my-col"] == 1 and got[0]["a.b"] == "x"
+    assert language_id.predict(docs.limit(0), model).count() == 0 and language_id.fit(docs.limit(0), F.lit(True)).names == []
+    monkeypatch.setattr(language_id, "MODEL_BYTES", 8 * 20 * 2 * 5)
+    small = language_id.fit(docs, F.lit(True))
+    assert small.names == ["xx", "yy"] and len(small.table) * 4 <= 8 * 20 * 2 * 5
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 1)
+    with pytest.raises(ValueError):
+        language_id.fit(docs, F.lit(True))
+
+
+def test_repeated_doc_ids_join_the_classes_of_their_texts(spark):
+    r = random.Random(3)
+    long = lambda: " ".join(f"n{r.randint(0, 9999)}" for _ in range(60))
+    left, mid = long(), long()
+    ids = [1, 5, 5, 7, 1, 9, 20, 20, None, None, None, 30, None]
+    texts = [left, left, mid, mid, mid + " z", left + " q", long(), long(), left + " w", "lone", None, None, None]
+    got = sorted(((x.doc_id, x.class_id) for x in near_dedup.near_classes(frame(spark, texts, ids)).collect()), key=str)
+    assert got == sorted([(1, 1), (5, 1), (5, 1), (7, 1), (1, 1), (9, 1), (20, 20), (20, 20), (None, 1), (None, None), (None, None), (30, 30), (None, None)], key=str)
+    assert near_dedup.near_classes(frame(spark, texts).limit(0)).count() == 0
+
+
+def test_one_row_of_each_class_is_kept(spark):
+    r = random.Random(4)
+    base = " ".join(f"n{r.randint(0, 9999)}" for _ in range(60))
+    texts, ids = [base, base, base + " x", "alone", "alone", "none", "none", None], [4, 4, 3, 8, 8, None, None, 2]
+    docs = frame(spark, texts, ids).withColumn("_kept", F.lit(1)).withColumn("a.b", F.lit(2)).withColumn("my-col", F.lit(3)).withColumn("q`q", F.lit(4)).withColumn("k", F.lit(5))
+    got = near_dedup.keep_one(docs)
+    assert got.columns == docs.columns
+    assert sorted(((x.doc_id, x.text) for x in got.collect()), key=str) == sorted([(3, base + " x"), (8, "alone"), (None, "none"), (2, None)], key=str)
+    assert {(x["_kept"], x["a.b"], x["my-col"], x["q`q"], x["k"]) for x in got.collect()} == {(1, 2, 3, 4, 5)}

@@ -16,9 +16,13 @@ representatives too.  Every link between candidates is thus found without compar
 Components of up to ALONE_BYTES of shingles are verified in one task, larger ones by rounds over
 all tasks.
 
+A text is known in the graph by a number of its own, never by a doc_id.  Rows of one doc_id with
+several texts join the classes of these.
+
 Defined cases: a text of one to four words is one shingle; texts without a word are alike only if
 equal; null texts are alone; the class of a document is the least doc_id of its class; rows with
-equal doc_id share a class; a null doc_id is left out.
+equal doc_id share a class; a row with a null doc_id has the class of its text, which is null where
+no member of the class has a doc_id (a null text with a null doc_id is alone with its like).
 """
 
 from __future__ import annotations
@@ -122,7 +126,8 @@ def _bands(bands: int, rows: int):
                 h = mix(h * np.uint64(0x9E3779B97F4A7C55) + signature[:, :, j])
             h = mix(h + np.arange(bands, dtype=np.uint64)[None, :]).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(h) + 1, dtype=np.int32) * bands), pa.array(h.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("id").filter(pa.array(has)), lists, pa.array(np.diff(first)[has])], ["id", "bands", "units"])
+            keep = pa.array(has)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").filter(keep), batch.column("k").filter(keep), lists, pa.array(np.diff(first)[has])], ["doc_id", "k", "bands", "units"])
 
     return run
 
@@ -252,18 +257,32 @@ def _large(members: DataFrame, similarity: float) -> DataFrame:
     return members.select("id").join(group, "id", "left").select("id", F.coalesce("component", "id").alias("class_id"))
 
 
-def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, class_id): the least doc_id of the documents that a row is linked to, directly or through others."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("doc_id").isNotNull())
-    digest = F.when(F.col("text").isNull(), F.concat(F.lit("null "), F.col("doc_id").cast("string"))).otherwise(F.sha2("text", 256))
+def text_key() -> F.Column:
+    """128 bits that tell texts apart; a null text has its doc_id's."""
+    digest = F.when(F.col("text").isNull(), F.concat(F.lit("null "), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).otherwise(F.sha2("text", 256))
+    return F.unhex(F.substring(F.sha2(digest, 256), 1, 32))
+
+
+def _same_document(keyed: DataFrame, ids: DataFrame) -> DataFrame:
+    """(a, b): numbers of texts that share a doc_id; few, as most doc_ids have one text."""
+    several = keyed.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("k").alias("k"), F.max("k").alias("most")).filter("k <> most").select("doc_id", F.col("k").alias("least"))
+    pairs = keyed.join(several, "doc_id").select("k", "least").distinct().filter("k <> least")
+    first = ids.select(F.col("k").alias("least"), F.col("id").alias("b"))
+    return pairs.join(ids.select("k", F.col("id").alias("a")), "k").join(first, "least").select("a", "b")
+
+
+def near_groups(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, k) of every row, and (k, group, doc_id) of every distinct text: its group's number, and the least doc_id of its rows."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("k", text_key())
     # equal texts: the least doc_id of each, added up before the shuffle
-    keyed = cut(own.select("doc_id", F.unhex(F.substring(F.sha2(digest, 256), 1, 32)).alias("k")), "texts")
-    first = keyed.groupBy("k").agg(F.min("doc_id").alias("id"))
-    ids = cut(first.select("id"), "ids")
-    texts = own.withColumnRenamed("doc_id", "id").filter(F.col("text").isNotNull())
-    # copies are signed too, which spares a shuffle of the texts
-    signed = cut(texts.transform(in_arrow, _bands(bands, rows), "id long, bands array<long>, units long"), "bands")
-    signed = cut(signed.join(ids, "id", "left_semi").dropDuplicates(["id"]), "signed")
+    keyed = cut(own.select("doc_id", "k"), "texts")
+    ids = cut(keyed.groupBy("k").agg(F.min("doc_id").alias("doc_id")).withColumn("id", F.monotonically_increasing_id()), "ids")
+    texts = own.filter(F.col("text").isNotNull())
+    # copies are signed too, which spares a shuffle of the texts; one row of each text goes on
+    chosen = ids.select(F.col("k").alias("_k"), F.col("doc_id").alias("_d"), "id")
+    is_chosen = (F.col("k") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d"))
+    signed = cut(texts.transform(in_arrow, _bands(bands, rows), "doc_id long, k binary, bands array<long>, units long"), "bands")
+    signed = cut(signed.join(chosen, is_chosen).select("id", "bands", "units").dropDuplicates(["id"]), "signed")
     banded = signed.select("id", F.explode("bands").alias("band"))
     least = banded.groupBy("band").agg(F.min("id").alias("least"), F.count("*").alias("n")).filter("n > 1").select("band", "least")
     links = banded.join(least, "band").filter("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b"))
@@ -271,16 +290,48 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = B
     sized = member.join(signed.select("id", "units"), "id")
     large = sized.groupBy("component").agg(F.sum("units").alias("units")).filter(F.col("units") * 8 > ALONE_BYTES).select("component", F.lit(True).alias("large"))
     member = cut(member.join(large, "component", "left").select("id", "component", F.coalesce("large", F.lit(False)).alias("large")), "members")
-    sets = cut(texts.join(member, "id").transform(in_arrow, _units, "id long, component long, large boolean, units binary"), "units").dropDuplicates(["id"])
+    wanted = member.join(ids, "id").select(F.col("k").alias("_k"), F.col("doc_id").alias("_d"), "id", "component", "large")
+    sets = cut(texts.join(wanted, is_chosen).select("text", "id", "component", "large").transform(in_arrow, _units, "id long, component long, large boolean, units binary"), "units").dropDuplicates(["id"])
     parts = parts_for(docs.select("text"), 8_000_000)
     alone = sets.filter(~F.col("large")).repartition(parts, "component").sortWithinPartitions("component", "id").select("component", "id", "units").transform(in_arrow, _alone(similarity), "id long, class_id long")
     whole = sets.filter("large").select("component", "id", "units")
     if whole.limit(1).count():
         alone = alone.unionByName(_large(cut(whole.repartition(parts), "large"), similarity))
     classes = cut(alone.filter("id <> class_id"), "classes")
-    of_text = first.join(classes, "id", "left").select("k", F.coalesce("class_id", "id").alias("class_id"))
+    same = cut(_same_document(keyed, ids), "same")
+    if same.limit(1).count():
+        joined = components(classes.select(F.col("id").alias("a"), F.col("class_id").alias("b")).unionByName(same), "groups")
+        classes = joined.select("id", F.col("component").alias("class_id"))
+    return keyed, ids.join(classes, "id", "left").select("k", F.coalesce("class_id", "id").alias("group"), "doc_id")
+
+
+def near_classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(doc_id, class_id) of every row: the least doc_id of the documents that it is linked to, directly or through others."""
+    keyed, groups = near_groups(docs, similarity, bands, rows)
+    groups = cut(groups, "grouped")
+    # groups of one text need no sum; the others are a small part of it
+    least = groups.groupBy("group").agg(F.min("doc_id").alias("class_id"))
+    of_text = groups.join(least, "group").select("k", "class_id")
     return keyed.join(of_text, "k").select("doc_id", "class_id")
 
 
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """One row of docs for each class, with all its columns: of the least doc_id (a null one comes last), then of the least text key."""
+    keyed, groups = near_groups(docs, similarity, bands, rows)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k")
+    best = cut(groups.groupBy("group").agg(F.min(order).alias("b")).select(F.col("b.k").alias("k"), F.col("b.doc_id").alias("doc_id")), "best")
+    is_best = (F.col("k") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d"))
+    again = keyed.join(best.select(F.col("k").alias("_k"), F.col("doc_id").alias("_d")), is_best).groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").select("k", F.lit(True).alias("again"))
+    best = cut(best.join(again, "k", "left").select("k", "doc_id", F.coalesce("again", F.lit(False)).alias("again")), "kept")
+    names = [f"_{i}" for i in range(len(docs.columns))]
+    quoted = ["`" + c.replace("`", "``") + "`" for c in docs.columns]
+    # the row travels as one struct, whatever its columns are called
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("k"), F.struct(*[F.col(q).alias(n) for q, n in zip(quoted, names, strict=True)]).alias("row"))
+    found = whole.join(best.select(F.col("k").alias("_k"), F.col("doc_id").alias("_d"), "again"), is_best)  # by both, so copies of a text don't meet
+    # only rows that stand more than once are brought together
+    kept = found.filter(~F.col("again")).select("row").unionByName(found.filter("again").dropDuplicates(["k"]).select("row"))
+    return kept.select(*[F.col(f"row.{n}").alias(c) for n, c in zip(names, docs.columns, strict=True)])
+
+
 def op2_dart_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_classes(load(spark, sf_dir, "documents"))
