@@ -97,6 +97,13 @@ def in_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Itera
     now = conf.get(key).lower().removesuffix("b")
     if not now.isdigit() or int(now) <= 0 or int(now) > BATCH_BYTES:
         conf.set(key, str(BATCH_BYTES))
+    names = df.columns
+    if any(set(c) & set(".`") for c in names):  # Spark would read these as paths
+
+        def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            return function(b.rename_columns(names) for b in batches)
+
+        return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(_tidy(named), schema)
     return df.mapInArrow(_tidy(function), schema)
 
 

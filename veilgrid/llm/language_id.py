@@ -6,11 +6,15 @@ phrases per byte, the closer the text is to the language.  The language that nee
 wins, and the score is the share of the winner when every phrase costs as many bits as pointing
 into the labelled text does, counted over at most _TRUST phrases.
 
-Texts are case-folded to bytes of letters, with one blank for any run of others.  They are parsed
-whole, in segments of _SEGMENT bytes that all step together; a phrase ends where its segment does.
+Texts are case-folded to bytes of letters, with one blank for any run of others, and parsed whole.
+For speed, segments of _SEGMENT bytes step together, each as if a phrase began with it; then each
+is parsed again from the state that the one before it ends in, until both parses are in one state,
+and the difference is made good.  The count is that of one parse from the text's first byte.
 
 The labelled text is a bounded sample, the rows of each language with the least hash: at most
-`per_language` documents and `sample_bytes` bytes each, documents of 200 to 4,000 bytes first.
+`per_language` documents and `sample_bytes` bytes each, documents of 200 to 4,000 bytes first, and
+in all no more than MODEL_BYTES of automata allow (with many languages each gets an equal, smaller
+share).  More than MOST_LANGUAGES labels are an error, as no language is left out in silence.
 Labels are read only there; a prediction sees the text alone.
 
 Defined cases: null texts and texts without a letter give `und` with score 1; ties go to the
@@ -26,11 +30,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import in_arrow, load, steps, text_buffer
 
 PER_LANGUAGE, SAMPLE_BYTES = 48, 24_000
-MOST_LANGUAGES = 256
+MOST_LANGUAGES = 1024
+#: What the tables of all automata weigh at most; they are broadcast.
+MODEL_BYTES = 256 << 20
 UND = "und"
 _SEGMENT, _TRUST = 256, 40
 
@@ -90,7 +97,6 @@ class Automaton:
                 self.table[s, list(out)] = list(out.values())
         root = np.maximum(self.table[0], 0)
         self.table = np.where(self.table < 0, -1 - root[None, :], self.table)
-        self.table[:, 0] = np.arange(n)  # class 0 pads a segment: it changes nothing
 
 
 class Model:
@@ -99,48 +105,96 @@ class Model:
     def __init__(self, samples: dict[str, bytes]):
         self.names = sorted(samples)
         seen = np.unique(np.frombuffer(b"".join(samples.values()), np.uint8))
-        self.classes = np.ones(256, np.int64)  # 1: never seen, so always a phrase of its own
-        self.classes[seen] = np.arange(len(seen)) + 2
-        self.width = len(seen) + 2
+        self.classes = np.zeros(256, np.int64)  # 0: never seen, so always a phrase of its own
+        self.classes[seen] = np.arange(len(seen)) + 1
+        self.width = len(seen) + 1
+        # an automaton has fewer than two states a byte, and a state is a row of the table
+        share = max(1, MODEL_BYTES // (8 * self.width * max(1, len(samples))))
+        samples = {k: v[:share] for k, v in samples.items()}
         self.sizes = [max(2, len(samples[k])) for k in self.names]
         base, tables = 0, []
         self.root = []
         for k in self.names:
             t = Automaton(samples[k], self.classes, self.width).table
+            t = t.astype(np.int64)
             down = np.where(t < 0, -(base + (-1 - t)) * self.width - 1, (base + t) * self.width)
-            tables.append(down.astype(np.int32).ravel())
+            tables.append(down.astype(np.int32).ravel())  # below MODEL_BYTES / 4, so 32 bits do
             self.root.append(base * self.width)
             base += len(t)
         self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
 
+    def _from_roots(self, code: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases that end in each segment (columns) by each language, as if one began with it, and the states after it."""
+        order = np.argsort(-length, kind="stable")
+        b, n = begin[order], length[order]
+        live = np.searchsorted(-n, -np.arange(1, _SEGMENT + 1), side="right")
+        counts = np.zeros((len(self.names), len(b)), np.int32)
+        states = np.repeat(np.array(self.root, np.int32)[:, None], len(b), 1)
+        for t in range(int(n[0])):
+            m = live[t]
+            state = self.table.take(states[:, :m] + code[b[:m] + t])
+            ended = state < 0
+            counts[:, :m] += ended
+            states[:, :m] = np.where(ended, -1 - state, state)
+        back = np.argsort(order)
+        return counts[:, back], states[:, back]
+
+    def _carried(self, code: np.ndarray, begin: np.ndarray, length: np.ndarray, states: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many more phrases end in each segment from `states` than from `other`, and the states after it, -1 where both parses met."""
+        counts, out = np.zeros(states.shape, np.int32), np.full(states.shape, -1, np.int64)
+        cell = np.flatnonzero(states != other)
+        column = cell % states.shape[1]
+        now, old, at, stop = states.ravel()[cell], other.ravel()[cell], begin[column], (begin + length)[column]
+        flat, ends = counts.ravel(), out.ravel()
+        while len(cell):
+            c = code[at]
+            now, old = self.table.take(now + c), self.table.take(old + c)
+            flat[cell] += (now < 0).astype(np.int32) - (old < 0)
+            now, old, at = np.where(now < 0, -1 - now, now), np.where(old < 0, -1 - old, old), at + 1
+            apart, over = now != old, at == stop
+            ends[cell[apart & over]] = now[apart & over]
+            on = apart & ~over
+            cell, now, old, at, stop = (x[on] for x in (cell, now, old, at, stop))
+        return counts, out
+
     def phrases(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Phrases of each folded text (rows) by each language."""
         size = np.diff(at)
         pieces = -(-size // _SEGMENT)
         doc = np.repeat(np.arange(len(size)), pieces)
-        begin = np.repeat(at[:-1], pieces) + _SEGMENT * (np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+        within = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        begin = np.repeat(at[:-1], pieces) + _SEGMENT * within
         length = np.minimum(begin + _SEGMENT, at[1:][doc]) - begin
         out = np.zeros((len(size), len(self.names)), np.int64)
-        if not len(doc):
+        if not len(doc) or not self.names:
             return out
-        code = np.append(self.classes[raw], np.zeros(_SEGMENT, np.int64)).astype(np.int32)
+        code = self.classes[raw].astype(np.int32)
+        root = np.array(self.root, np.int64)[:, None]
+        total, ends = (np.empty((len(self.names), len(doc)), np.int64) for _ in range(2))
         for lo in range(0, len(doc), 8192):
-            b, n = begin[lo : lo + 8192], length[lo : lo + 8192]
-            order = np.argsort(-n, kind="stable")
-            b, n = b[order], n[order]
-            live = np.searchsorted(-n, -np.arange(1, _SEGMENT + 1), side="right")
-            counts = np.zeros((len(self.names), len(b)), np.int32)
-            states = np.repeat(np.array(self.root, np.int32)[:, None], len(b), 1)
-            for t in range(int(n[0])):
-                m = live[t]
-                c = code[b[:m] + t]
-                state = self.table.take(states[:, :m] + c)
-                ended = state < 0
-                counts[:, :m] += ended
-                states[:, :m] = np.where(ended, -1 - state, state)
-            counts += 1  # the phrase at the end of the segment
-            np.add.at(out, doc[lo : lo + 8192][order], counts.T)
-        return out
+            part = slice(lo, min(lo + 8192, len(doc)))
+            total[:, part], ends[:, part] = self._from_roots(code, begin[part], length[part])
+        # segments that don't begin their text, from the state that the one before really ends in
+        entered = np.repeat(root, len(doc), 1)
+        later = np.flatnonzero(within)
+        while len(later):
+            going = ends[:, later - 1]
+            changed = (going != entered[:, later]).any(axis=0)
+            later, going = later[changed], going[:, changed]
+            moved = []
+            for lo in range(0, len(later), 8192):
+                one, state = later[lo : lo + 8192], going[:, lo : lo + 8192]
+                more, end = self._carried(code, begin[one], length[one], state, entered[:, one])
+                total[:, one] += more
+                end = np.where(end < 0, ends[:, one], end)
+                moved.append(one[(end != ends[:, one]).any(axis=0)])
+                ends[:, one] = end
+                entered[:, one] = state
+            later = np.concatenate(moved) + 1 if moved else later[:0]
+            later = later[later < len(doc)]
+            later = later[within[later] > 0]
+        np.add.at(out, doc, total.T)
+        return out + (size > 0)[:, None]  # and the phrase at the end
 
     def predict(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Number of the language, and score."""
@@ -160,7 +214,10 @@ def sample(docs: DataFrame, train: F.Column, per_language: int = PER_LANGUAGE, s
     size = F.octet_length("text")
     keys = rows.select("lang", F.when(size.between(200, 4000), 0).otherwise(1).alias("odd"), F.xxhash64("text").alias("h"))
     best = keys.distinct().withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("odd", "h"))).filter(F.col("n") <= per_language)
-    chosen = best.orderBy("lang", "n").limit(MOST_LANGUAGES * per_language).collect()
+    named = [r["lang"] for r in rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect()]
+    if len(named) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages are labelled")
+    chosen = best.orderBy("lang", "n").collect()  # MOST_LANGUAGES * per_language keys at most
     wanted = {(r["lang"], r["h"]) for r in chosen}
     if not wanted:
         return {}
@@ -200,7 +257,7 @@ def predict(rows: DataFrame, model: Model) -> DataFrame:
     """rows must have text; their other columns stay, and lang_pred and score are added."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
     keep = rows.drop("text")
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keep.schema] + ["lang_pred string", "score double"])
+    schema = StructType([*keep.schema, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     return rows.withColumn("letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).transform(in_arrow, _predict(shared), schema)
 
 
