@@ -2,10 +2,12 @@
 
 A change is a signed row: an insert adds a document and its tokens, a delete takes them away, a
 revision takes the old count away and adds the new one.  A batch of changes is added up to one row
-for each (source, lang, tokenizer) and written under its batch id; a batch counts once its commit
-marker stands, which is renamed into place last.  Totals are the sums over committed batches, so
-a batch that is sent again, or whose first attempt died half way, changes nothing twice.
-Batches are never folded together: every total reads all that were committed.
+for each (source, lang, tokenizer) and written under its batch id and an attempt's name; it counts
+once an empty file of that name stands among the commits.  Of several attempts at a batch that got
+so far, only the one with the least name counts, whoever looks and in whatever order they came, so a batch that is
+sent again, by one writer or by two at once, or whose first attempt died half way, changes nothing
+twice; no rename or lock is needed.  `compact` folds committed batches into a snapshot that
+holds their ids; totals read the newest snapshot and the batches that it does not hold.
 
 Defined cases: a null source or lang is a key of its own; a null text has no tokens; keys whose
 documents and tokens are all gone drop out of the totals; an empty batch commits and adds nothing.
@@ -33,56 +35,77 @@ class TokenRollup:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _exists(self, name: str) -> bool:
-        return self._fs.exists(self._path(f"{self.folder}/{name}"))
-
     def _list(self, name: str) -> list[str]:
-        if not self._exists(name):
+        """The names in a folder of empty files: all that is to be known is in them."""
+        path = self._path(f"{self.folder}/{name}")
+        if not self._fs.exists(path):
             return []
-        return sorted(str(x.getPath().getName()) for x in self._fs.listStatus(self._path(f"{self.folder}/{name}")))
+        return sorted(str(x.getPath().getName()) for x in self._fs.listStatus(path))
 
-    def _mark(self, name: str, text: str) -> bool:
-        """Writes a small file by renaming it into place; False if it stood already."""
-        if self._exists(name):
-            return False
-        temporary = self._path(f"{self.folder}/_tmp/{uuid.uuid4().hex}")
-        out = self._fs.create(temporary)
-        out.write(bytearray(text.encode()))
-        out.close()
-        target = self._path(f"{self.folder}/{name}")
-        self._fs.mkdirs(target.getParent())
-        return bool(self._fs.rename(temporary, target))
+    def _mark(self, name: str) -> None:
+        path = self._path(f"{self.folder}/{name}")
+        self._fs.mkdirs(path.getParent())
+        self._fs.create(path, False).close()
+
+    def _attempts(self) -> dict[str, str]:
+        """The attempt that counts of each batch, snapshots aside."""
+        least: dict[str, str] = {}
+        for name in self._list("commits"):  # in order, so the first is the least
+            batch, attempt = name.rsplit("-", 1)
+            least.setdefault(batch, attempt)
+        return least
+
+    def _snapshot(self) -> str | None:
+        return next(iter(reversed(self._list("snapshots"))), None)
+
+    def _folded(self) -> set[str]:
+        """Ids of the batches that the newest snapshot holds."""
+        snapshot = self._snapshot()
+        return {r[0] for r in self.spark.read.schema("batch string").parquet(f"{self.folder}/ids/{snapshot}").collect()} if snapshot else set()
 
     def committed(self) -> list[str]:
         """Batch ids that count."""
-        return self._list("commits")
+        return sorted(self._attempts())
 
     def apply(self, batch_id: str, changes: DataFrame) -> bool:
-        """Commits changes (source, lang, tokenizer, docs, tokens), signed; False if the batch is committed already."""
+        """Commits changes (source, lang, tokenizer, docs, tokens), signed; False if another attempt at the batch counts."""
         if not batch_id or set(batch_id) & set("/.:*?[]{}\\ "):
             raise ValueError(f"not a batch id: {batch_id!r}")
-        if self._exists(f"commits/{batch_id}"):
+        if batch_id in self._attempts():
             return False
         attempt = uuid.uuid4().hex
         summed = changes.groupBy(*KEYS).agg(F.sum("docs").cast("long").alias("docs"), F.sum("tokens").cast("long").alias("tokens"))
         summed.write.parquet(f"{self.folder}/batches/{batch_id}-{attempt}")
-        return self._mark(f"commits/{batch_id}", attempt)
-
-    def _attempt(self, batch_id: str) -> str:
-        stream = self._fs.open(self._path(f"{self.folder}/commits/{batch_id}"))
-        try:
-            return "".join(chr(stream.read()) for _ in range(32))
-        finally:
-            stream.close()
+        self._mark(f"commits/{batch_id}-{attempt}")
+        return self._attempts()[batch_id] == attempt
+
+    def _rows(self) -> tuple[DataFrame | None, dict[str, str]]:
+        """Rows that add up to the totals, and the batches that they come from."""
+        attempts, snapshot = self._attempts(), self._snapshot()
+        folded = self._folded()
+        paths = [f"{self.folder}/batches/{b}-{a}" for b, a in attempts.items() if b not in folded]
+        if snapshot:
+            paths.append(f"{self.folder}/sums/{snapshot}")
+        return self.spark.read.schema(_SCHEMA).parquet(*paths) if paths else None, attempts
 
     def totals(self) -> DataFrame:
-        paths = [f"{self.folder}/batches/{x}-{self._attempt(x)}" for x in self.committed()]
-        if not paths:
+        rows, _ = self._rows()
+        if rows is None:
             return self.spark.createDataFrame([], _SCHEMA)
-        rows = self.spark.read.schema(_SCHEMA).parquet(*paths)
         total = rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
         return total.filter("docs <> 0 or tokens <> 0")
 
+    def compact(self) -> None:
+        """Folds what is committed now into a snapshot, which counts once its name stands; one that died half way leaves the last in force."""
+        rows, attempts = self._rows()
+        if rows is None:
+            return
+        last = self._snapshot()
+        name = f"{int(last.split('-')[0]) + 1 if last else 0:012d}-{uuid.uuid4().hex}"
+        rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).filter("docs <> 0 or tokens <> 0").write.parquet(f"{self.folder}/sums/{name}")
+        self.spark.createDataFrame([(b,) for b in attempts], "batch string").coalesce(1).write.parquet(f"{self.folder}/ids/{name}")
+        self._mark(f"snapshots/{name}")
+
 
 def word_count(text: str = "text") -> F.Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
