@@ -3,7 +3,9 @@
 Equal texts are one group, whose size is added up before any shuffle.  Groups are dealt to
 partitions; each starts from partial partitions with one group in one piece and repeatedly
 combines the two with the largest spread, oppositely ordered, until one with PIECES pieces is
-left.  The driver combines these pieces to shards in the same way, together with each group that
+left.  While more than MOST_PARTS partitions have pieces, the pieces of FAN partitions at a time are
+combined in a task to PIECES new ones, so a task holds a bounded number of items at any size of the
+table.  The driver combines the last pieces to shards in the same way, together with each group that
 is larger than 1 in LARGE of a shard's share: there are fewer than shards * LARGE of those, and
 small pieces are left to balance them.
 
@@ -33,7 +35,9 @@ HOT = 2000
 #: Slices of a shard, each numbered by itself.
 GROUP_BYTES = 64 << 20
 #: Pieces that a partition's small groups are combined to.
-PIECES, LARGE, MOST_PARTS = 64, 64, 1024
+PIECES, LARGE = 64, 64
+#: Partitions whose pieces the driver combines at most, and those whose pieces a task does.
+MOST_PARTS, FAN = 1024, 256
 
 
 def difference(partials: list[tuple[np.ndarray, object]], shards: int) -> tuple[np.ndarray, list[list[object]]]:
@@ -96,6 +100,24 @@ def _part(pieces: int):
     return run
 
 
+def _merge_pieces(pieces: int):
+    """Pieces (up, part, local, bytes) of several partitions to new ones, apart for each `up`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [x for x in batches if x.num_rows]
+        if not got:
+            return
+        table = pa.Table.from_batches(got).sort_by([("up", "ascending"), ("part", "ascending"), ("local", "ascending")]).combine_chunks()
+        up, size = table.column("up").to_numpy(), table.column("bytes").to_numpy()
+        piece = np.zeros(len(size), np.int32)
+        for own in np.split(np.arange(len(up)), np.flatnonzero(np.diff(up)) + 1):
+            for s, members in enumerate(difference([(single(size[i], pieces), i) for i in own.tolist()], pieces)[1]):
+                piece[[i for i, place in members if place == pieces - 1]] = s
+        yield from table.append_column("piece", pa.array(piece)).to_batches()
+
+    return run
+
+
 def shard_groups(groups: DataFrame, shards: int = SHARDS, parts: int = 64) -> DataFrame:
     """groups (k, bytes, n) with the shard of each; they are read more than once."""
     spark = groups.sparkSession
@@ -104,14 +126,25 @@ def shard_groups(groups: DataFrame, shards: int = SHARDS, parts: int = 64) -> Da
     large = [(bytes(k), size) for k, size in groups.filter(is_large).select("k", "bytes").orderBy("k").collect()]  # fewer than shards * LARGE
     dealt = groups.filter(~is_large).withColumn("part", F.pmod(F.xxhash64("k"), F.lit(parts)).cast("int")).repartitionById(parts, F.col("part"))
     local = cut(dealt.transform(in_arrow, _part(PIECES), "k binary, bytes long, n long, part int, local int"), "local")
-    sums = sorted(tuple(r) for r in local.groupBy("part", "local").agg(F.sum("bytes")).collect())  # parts * PIECES at most
+    level = local.groupBy("part", "local").agg(F.sum("bytes").alias("bytes"))
+    path = []  # of each step: what pieces of it became
+    while parts > MOST_PARTS:
+        parts = -(-parts // FAN)
+        grouped = cut(level, "level").select(F.pmod("part", F.lit(parts)).cast("int").alias("up"), "part", "local", "bytes")
+        merged = cut(grouped.repartitionById(parts, F.col("up")).transform(in_arrow, _merge_pieces(PIECES), "up int, part int, local int, bytes long, piece int"), "merged")
+        path.append(merged.select("part", "local", "up", "piece"))
+        level = merged.groupBy(F.col("up").alias("part"), F.col("piece").alias("local")).agg(F.sum("bytes").alias("bytes"))
+    sums = sorted(tuple(r) for r in level.collect())  # MOST_PARTS * PIECES at most
     items: list[tuple[np.ndarray, object]] = [(single(size, shards), (part, piece)) for part, piece, size in sums] + [(single(size, shards), k) for k, size in large]
     if not items:
         return groups.select("k", "bytes", "n", F.lit(0).alias("shard"))
     of_item = {label: s for s, members in enumerate(difference(items, shards)[1]) for label, place in members if place == shards - 1}
     of_pieces = spark.createDataFrame([(*k, s) for k, s in of_item.items() if isinstance(k, tuple)], "part int, local int, shard int")
     of_large = spark.createDataFrame([(bytearray(k), s) for k, s in of_item.items() if isinstance(k, bytes)], "k binary, shard int")
-    small = local.join(F.broadcast(of_pieces), ["part", "local"]).select("k", "bytes", "n", "shard")
+    where = F.broadcast(of_pieces)
+    for step in reversed(path):  # from the last pieces down to those of the partitions
+        where = step.join(where.select(F.col("part").alias("up"), F.col("local").alias("piece"), "shard"), ["up", "piece"]).select("part", "local", "shard")
+    small = local.join(where, ["part", "local"]).select("k", "bytes", "n", "shard")
     return small.unionByName(groups.join(F.broadcast(of_large), "k").select("k", "bytes", "n", "shard"))
 
 
@@ -125,7 +158,7 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     )
     rows = cut(rows, "sizes")
     groups = cut(rows.groupBy("k").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")), "groups")
-    parts = min(MOST_PARTS, parts_for(docs.select("text"), GROUP_BYTES))
+    parts = parts_for(docs.select("text"), GROUP_BYTES)
     placed = cut(shard_groups(groups, shards, parts), "placed")
     total = rows.count()
     hot = placed.filter(F.col("n") * HOT > total).select("k", "shard")
