@@ -10,22 +10,25 @@ located by walking to the nearest sampled suffix position, and overlapping ones
 Defined cases: null and empty texts have no words and are never contaminated; an item of fewer
 than `window` words is one window, an item of none is ignored; repeated rows or items count once
 for each row and once for each item_id; a null item_id hits words and is listed as ''.
-An empty benchmark hits nothing.  The benchmark is searched in blocks of at most BLOCK_BYTES
-of text, each of which is what one broadcast holds.
+An empty benchmark hits nothing.  A broadcast holds a block of at most BLOCK_BYTES of the benchmark's
+text (or one item): a benchmark of one block is searched in one pass over the documents, a larger one in a pass for
+each block, whose hits are written, and merged by document at the end.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
-from .common import LOWER, binary_array, encode_words, in_arrow, load, spans, steps, text_buffer
+from .common import LOWER, binary_array, cut, encode_words, in_arrow, load, row_key, spans, steps, text_buffer
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
@@ -180,7 +183,7 @@ def blocks(benchmark: DataFrame, window: int = WINDOW, most: int = BLOCK_BYTES)
         if not text:
             continue
         held.append((k, text))
-        size += len(text)
+        size += len(text.encode())
         if size >= most:
             yield Windows(held, window)
             held, size = [], 0
@@ -188,41 +191,86 @@ def blocks(benchmark: DataFrame, window: int = WINDOW, most: int = BLOCK_BYTES)
         yield Windows(held, window)
 
 
+class _Found:
+    """Hits in the texts of a batch."""
+
+    def __init__(self, batch: pa.RecordBatch, blocks: list[Windows]):
+        self.batch = batch
+        self.source, self.at = text_buffer(batch.column("text"))
+        raw = LOWER[self.source]
+        self.start, self.end, self.first, mask = spans(raw, self.at, _WORD)
+        coded = binary_array(raw[mask], self.end - self.start).dictionary_encode() if len(self.start) else None
+        self.change = np.zeros(len(self.start) + 1, np.int64)
+        self.named: list[set[str]] = [set() for _ in range(batch.num_rows)]
+        for w in blocks if coded is not None else ():
+            of_word = pc.fill_null(pc.index_in(coded.dictionary, value_set=w.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            where, length, pattern = w.search(of_word[coded.indices.to_numpy(zero_copy_only=False)], self.first)
+            self.add(where, where + length)
+            n = w.owner_at[pattern + 1] - w.owner_at[pattern]
+            item = w.owner[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - w.owner_at[pattern], n)]
+            doc = np.repeat(np.searchsorted(self.first, where, side="right") - 1, n)
+            for x in np.unique(doc * len(w.names) + item).tolist():
+                self.named[x // len(w.names)].add(w.names[x % len(w.names)])
+
+    def add(self, lo: np.ndarray, hi: np.ndarray) -> None:
+        np.add.at(self.change, lo, 1)
+        np.add.at(self.change, hi, -1)
+
+    @property
+    def hit(self) -> np.ndarray:
+        return np.cumsum(self.change[:-1]) > 0
+
+    def rows(self, with_text: bool) -> pa.RecordBatch:
+        hit, first = self.hit, self.first
+        total = np.append(0, np.cumsum(hit))
+        n_hit = total[first[1:]] - total[first[:-1]]
+        columns = {
+            "doc_id": self.batch.column("doc_id"),
+            "n_words": pa.array(np.diff(first), pa.int64()),
+            "n_hit": pa.array(n_hit, pa.int64()),
+            "n_items": pa.array([len(x) for x in self.named], pa.int64()),
+            "items_sha256": pa.array([hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in self.named], pa.string()),
+            "contaminated": pa.array(n_hit > 0),
+        }
+        if with_text:
+            columns = {c: self.batch.column(c) for c in self.batch.schema.names if c in ("doc_id", "text", "row")} | columns
+            columns["clean_text"] = _without(self.batch.column("text"), self.source, self.at, self.start, self.end, first, hit, n_hit)
+        return pa.RecordBatch.from_pydict(columns)
+
+
 def _scan(shared: list, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
-            source, at = text_buffer(batch.column("text"))
-            raw = LOWER[source]
-            start, end, first, mask = spans(raw, at, _WORD)
-            coded = binary_array(raw[mask], end - start).dictionary_encode() if len(start) else None
-            change = np.zeros(len(start) + 1, np.int64)
-            named: list[set[str]] = [set() for _ in range(batch.num_rows)]
-            for block in shared if coded is not None else ():
-                w = block.value
-                of_word = pc.fill_null(pc.index_in(coded.dictionary, value_set=w.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-                where, length, pattern = w.search(of_word[coded.indices.to_numpy(zero_copy_only=False)], first)
-                np.add.at(change, where, 1)
-                np.add.at(change, where + length, -1)
-                n = w.owner_at[pattern + 1] - w.owner_at[pattern]
-                item = w.owner[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - w.owner_at[pattern], n)]
-                doc = np.repeat(np.searchsorted(first, where, side="right") - 1, n)
-                for x in np.unique(doc * len(w.names) + item).tolist():
-                    named[x // len(w.names)].add(w.names[x % len(w.names)])
-            hit = np.cumsum(change[:-1]) > 0
-            total = np.append(0, np.cumsum(hit))
-            n_hit = total[first[1:]] - total[first[:-1]]
-            columns = {
-                "doc_id": batch.column("doc_id"),
-                "n_words": pa.array(np.diff(first), pa.int64()),
-                "n_hit": pa.array(n_hit, pa.int64()),
-                "n_items": pa.array([len(x) for x in named], pa.int64()),
-                "items_sha256": pa.array([hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in named], pa.string()),
-                "contaminated": pa.array(n_hit > 0),
-            }
-            if with_text:
-                columns = {c: batch.column(c) for c in batch.schema.names} | {c: v for c, v in columns.items() if c not in batch.schema.names}
-                columns["clean_text"] = _without(batch.column("text"), source, at, start, end, first, hit, n_hit)
-            yield pa.RecordBatch.from_pydict(columns)
+            yield _Found(batch, [x.value for x in shared]).rows(with_text)
+
+    return run
+
+
+def _hits(shared):
+    """(rid, lo, hi, items) of the documents that a block hits: merged spans of words, and names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches):
+            found = _Found(batch, [shared.value])
+            rid, hit, out = batch.column("rid").to_pylist(), found.hit, []
+            for i in (i for i, x in enumerate(found.named) if x):
+                step = np.diff(np.concatenate([[0], hit[found.first[i] : found.first[i + 1]], [0]]).astype(np.int8))
+                out.append((rid[i], np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist(), sorted(found.named[i])))
+            columns = list(zip(*out, strict=True)) or [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string())), strict=True)], ["rid", "lo", "hi", "items"])
+
+    return run
+
+
+def _merged(with_text: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches):
+            found = _Found(batch, [])
+            for i, (lo, hi, items) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("lo", "hi", "items")), strict=True)):
+                if items:
+                    found.named[i].update(items)
+                    found.add(found.first[i] + np.array(lo, np.int64), found.first[i] + np.array(hi, np.int64))
+            yield found.rows(with_text)
 
     return run
 
@@ -242,13 +290,27 @@ def _without(column: pa.Array, source, at, start, end, first, hit, n_hit) -> pa.
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, with_text: bool = False) -> DataFrame:
     """A row per document; with_text keeps doc_id, text, row and adds clean_text, the text without its removal spans."""
     sc = docs.sparkSession.sparkContext
-    shared = [sc.broadcast(x) for x in blocks(benchmark, window)]
-    schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+    found = StructType().add("n_words", LongType()).add("n_hit", LongType()).add("n_items", LongType()).add("items_sha256", StringType()).add("contaminated", BooleanType())
     if with_text:
         keep = docs.select("doc_id", "text", *[c for c in docs.columns if c == "row"])
-        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keep.schema) + schema.removeprefix("doc_id long") + ", clean_text string"
-        return keep.transform(in_arrow, _scan(shared, True), schema)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").transform(in_arrow, _scan(shared, False), schema)
+        schema = StructType([*keep.schema, *found, StructField("clean_text", StringType())])
+    else:
+        keep = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        schema = StructType([keep.schema["doc_id"], *found])
+    every = blocks(benchmark, window)
+    first, second = next(every, None), next(every, None)
+    if second is None:
+        return keep.transform(in_arrow, _scan([sc.broadcast(first)] if first is not None else [], with_text), schema)
+    rows = keep.withColumn("rid", row_key())
+    hits = None
+    for block in chain([first, second], every):
+        shared = sc.broadcast(block)
+        got = cut(rows.select("text", "rid").transform(in_arrow, _hits(shared), "rid long, lo array<long>, hi array<long>, items array<string>"), "hits")
+        shared.unpersist()
+        one = got.dropDuplicates(["rid"])
+        hits = one if hits is None else hits.unionByName(one)
+    merged = hits.groupBy("rid").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("lo", "hi", "items")])  # of one text
+    return rows.join(merged, "rid", "left").drop("rid").transform(in_arrow, _merged(with_text), schema)
 
 
 def op8_benchmark_fm_index(spark, sf_dir: str) -> DataFrame:
