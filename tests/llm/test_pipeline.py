@@ -41,3 +41,24 @@ def test_documents_without_any_label_stay(spark):
     docs = spark.createDataFrame([(i, t, None, "s", None, "own", 7, "own") for i, t in enumerate(texts)], SCHEMA)
     got = corpus_pipeline.identify_language(spark, docs, "")
     assert got.columns == docs.columns and {x.doc_id for x in got.collect()} == {0, 4}
+
+
+def test_stages_take_columns_of_any_name_and_empty_tables(spark, tmp_path):
+    spark.createDataFrame([(1, "no such words")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    words = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, words, "en", "s", 5, "own", 7, "own"), (1, words, "en", "s", 5, "own", 7, "own"), (None, words, None, "s", 5, "own", 7, "own"), (2, None, None, None, None, None, None, None)], SCHEMA)
+    for c in ("my-col", "a.b", "_kept", "row", "_0", "k`k", "id", "k"):
+        docs = docs.withColumn(c, F.lit(c))
+    for rows, left in ((docs, 1), (docs.limit(0), 0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            path = str(tmp_path / f"{left}{name}")
+            stage(spark, rows, str(tmp_path)).write.parquet(path)
+            rows = spark.read.parquet(path)
+            assert rows.columns == docs.columns
+        assert [(x.doc_id, x.text, x.lang, x["a.b"]) for x in rows.collect()] == [(1, words, "en", "a.b")] * left
+
+
+def test_language_stage_names_the_language(spark):
+    texts = ["der hund und die katze " * 8, "the dog and the cat " * 8, "der hund und die maus", None]
+    docs = spark.createDataFrame([(i, t, [None, "en", "de", "de"][i], "s", None, "own", 7, "own") for i, t in enumerate(texts)], SCHEMA)
+    assert {x.doc_id: x.lang for x in corpus_pipeline.identify_language(spark, docs, "").collect()} == {0: "de", 1: "en", 2: "de"}

@@ -513,3 +513,105 @@ def test_one_row_of_each_class_is_kept(spark):
     assert got.columns == docs.columns
     assert sorted(((x.doc_id, x.text) for x in got.collect()), key=str) == sorted([(3, base + " x"), (8, "alone"), (None, "none"), (2, None)], key=str)
     assert {(x["_kept"], x["a.b"], x["my-col"], x["q`q"], x["k"]) for x in got.collect()} == {(1, 2, 3, 4, 5)}
+
+
+def test_benchmark_in_many_blocks_is_as_one(spark, monkeypatch):
+    texts = corpus(40)
+    docs = frame(spark, texts).withColumn("row", F.struct(F.col("rid").alias("my-col")))
+    items = [(1, texts[0]), (2, texts[5]), (30, "é"), (4, None), (6, texts[10]), (6, texts[15]), (None, texts[20]), (7, "w1 " * 30)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    one = {tuple(map(str, r)) for r in decontaminate.find_leaks(docs, bench, with_text=True).collect()}
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 60)
+    assert len(list(decontaminate.blocks(bench, most=60))) > 3
+    assert {tuple(map(str, r)) for r in decontaminate.find_leaks(docs, bench, with_text=True).collect()} == one
+    twice = decontaminate.find_leaks(docs.unionByName(docs), bench, with_text=True).collect()
+    assert len(twice) == 2 * len(texts) and {tuple(map(str, r)) for r in twice} == one
+    assert decontaminate.find_leaks(docs.limit(0), bench).count() == 0
+
+
+def test_repeats_with_repeated_and_null_ids(spark):
+    texts = corpus(20)
+    ids = [*(i // 2 for i in range(len(texts) - 3)), None, 3, 3]
+    got = substring_dedup.remove_repeats(frame(spark, texts, ids), with_text=False).drop("rid").collect()
+    want = brute_repeats(texts, [10**9 if i is None else i for i in ids])
+    assert sorted((10**9 if x.doc_id is None else x.doc_id, *x[1:]) for x in got) == want
+    rows = frame(spark, texts, ids)
+    twice = substring_dedup.remove_repeats(rows.unionByName(rows), with_text=False).drop("rid").collect()
+    assert sorted(map(str, twice)) == sorted([*map(str, got), *map(str, got)])
+
+
+def test_cut_texts_keep_their_lines(spark):
+    passage = " ".join(f"p{i}" for i in range(15))
+    texts = [passage, f"one\n\n two  three {passage}\nfour\tfive\n", f"{passage}\n\tsix", f" seven\n{passage}", passage]
+    got = {x.doc_id: x.kept_text for x in substring_dedup.remove_repeats(frame(spark, texts)).collect()}
+    assert got == {0: passage, 1: "one\n\n two  three\nfour\tfive\n", 2: "six", 3: " seven", 4: ""}
+
+
+def test_a_very_long_text(spark):
+    """One text beyond a step's bytes, by the operators that cut their input in steps."""
+    long = " ".join(f"k{i % 70_000}" for i in range(1_400_000))
+    assert len(long) > 8 << 20
+    docs = frame(spark, [long, "short text", long[:500_000]])
+    removed = {x.doc_id: (x.n_words, x.n_removed) for x in substring_dedup.remove_repeats(docs, with_text=False).collect()}
+    words = len(long[:500_000].split())
+    assert removed[0] == (1_400_000, 0) and removed[2][0] == words and removed[2][1] >= words - 1
+    leak = "k5 k6 k7 k8 k9 k10 k11 k12 k13 k14"
+    hits = {x.doc_id: x.n_hit for x in decontaminate.find_leaks(docs, spark.createDataFrame([(1, leak)], "item_id long, text string")).collect()}
+    assert hits == {0: 10 * long.count(f"{leak} "), 1: 0, 2: 10 * long[:500_000].count(f"{leak} ")} and hits[2] == 20
+    model = language_id.fit(frame(spark, ["k1 k2 words " * 30], lang=["en"]), F.lit(True))
+    assert {x.lang_pred for x in language_id.predict(docs.select("text"), model).collect()} == {"en"}
+    shards = {x.doc_id: x["size"] for x in sharding.shard_rows(docs, 3).collect()}
+    assert shards[0] == len(long) + 8
+    counted = {x.doc_id: x.n_words for x in quality_rules.base_rules(docs).collect()}
+    assert counted[0] == 1_400_000
+
+
+def test_pieces_of_many_partitions_merge_in_steps(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "MOST_PARTS", 3)
+    monkeypatch.setattr(sharding, "FAN", 4)
+    groups = spark.createDataFrame([(bytearray(i.to_bytes(4, "big")), 100 + i * 37 % 91, 1) for i in range(4000)], "k binary, bytes long, n long")
+    rows = sharding.shard_groups(groups, 6, parts=40).collect()
+    sizes = Counter()
+    for x in rows:
+        sizes[x.shard] += x.bytes
+    assert len({bytes(x.k) for x in rows}) == len(rows) == 4000 and sum(sizes.values()) == sum(100 + i * 37 % 91 for i in range(4000))
+    assert max(sizes.values()) - min(sizes.values()) <= 0.005 * sum(sizes.values())
+
+
+def test_differencing_is_as_by_hand():
+    """Against a plain version, with exact ties in any order."""
+    r = random.Random(7)
+    for _ in range(30):
+        items, k = [r.randrange(1, 60) for _ in range(r.randint(1, 30))], r.randint(2, 5)
+        plain = [[0] * (k - 1) + [x] for x in items]
+        while len(plain) > 1:
+            plain.sort(key=lambda v: v[0] - v[-1])
+            a, b = plain.pop(0), plain.pop(0)
+            plain.append(sorted(x + y for x, y in zip(a, b[::-1])))
+        sizes, placed = sharding.difference([(sharding.single(x, k), i) for i, x in enumerate(items)], k)
+        assert [sum(items[i] for i, place in s if place == k - 1) for s in placed] == sizes.tolist()
+        assert sum(sizes) == sum(items) and sizes[-1] - sizes[0] <= max(items)
+        if len(set(items)) == len(items) and k == 2:
+            assert sizes.tolist() == plain[0]
+
+
+def test_rollup_folds_and_two_writers_count_once(spark, tmp_path):
+    rollup = token_rollup.TokenRollup(spark, str(tmp_path))
+    rollup.compact()
+    docs = frame(spark, ["a b c", None, "", "d e"]).withColumn("source", F.when(F.col("doc_id") > 0, F.col("source")))
+    change = token_rollup.inserts(docs, "v1", token_rollup.word_count())
+    total = lambda: {(x.source, x.lang, x.tokenizer): (x.docs, x.tokens) for x in rollup.totals().collect()}
+    assert rollup.apply("one", change)
+    before = total()
+    assert before == {(None, "en", "v1"): (1, 3), ("s1", "en", "v1"): (2, 2), ("s0", "en", "v1"): (1, 0)}
+    # another writer that saw no commit writes and marks the same batch
+    for attempt in ("0" * 32, "f" * 32):
+        change.groupBy(*token_rollup.KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).write.parquet(str(tmp_path / "batches" / f"one-{attempt}"))
+        rollup._mark(f"commits/one-{attempt}")
+    assert total() == before
+    rollup.compact()
+    assert total() == before and not rollup.apply("one", change)
+    assert rollup.apply("empty", change.limit(0)) and total() == before
+    assert rollup.apply("gone", token_rollup.deletes(docs, "v1", token_rollup.word_count())) and total() == {}
+    rollup.compact()
+    assert total() == {} and rollup.apply("again", change) and total() == before

@@ -76,6 +76,21 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def quoted(name: str) -> str:
+    """A column's name as Spark reads names, whatever is in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def as_row(docs: DataFrame, but: tuple[str, ...] = ()) -> F.Column:
+    """All columns but these as one struct `row`, whose fields are numbered: names do no harm there."""
+    return F.struct(F.lit(True).alias("_"), *[F.col(quoted(c)).alias(f"_{i}") for i, c in enumerate(docs.columns) if c not in but]).alias("row")
+
+
+def from_row(found: DataFrame, columns: list[str], **other: F.Column) -> DataFrame:
+    """The columns of as_row again, some of them with another value."""
+    return found.select(*[other[c].alias(c) if c in other else F.col(f"row._{i}").alias(c) for i, c in enumerate(columns)])
+
+
 def _tidy(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     """function, after which the worker gives what it has freed back to the system: it is kept for later tasks."""
 

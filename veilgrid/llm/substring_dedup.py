@@ -6,6 +6,8 @@ packed string to the bucket that the minimiser names.  Equal windows have equal
 each bucket can sort its windows alone and see every occurrence of each.  The sort is on a
 64-bit hash, and runs of equal hashes are then compared word by word, so the result is exact.
 
+Words that stay keep the white space between them; around a cut, what stood on the side with a line break, or else on the right.
+
 A word goes if some window over it also starts in a document with a smaller doc_id.  Windows
 are judged on the input.  Defined cases: null and empty texts have no words; a text shorter
 than a window keeps all; rows with equal doc_id never remove from each other; a null doc_id
@@ -23,6 +25,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructType
 
 from .common import binary_array, encode_words, hash_words, in_arrow, load, mix, parts_for, row_key, single_spaced, spans, steps, text_buffer
 
@@ -217,8 +220,8 @@ def _apply(with_text: bool):
 
 
 def _cut_words(batch: pa.RecordBatch, key: np.ndarray, lo: np.ndarray, hi: np.ndarray, with_text: bool) -> pa.RecordBatch:
-    raw, at = text_buffer(batch.column("text"))
-    start, end, first, mask = spans(raw, at)
+    raw, text_at = text_buffer(batch.column("text"))
+    start, end, first, mask = spans(raw, text_at)
     text, at = single_spaced(raw, start, end, mask)
     rid = batch.column("rid").to_numpy(zero_copy_only=False)
     n = batch.num_rows
@@ -232,7 +235,7 @@ def _cut_words(batch: pa.RecordBatch, key: np.ndarray, lo: np.ndarray, hi: np.nd
     gone = np.cumsum(change[:-1]) > 0
     total = np.append(0, np.cumsum(gone))
     removed = total[first[1:]] - total[first[:-1]]
-    kept, sha = [], []
+    sha = []
     byte = at[first].tolist()
     flat = None
     for i, r in enumerate(removed.tolist()):
@@ -246,17 +249,35 @@ def _cut_words(batch: pa.RecordBatch, key: np.ndarray, lo: np.ndarray, hi: np.nd
             w = slice(first[i], first[i + 1])
             out = flat[byte[i] : byte[i + 1]][np.repeat(~gone[w], np.diff(at[first[i] : first[i + 1] + 1]))].tobytes()[:-1]
         sha.append(hashlib.sha256(out).hexdigest())
-        if with_text:
-            kept.append(out.decode("utf-8", "replace"))
     columns = {"rid": batch.column("rid"), "doc_id": batch.column("doc_id"), "n_words": pa.array(np.diff(first), pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(sha, pa.string())}
-    if with_text:  # a text that loses nothing stays as it is, blanks and all
-        whole = batch.column("text").to_pylist()
-        columns |= {"kept_text": pa.array([t if r == 0 else k for t, k, r in zip(whole, kept, removed.tolist(), strict=True)], pa.string())}
+    if with_text:
+        columns |= {"kept_text": _kept_texts(batch.column("text"), raw, text_at, start, end, first, gone, removed)}
     if "row" in batch.schema.names:
         columns["row"] = batch.column("row")
     return pa.RecordBatch.from_pydict(columns)
 
 
+def _kept_texts(column: pa.Array, raw: np.ndarray, at: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray, gone: np.ndarray, removed: np.ndarray) -> pa.Array:
+    """Texts without the words that go; one that loses nothing stays as it is."""
+    out = column.to_pylist()
+    for i in np.flatnonzero(removed).tolist():
+        lo, hi = int(first[i]), int(first[i + 1])
+        step = np.diff(np.concatenate([[0], ~gone[lo:hi], [0]]).astype(np.int8))
+        begin, stop = (np.flatnonzero(step == 1) + lo).tolist(), (np.flatnonzero(step == -1) - 1 + lo).tolist()
+        parts = []
+        for n, (a, b) in enumerate(zip(begin, stop, strict=True)):  # runs of words that stay
+            if n:
+                left, right = (raw[x:y].tobytes() for x, y in ((end[stop[n - 1]], start[stop[n - 1] + 1]), (end[a - 1], start[a])))
+                parts.append(left if b"\n" in left else right)
+            elif a == lo:
+                parts.append(raw[at[i] : start[a]].tobytes())
+            parts.append(raw[start[a] : end[b]].tobytes())
+        if stop and stop[-1] == hi - 1:
+            parts.append(raw[end[hi - 1] : at[i + 1]].tobytes())
+        out[i] = b"".join(parts).decode("utf-8", "replace")
+    return pa.array(out, pa.string())
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIMISER, with_text: bool = True) -> DataFrame:
     """(rid, doc_id, n_words, n_removed, kept_sha256[, kept_text][, row]) of every row of docs; rid is common.row_key().
 
@@ -270,8 +291,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIM
     texts = rows.select(F.pmod("rid", F.lit(parts)).cast("int").alias("part"), "doc_id", "rid", "text", *carried, F.lit(None).cast("binary").alias("spans"))
     none = [F.lit(None).cast(texts.schema[c].dataType).alias(c) for c in ("doc_id", "rid", "text", *carried)]
     both = texts.unionByName(found.select("part", *none, "spans")).repartitionById(parts, F.col("part"))
-    schema = "rid long, doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    schema += "".join(f", row {rows.schema[c].dataType.simpleString()}" for c in carried)
+    schema = StructType().add("rid", LongType()).add("doc_id", LongType()).add("n_words", LongType()).add("n_removed", LongType()).add("kept_sha256", StringType())
+    if with_text:
+        schema.add("kept_text", StringType())
+    for c in carried:
+        schema.add(rows.schema[c])
     return both.transform(in_arrow, _apply(with_text), schema)
 
 
