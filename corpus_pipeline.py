@@ -9,46 +9,47 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilgrid.llm import bpe, decontaminate, language_id, near_dedup, substring_dedup
-from veilgrid.llm.common import load, shared_dir
+from veilgrid.llm.common import as_row, from_row, load, shared_dir
 
 #: No stage but the last can be told in SQL as a whole; tests hold the chain against plain Python.
 ORACLE_SQL = None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps what has a language: documents without a letter, or none at all, go; so too where no row names its language."""
+    """Names each document's language in `lang`, by its text alone; texts without a letter, or none at all, go.
+
+    Where no row names its language there is nothing to learn: documents with a letter stay as they are.
+    """
     model = language_id.fit(docs, F.lit(True))
     if not model.names:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    rows = docs.select("text", F.struct(*docs.columns).alias("row"))
-    return language_id.predict(rows, model).filter(F.col("lang_pred") != language_id.UND).select("row.*")
+    found = language_id.predict(docs.select("text", as_row(docs)), model).filter(F.col("lang_pred") != language_id.UND)
+    return from_row(found, docs.columns, lang=F.col("lang_pred"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least doc_id of each class, and those without a doc_id."""
-    kept = near_dedup.near_classes(docs).filter("doc_id = class_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("_kept"), "left").filter(F.col("_kept").isNotNull() | F.col("doc_id").isNull()).select(*docs.columns)
-
-
-def _rest(docs: DataFrame) -> F.Column:
-    return F.struct(*[c for c in docs.columns if c != "text"]).alias("row")
+    """Keeps one document of each class: the one with the least doc_id, once."""
+    return near_dedup.keep_one(docs)
 
 
-def _with_text(found: DataFrame, text: str, columns: list[str]) -> DataFrame:
-    """These columns, with another text and its length."""
-    return found.select(*[F.col(text).alias(c) if c == "text" else F.char_length(text).cast("long").alias(c) if c == "n_chars" else F.col(f"row.{c}").alias(c) for c in columns])
+def _with_text(found: DataFrame, text: str, docs: DataFrame) -> DataFrame:
+    """The columns of docs, with another text and its length."""
+    other = {"text": F.col(text)}
+    if "n_chars" in docs.columns:
+        other["n_chars"] = F.char_length(text).cast(docs.schema["n_chars"].dataType)
+    return from_row(found, docs.columns, **other)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes repeated windows; texts without one stay as they are, and those with nothing left go."""
-    found = substring_dedup.remove_repeats(docs.select("doc_id", "text", _rest(docs)), with_text=True)
-    return _with_text(found.filter("n_removed = 0 or n_removed < n_words"), "kept_text", docs.columns)
+    found = substring_dedup.remove_repeats(docs.select("doc_id", "text", as_row(docs, ("text",))), with_text=True)
+    return _with_text(found.filter("n_removed = 0 or n_removed < n_words"), "kept_text", docs)
 
 
 def remove_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts the spans that benchmark windows hit out of the texts; texts of which nothing is left go."""
-    found = decontaminate.find_leaks(docs.select("doc_id", "text", _rest(docs)), load(spark, sf_dir, "benchmark"), with_text=True)
-    return _with_text(found.filter("n_hit = 0 or n_hit < n_words"), "clean_text", docs.columns)
+    found = decontaminate.find_leaks(docs.select("doc_id", "text", as_row(docs, ("text",))), load(spark, sf_dir, "benchmark"), with_text=True)
+    return _with_text(found.filter("n_hit = 0 or n_hit < n_words"), "clean_text", docs)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
