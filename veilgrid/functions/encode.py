@@ -115,10 +115,3 @@ def encode(df: DataFrame, encoders: list[Encoder], words: dict[str, DataFrame],
         values.append(F.coalesce(value, F.lit(e.sentinel)))
     return df.select(*keep, F.array(*values).alias("v"))
 
-
-def nearest_safe(value: Column, safe: list[float]) -> Column:
-    """The nearest of a sorted list, ties to the lower; the list is one column's distinct values."""
-    if not safe:
-        raise ValueError("a value-safe column has no values")
-    options = F.array(*[F.lit(float(x)) for x in safe])
-    return F.array_min(F.transform(options, lambda x: F.struct(F.abs(x - value).alias("d"), x.alias("x"))))["x"]

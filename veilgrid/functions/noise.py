@@ -9,7 +9,6 @@ import hashlib
 import math
 import sys
 from collections.abc import Iterable, Sequence
-from dataclasses import dataclass, replace
 from functools import reduce
 from operator import xor
 
@@ -64,9 +63,24 @@ def unsigned(h: int) -> int:
 
 @F.pandas_udf(T.LongType())
 def hashed_ids(ids: pd.Series) -> pd.Series:
-    """hash_pid of each id, null where it is missing."""
-    out = [hash_pid(None if x is None or x != x else (int(x) if isinstance(x, float) else x)) for x in ids]
-    return pd.Series([None if h == 0 else signed(h) for h in out], dtype="Int64")
+    """hash_pid of each id, null where it is missing; a batch's distinct ids are hashed once."""
+    code, distinct = pd.factorize(ids)  # code -1: null
+    hashes = [hash_pid(int(x) if isinstance(x, float) else x) for x in distinct]
+    table = pd.array([None if h == 0 else signed(h) for h in hashes] + [None], dtype="Int64")
+    return pd.Series(table[code])
+
+
+@F.pandas_udf(T.LongType())
+def hashed_labels(middles: pd.Series) -> pd.Series:
+    """hash_strings of the numbers' texts, a node in a row."""
+    known: dict[str, int] = {}
+
+    def of(text: str) -> int:
+        if text not in known:
+            known[text] = hash_string(text)
+        return known[text]
+
+    return pd.Series([signed(xor_all(of(x) for x in {str(float(m)) for m in row})) for row in middles], dtype="Int64")
 
 
 def salted(salt: bytes, seed: int) -> int:
@@ -97,94 +111,12 @@ def is_low_count(salt: bytes, params: SuppressionParams, kinds: Sequence[tuple[i
     return any(n < params.low_threshold or n < noise(salt, "suppress", params.layer_sd, [seed]) + mean for n, seed in kinds)
 
 
-def compact_flattening(outlier: FlatteningInterval, top: FlatteningInterval, total: int) -> tuple[FlatteningInterval, FlatteningInterval] | None:
-    """Both ranges shrunk to what `total` entities allow; None if these are too few."""
-    over = outlier.upper + top.upper - total
-    if total < outlier.lower + top.lower:
-        return None
-    if over <= 0:
-        return outlier, top
-    room_outlier, room_top = outlier.upper - outlier.lower, top.upper - top.lower
-    from_outlier = min(room_outlier, max(over // 2, over - room_top))
-    return replace(outlier, upper=outlier.upper - from_outlier), replace(top, upper=top.upper - (over - from_outlier))
-
-
-@dataclass(frozen=True)
-class Contributions:
-    """One kind's rows by entity: how many entities, rows that have one, rows that have none, xor, and the largest (rows, hash) pairs."""
-
-    entities: int
-    rows: int
-    unaccounted: int
-    seed: int
-    largest: Sequence[tuple[int, int]]
-
-    @staticmethod
-    def of(counts: dict[int, int], unaccounted: int = 0, keep: int = 10) -> Contributions:
-        largest = sorted(((n, h) for h, n in counts.items()), reverse=True)[:keep]
-        return Contributions(len(counts), sum(counts.values()), unaccounted, xor_all(counts), largest)
-
-
-@dataclass(frozen=True)
-class FlatCount:
-    count: float
-    flattening: float
-    noise_sd: float
-    noise: float
-
-
-def flatten(c: Contributions, params: AnonymizationParams, bucket_seed: int) -> FlatCount | None:
-    """The rows with the largest contributions brought down to the average of the next ones, and noise in proportion."""
-    ranges = compact_flattening(params.outlier_count, params.top_count, c.entities)
-    if ranges is None:
-        return None
-    outlier, top = ranges
-    seed = salted(params.salt, xor_all(h for _, h in c.largest[: outlier.upper + top.upper]))
-    n_outlier = uniform_int(outlier, step_seed("outlier", seed))
-    n_top = uniform_int(top, step_seed("top", seed))
-    average_top = sum(n for n, _ in c.largest[n_outlier : n_outlier + n_top]) / n_top
-    flattening = sum(max(n - average_top, 0) for n, _ in c.largest[:n_outlier])
-    flat = c.rows - flattening
-    sd = params.layer_noise_sd * max(flat / c.entities, 0.5 * average_top)
-    return FlatCount(flat + max(c.unaccounted - flattening, 0), flattening, sd, noise(params.salt, "noise", sd, [bucket_seed, c.seed]))
-
-
-def count_multiple(params: AnonymizationParams, bucket_seed: int, kinds: Sequence[Contributions]) -> tuple[int, float] | None:
-    """(noisy rows, reported noise sd), or None if any kind has too few entities."""
-    flat = [flatten(c, params, bucket_seed) for c in kinds]
-    if any(x is None for x in flat):
-        return None
-    most = max(flat, key=lambda x: (x.flattening, x.count))
-    loud = max(flat, key=lambda x: (x.noise_sd, abs(x.noise)))
-    return round(most.count + loud.noise), money_round_noise(loud.noise_sd)
-
-
-def count_single(params: AnonymizationParams, bucket_seed: int, count: int, seed: int) -> int:
-    return round(count + noise(params.salt, "noise", params.layer_noise_sd, [bucket_seed, seed]))
-
-
 def noisy_row_limit(salt: bytes, seed: int, rows: int, fraction: int) -> int:
     limit = rows // fraction
     spread = limit // 20
     return limit + uniform_int(FlatteningInterval(-spread, spread), step_seed("precision_limit", salted(salt, seed)))
 
 
-def money_round(value: float) -> float:
-    """To 1, 2 or 5 times a power of ten."""
-    if 0 <= value < 1e-10:
-        return 0.0
-    tens = 10.0 ** math.floor(math.log10(value))
-    scaled = value / tens
-    return tens * (1 if scaled < 1.5 else 2 if scaled < 3.5 else 5 if scaled < 7.5 else 10)
-
-
-def money_round_noise(sd: float) -> float:
-    if sd == 0:
-        return 0.0
-    unit = money_round(0.05 * sd)
-    return math.ceil(sd / unit) * unit
-
-
 # the same on columns, for plans that stay in the JVM
 
 
@@ -210,6 +142,108 @@ def noise_column(salt: bytes, step: str, sd: Column | float, layers: Sequence[Co
     return sum((normal_column(sd, s) for s in seeds), F.lit(0.0))
 
 
-def low_count_column(salt: bytes, params: SuppressionParams, count: Column, seed: Column) -> Column:
-    mean = params.low_threshold + params.low_mean_gap * params.layer_sd
-    return (count < params.low_threshold) | (count < noise_column(salt, "suppress", params.layer_sd, [seed]) + mean)
+def low_count_column(salt: bytes, params: SuppressionParams, count: Column, seed: Column, threshold: Column | int | None = None) -> Column:
+    """Whether a kind's entities are too few; threshold: another one than the parameters'."""
+    least = params.low_threshold if threshold is None else threshold
+    mean = least + params.low_mean_gap * params.layer_sd
+    draw = noise_column(salt, "suppress", params.layer_sd, [seed]) if params.layer_sd else F.lit(0.0)
+    return (count < least) | (count < draw + mean)
+
+
+def any_low(kinds: Column | str, salt: bytes, params: SuppressionParams, threshold: Column | int | None = None) -> Column:
+    """Whether any kind (entities, seed) is low."""
+    return F.exists(kinds, lambda x: low_count_column(salt, params, x["entities"], x["seed"], threshold))
+
+
+def uniform_column(lower: Column | int, upper: Column | int, seed: Column) -> Column:
+    """An integer from lower to upper, by the seed as an unsigned number."""
+    size = (F.lit(upper) if isinstance(upper, int) else upper) - lower + 1
+    whole = F.pmod(2 * (F.pmod(F.lit((1 << 63) - 1), size) + 1), size)  # 2**64 in these residues
+    return F.pmod(F.pmod(seed, size) + F.when(seed < 0, whole).otherwise(0), size) + lower
+
+
+def step_column(salt: bytes, step: str, seed: Column) -> Column:
+    return salted_column(salt, seed).bitwiseXOR(F.lit(signed(hash_string(step))))
+
+
+#: What is kept of one kind of entities in a group: how many, rows that have one, rows that have none, xor of hashes, largest contributions.
+KIND = "struct<entities:bigint,rows:bigint,unaccounted:bigint,seed:bigint,largest:array<struct<n:bigint,h:bigint>>>"
+
+
+def largest_kept(params: AnonymizationParams) -> int:
+    """Contributions of a group that flattening can look at."""
+    return params.outlier_count.upper + params.top_count.upper
+
+
+def flat_kinds(kinds: Column | str, params: AnonymizationParams, bucket_seed: Column) -> Column:
+    """For each kind (see KIND) the rows when the largest contributions are brought down to the mean of the next ones, what that takes off, and noise in proportion; null where entities are too few.
+
+    Each step is a transform of its own, so that no draw is made twice.
+    """
+    outlier, top, salt = params.outlier_count, params.top_count, params.salt
+    spare_outlier, spare_top = outlier.upper - outlier.lower, top.upper - top.lower
+
+    def ranges(x: Column) -> Column:
+        """The upper ends of both ranges; what the group lacks is taken off in halves, or off the one that has room."""
+        over = F.greatest(outlier.upper + top.upper - x["entities"], F.lit(0))
+        off = F.least(F.lit(spare_outlier), F.greatest(F.floor(over / 2), over - spare_top)).cast("int")
+        return F.struct(x.alias("x"), (F.lit(outlier.upper) - off).cast("int").alias("o"), (F.lit(top.upper) - over.cast("int") + off).cast("int").alias("t"))
+
+    def sizes(y: Column) -> Column:
+        group = F.aggregate(F.slice(y["x"]["largest"], F.lit(1), y["o"] + y["t"]), F.lit(0).cast("long"), lambda acc, c: acc.bitwiseXOR(c["h"]))
+        return F.struct(y["x"].alias("x"), y["o"].alias("o"), y["t"].alias("t"), salted_column(salt, group).alias("s"))
+
+    def drawn(y: Column) -> Column:
+        draw = lambda lower, upper, step: uniform_column(lower, upper, y["s"].bitwiseXOR(F.lit(signed(hash_string(step))))).cast("int")
+        return F.struct(y["x"].alias("x"), draw(outlier.lower, y["o"], "outlier").alias("o"), draw(top.lower, y["t"], "top").alias("t"))
+
+    total = lambda part: F.aggregate(part, F.lit(0.0), lambda acc, c: acc + c)
+    counts = lambda part: F.transform(part, lambda c: c["n"].cast("double"))
+
+    def level(y: Column) -> Column:
+        return F.struct(y["x"].alias("x"), counts(F.slice(y["x"]["largest"], F.lit(1), y["o"])).alias("peaks"), (total(counts(F.slice(y["x"]["largest"], y["o"] + 1, y["t"]))) / y["t"]).alias("mean"))
+
+    def flattened(y: Column) -> Column:
+        return F.struct(y["x"].alias("x"), y["mean"].alias("mean"), total(F.transform(y["peaks"], lambda n: F.greatest(n - y["mean"], F.lit(0.0)))).alias("off"))
+
+    def noised(y: Column) -> Column:
+        flat = y["x"]["rows"] - y["off"]
+        sd = params.layer_noise_sd * F.greatest(flat / y["x"]["entities"], 0.5 * y["mean"])
+        return F.struct((flat + F.greatest(y["x"]["unaccounted"] - y["off"], F.lit(0.0))).alias("count"), y["off"].alias("flattening"), sd.alias("sd"), y["x"]["seed"].alias("seed"))
+
+    def done(y: Column) -> Column:
+        draw = noise_column(salt, "noise", y["sd"], [bucket_seed, y["seed"]]) if params.layer_noise_sd else F.lit(0.0)
+        return F.struct(y["count"].alias("count"), y["flattening"].alias("flattening"), y["sd"].alias("sd"), draw.alias("noise"))
+
+    def each(xs: Column, step) -> Column:
+        return F.transform(xs, lambda y: F.when(y.isNotNull(), step(y)))
+
+    enough = F.transform(kinds, lambda x: F.when(x["entities"] >= outlier.lower + top.lower, x))
+    return reduce(each, (ranges, sizes, drawn, level, flattened, noised, done), enough)
+
+
+def noisy_rows(flat: Column) -> Column:
+    """Rows by the kind that loses most, with the loudest kind's noise; null if any kind has too few entities.  flat: of flat_kinds."""
+    most = F.array_max(F.transform(flat, lambda x: F.struct(x["flattening"].alias("a"), x["count"].alias("b"))))["b"]
+    loud = F.array_max(F.transform(flat, lambda x: F.struct(x["sd"].alias("a"), F.abs(x["noise"]).alias("b"), x["noise"].alias("c"))))["c"]
+    return F.when(~F.exists(flat, lambda x: x.isNull()), F.bround(most + loud, 0).cast("long"))
+
+
+def noisy_entities(params: AnonymizationParams, bucket_seed: Column, entities: Column, seed: Column) -> Column:
+    """The count where every row is an entity of its own."""
+    draw = noise_column(params.salt, "noise", params.layer_noise_sd, [bucket_seed, seed]) if params.layer_noise_sd else F.lit(0.0)
+    return F.bround(entities + draw, 0).cast("long")
+
+
+def money_round(value: Column) -> Column:
+    """To the nearest of 1, 2, 5 and 10 times a power of ten, by the middles 1.5, 3.5 and 7.5."""
+    unit = F.pow(F.lit(10.0), F.floor(F.log10(value)))
+    steps = sum((F.when(value >= unit * above, more).otherwise(0) for above, more in ((1.5, 1), (3.5, 3), (7.5, 5))), F.lit(1))
+    return F.when(value < 1e-10, 0.0).otherwise(unit * steps)
+
+
+def reported_sd(flat: Column) -> Column:
+    """The loudest noise that was added, rounded up to a multiple of a round number near a twentieth of it."""
+    sd = F.array_max(F.transform(flat, lambda x: x["sd"]))
+    unit = money_round(sd * 0.05)
+    return F.when(sd == 0, 0.0).otherwise(F.ceil(sd / unit) * unit)

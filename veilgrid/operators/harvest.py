@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 from itertools import combinations
-from math import floor
 
 import numpy as np
 import pandas as pd
@@ -62,16 +61,11 @@ def read_nodes(rows: Iterable) -> dict[tuple, TreeNode]:
 
 
 def adjust_counts(counts: list[int], target: int) -> list[int]:
-    """Counts in proportion to a new total; what truncation loses is carried on."""
-    ratio, error, out = target / sum(counts), 0.0, []
-    for n in counts:
-        exact = n * ratio
-        error += exact - floor(exact)
-        if error > 1:
-            exact += 1
-            error -= 1
-        out.append(int(exact))
-    return out
+    """Counts in proportion to a new total, truncated; what that loses adds up along the list, and each time more than one is lost, one comes back."""
+    share = np.asarray(counts, float) * (target / sum(counts))
+    down = np.floor(share)
+    returned = np.maximum(np.ceil(np.cumsum(share - down)) - 1, 0)
+    return (down + np.diff(returned, prepend=0)).astype(np.int64).tolist()
 
 
 class Harvest:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,7 +48,7 @@ def decode(rows: DataFrame, combo: tuple[int, ...], encoders: list[Encoder], wor
         else:
             raw = e.restore(f)
             if e.name in safe_values:
-                rows = _nearest(rows.withColumn(f"r{c}", raw), c, safe_values[e.name])
+                rows = nearest(rows.withColumn(f"r{c}", raw), f"r{c}", safe_values[e.name], f"s{c}")
                 raw = F.col(f"s{c}")
             if e.kind is ColumnType.REAL:
                 value = _round(raw, e.precision)
@@ -60,13 +62,38 @@ def decode(rows: DataFrame, combo: tuple[int, ...], encoders: list[Encoder], wor
     return rows
 
 
-def _nearest(rows: DataFrame, c: int, safe: DataFrame) -> DataFrame:
-    """s<c>: the nearest allowed value, ties to the lower.  Between neighbours a value is in one gap, and the gaps are joined by range."""
-    from pyspark.sql import Window
-
-    gap = Window.orderBy("x")
-    gaps = safe.select(F.col("x").alias(f"s{c}"), F.coalesce((F.col("x") + F.lag("x").over(gap)) / 2, F.lit(float("-inf"))).alias("_from"), F.coalesce((F.col("x") + F.lead("x").over(gap)) / 2, F.lit(float("inf"))).alias("_to"))
-    return rows.join(gaps, (F.col(f"r{c}") > F.col("_from")) & (F.col(f"r{c}") <= F.col("_to")), "left").drop("_from", "_to")
+#: Cells of equal width that allowed values are put in, at most, and parts of a cell's rows.
+CELLS, PARTS = 1 << 16, 16
+
+
+def nearest(rows: DataFrame, value: str, safe: DataFrame, out: str) -> DataFrame:
+    """rows with `out`, the allowed value (column x of safe) that is nearest to `value`, ties to the lower.
+
+    Within a cell rows and allowed values are merged in order, each row between the last value before it and the first
+    after it; values of other cells come from a table with at most CELLS rows.  Rows of a cell are dealt to PARTS, each of which gets the cell's values.
+    """
+    ends = safe.agg(F.min("x").alias("a"), F.max("x").alias("b"), F.count("x").alias("n")).first()
+    if not ends["n"]:
+        return rows.withColumn(out, F.lit(None).cast("double"))
+    m = min(CELLS, ends["n"])
+    width = (ends["b"] - ends["a"]) / m or 1.0
+    cell = lambda x: F.least(F.lit(m - 1), F.greatest(F.lit(0), F.floor((x - ends["a"]) / width))).cast("int")
+    low, high = np.full(m, np.inf), np.full(m, -np.inf)
+    for c, a, b in safe.groupBy(cell(F.col("x")).alias("c")).agg(F.min("x"), F.max("x")).collect():
+        low[c], high[c] = a, b
+    below, above = np.append(-np.inf, np.maximum.accumulate(high)[:-1]), np.append(np.minimum.accumulate(low[::-1])[::-1][1:], np.inf)
+    beside = rows.sparkSession.createDataFrame(pd.DataFrame({"_cell": np.arange(m, dtype=np.int32), "_below": below, "_above": above}))
+    own = rows.withColumns({"_cell": cell(F.col(value)), "_part": F.pmod(F.xxhash64(value), F.lit(PARTS)).cast("int"), "_at": F.col(value), "_x": F.lit(None).cast("double")})
+    allowed = safe.select(cell(F.col("x")).alias("_cell"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("_part"), F.col("x").alias("_at"), F.col("x").alias("_x"))
+    merged = own.unionByName(allowed, allowMissingColumns=True)
+    order = Window.partitionBy("_cell", "_part").orderBy("_at", F.col("_x").isNull())
+    before = F.last("_x", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first("_x", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+    found = merged.withColumns({"_before": before, "_after": after}).filter(F.col("_x").isNull()).join(F.broadcast(beside), "_cell", "left")
+    lower, upper = F.greatest("_before", "_below"), F.least("_after", "_above")
+    v = F.col(value)
+    best = F.when(v.isNull(), None).when(upper - v < v - lower, upper).otherwise(F.when(lower == float("-inf"), upper).otherwise(lower))
+    return found.withColumn(out, best).drop("_cell", "_part", "_at", "_x", "_before", "_after", "_below", "_above")
 
 
 def _decode_string(rows: DataFrame, c: int, e: Encoder, words: DataFrame, safe: DataFrame | None) -> DataFrame:

@@ -5,13 +5,12 @@ depth, a number for each dimension), the grid range, the range of its data, and
 entities amount to.  A level is one grouping of the rows still in play; the rows of nodes that
 split go on to the next level with one more bit for each dimension.  A node's subnodes are the
 nodes of the smaller combinations with the same depth and projected cell, found by an equi-join.
+Nodes with few rows are split further in one task, which gives the same statistics; whether a group is
+low, and its noisy count, are column expressions over these.
 """
 
 from __future__ import annotations
 
-from collections import namedtuple
-from collections.abc import Iterator
-from dataclasses import replace
 from itertools import combinations
 
 import numpy as np
@@ -20,15 +19,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.intervals import Range, midpoint
-from ..functions.noise import Contributions, count_multiple, count_single, hash_strings, is_low_count, noisy_row_limit, unsigned
+from ..functions.noise import any_low, flat_kinds, hash_strings, hashed_labels, is_low_count, largest_kept, low_count_column, noisy_entities, noisy_row_limit, noisy_rows, signed, unsigned
 from ..functions.params import AnonymizationParams, BucketizationParams
 from ..sources.tables import cut
 
 Combo = tuple[int, ...]
-NODE = (
-    "combo string, depth int, cell array<long>, lo array<double>, hi array<double>, amin array<double>, amax array<double>, n long, low boolean, "
-    "stub_sub boolean, is_stub boolean, split boolean, noisy long, half_low array<boolean>, half_in array<long>"
+_ENTITIES = "array<struct<entities:bigint,seed:bigint>>"
+#: What is counted of a node, and whether it splits.
+STATS = (
+    "combo string, depth int, cell array<bigint>, lo array<double>, hi array<double>, amin array<double>, amax array<double>, n bigint, n_in bigint, half_in array<bigint>, "
+    f"kinds array<struct<entities:bigint,rows:bigint,unaccounted:bigint,seed:bigint,largest:array<struct<n:bigint,h:bigint>>,halves:{_ENTITIES}>>, inner {_ENTITIES}, is_stub boolean, split boolean"
 )
+_NAMES = [x.split(" ")[0] for x in STATS.split(", ")]
 
 
 def key_of(combo: Combo) -> str:
@@ -49,7 +51,7 @@ def _mids(k: int) -> list[Column]:
     return [F.col("lo")[i] + (F.col("hi")[i] - F.col("lo")[i]) / 2 for i in range(k)]
 
 
-def _statistics(active: DataFrame, k: int, kinds: int, unique: bool) -> DataFrame:
+def node_statistics(active: DataFrame, k: int, keep: int, unique: bool) -> DataFrame:
     """Aggregates by node.  Rows of outliers count, but don't stretch a node's data range or decide a split."""
     node = ["combo", "cell"]
     own = ~F.col("outlier")
@@ -72,50 +74,58 @@ def _statistics(active: DataFrame, k: int, kinds: int, unique: bool) -> DataFram
     xor = lambda c: F.coalesce(F.bit_xor(F.when(c & has, F.col("pid"))), F.lit(0).cast("long"))
     entity = lambda c: F.struct(F.count_if(c & has).alias("entities"), xor(c).alias("seed"))
     sums = by_pid.groupBy(*node, "kind").agg(F.count("pid").alias("entities"), F.sum(F.when(has, F.col("c")).otherwise(0)).alias("rows"), F.sum(F.when(has, 0).otherwise(F.col("c"))).alias("unaccounted"), xor(F.lit(True)).alias("seed"), F.array(*[entity(F.col(f"h{i}")) for i in range(2 * k)]).alias("halves"), entity(F.col("inn")).alias("inner"))
-    # the ten largest contributions; Spark limits each group before the shuffle
+    # the largest contributions; Spark limits each group before the shuffle
     from pyspark.sql import Window
 
     order = Window.partitionBy(*node, "kind").orderBy(F.desc("c"), F.desc(F.col("pid").bitwiseXOR(F.lit(-(1 << 63)))))
-    top = by_pid.filter(has).withColumn("r", F.row_number().over(order)).filter("r <= 10").groupBy(*node, "kind").agg(F.sort_array(F.collect_list(F.struct("r", F.col("c").alias("n"), F.col("pid").alias("h")))).alias("t"))
+    top = by_pid.filter(has).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= keep).groupBy(*node, "kind").agg(F.sort_array(F.collect_list(F.struct("r", F.col("c").alias("n"), F.col("pid").alias("h")))).alias("t"))
     top = top.select(*node, "kind", F.transform("t", lambda x: F.struct(x["n"].alias("n"), x["h"].alias("h"))).alias("largest"))
     each = sums.join(top, [*node, "kind"], "left").select(*node, "kind", "inner", F.struct("entities", "rows", "unaccounted", "seed", F.coalesce("largest", F.array().cast("array<struct<n:bigint,h:bigint>>")).alias("largest"), "halves").alias("s"))
     kinds_of = each.groupBy(*node).agg(F.transform(F.sort_array(F.collect_list(F.struct("kind", "s", "inner"))), lambda x: x["s"]).alias("kinds"), F.transform(F.sort_array(F.collect_list(F.struct("kind", "s", "inner"))), lambda x: x["inner"]).alias("inner"))
     return shapes.join(kinds_of, node)
 
 
-def _rule(depth: int, params: AnonymizationParams, buckets: BucketizationParams, unique: bool, safe: dict[str, bool], limits: dict[str, int], seeds: dict[str, int]):
-    """The rules on one node's aggregates, over the node rows of a level."""
-    suppression = params.low_count_params
-
-    def one(r) -> tuple:
-        low_with = lambda kinds, threshold: is_low_count(params.salt, replace(suppression, low_threshold=threshold), [(x["entities"], unsigned(x["seed"])) for x in kinds])
-        single = all(a == b for a, b in zip(r.amin, r.amax, strict=True))
-        low = low_with(r.kinds, suppression.low_threshold)
-        stub_sub = bool(r.is_stub) or low_with(r.kinds, buckets.singularity_low_threshold if single else buckets.range_low_threshold)
-        deep = depth <= buckets.precision_limit_depth_threshold or r.n_in >= limits[r.combo]
-        splits = deep and not r.is_stub and not single and r.n_in > 1 and (safe[r.combo] or not low_with(r.inner, suppression.low_threshold))
-        labels = [str(midpoint(a, b)) if a == b else str(midpoint(lo, hi)) for lo, hi, a, b in zip(r.lo, r.hi, r.amin, r.amax, strict=True)]
-        seed = seeds[r.combo] ^ hash_strings(labels)
-        if unique:
-            noisy = count_single(params, seed, r.kinds[0]["entities"], unsigned(r.kinds[0]["seed"]))
-        else:
-            kinds = [Contributions(x["entities"], x["rows"], x["unaccounted"], unsigned(x["seed"]), [(y["n"], unsigned(y["h"])) for y in x["largest"]]) for x in r.kinds]
-            got = count_multiple(params, seed, kinds)
-            noisy = got[0] if got else 0
-        half_low = [any(is_low_count(params.salt, suppression, [(x["halves"][i]["entities"], unsigned(x["halves"][i]["seed"]))]) for x in r.kinds) for i in range(2 * len(r.lo))]
-        return (r.combo, depth, list(r.cell), list(r.lo), list(r.hi), list(r.amin), list(r.amax), r.n, low, stub_sub, bool(r.is_stub), splits, max(noisy, 1), half_low, list(r.half_in))
+def _halves(i: int) -> Column:
+    """(entities, seed) of each kind in one half of a node."""
+    return F.transform("kinds", lambda x: x["halves"][i])
 
-    return one
 
+class Rules:
+    """What decides whether nodes of these combinations (of one size) split, what is low about them, and what they count."""
 
-def _judge(rule):
-    names = [x.split(" ")[0] for x in NODE.split(", ")]
+    def __init__(self, params: AnonymizationParams, buckets: BucketizationParams, unique: bool, safe: set[str], limits: dict[str, int], seeds: dict[str, int]):
+        self.params, self.buckets, self.unique, self.safe, self.limits, self.seeds = params, buckets, unique, safe, limits, seeds
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame([rule(r) for r in b.itertuples(index=False)], columns=names)
+    def _of_combo(self, values: dict[str, int]) -> Column:
+        return F.create_map(*[F.lit(x) for k, v in values.items() for x in (k, v)])[F.col("combo")]
 
-    return run
+    def split(self) -> Column:
+        deep = (F.col("depth") <= self.buckets.precision_limit_depth_threshold) | (F.col("n_in") >= self._of_combo(self.limits))
+        enough = F.col("combo").isin(*self.safe) if self.safe else F.lit(False)
+        enough = enough | ~any_low("inner", self.params.salt, self.params.low_count_params)
+        return deep & ~F.col("is_stub") & (F.col("amin") != F.col("amax")) & (F.col("n_in") > 1) & enough
+
+    def split_here(self, combo: str, depth: int, is_stub: bool, single: bool, n_in: int, inner: list[tuple[int, int]]) -> bool:
+        """The same in Python, for a node at hand."""
+        if is_stub or single or n_in <= 1 or depth > self.buckets.precision_limit_depth_threshold and n_in < self.limits[combo]:
+            return False
+        return combo in self.safe or not is_low_count(self.params.salt, self.params.low_count_params, [(n, unsigned(seed)) for n, seed in inner])
+
+    def judge(self, stats: DataFrame, k: int) -> DataFrame:
+        """Node rows from statistics."""
+        salt, low = self.params.salt, self.params.low_count_params
+        single = F.col("amin") == F.col("amax")
+        least = F.when(single, self.buckets.singularity_low_threshold).otherwise(self.buckets.range_low_threshold)
+        end = lambda name, i: F.col(name)[i]
+        middles = [F.when(end("amin", i) == end("amax", i), end("amin", i)).otherwise(midpoint(end("lo", i), end("hi", i))) for i in range(k)]
+        seeded = stats.withColumn("_seed", hashed_labels(F.array(*middles)).bitwiseXOR(self._of_combo({c: signed(x) for c, x in self.seeds.items()})))
+        if self.unique:
+            noisy = noisy_entities(self.params, F.col("_seed"), F.col("kinds")[0]["entities"], F.col("kinds")[0]["seed"])
+        else:
+            seeded = seeded.withColumn("_flat", flat_kinds("kinds", self.params, F.col("_seed")))
+            noisy = F.coalesce(noisy_rows(F.col("_flat")), F.lit(0))
+        half_low = F.array(*[any_low(_halves(i), salt, low) for i in range(2 * k)])
+        return seeded.select("combo", "depth", "cell", "lo", "hi", "amin", "amax", "n", any_low("kinds", salt, low).alias("low"), (F.col("is_stub") | any_low("kinds", salt, low, least)).alias("stub_sub"), "is_stub", "split", F.greatest(noisy, F.lit(1)).alias("noisy"), half_low.alias("half_low"), "half_in")
 
 
 def _with_stubs(stats: DataFrame, combos: list[Combo], depth: int, smaller: DataFrame | None) -> DataFrame:
@@ -134,11 +144,11 @@ def _with_stubs(stats: DataFrame, combos: list[Combo], depth: int, smaller: Data
 
 #: Nodes of at most so many rows are finished, with all below them, in one task.
 LOCAL_ROWS = 200_000
-_Stats = namedtuple("_Stats", "combo cell lo hi amin amax n n_in half_in kinds inner is_stub")
 
 
-def _local_stats(combo: str, cell: tuple[int, ...], lo: np.ndarray, hi: np.ndarray, x: np.ndarray, own: np.ndarray, pids: list[np.ndarray], has: list[np.ndarray], unique: bool, is_stub: bool) -> _Stats:
-    """What _statistics gives, for rows at hand."""
+def _local_stats(combo: str, depth: int, cell: tuple[int, ...], lo: np.ndarray, hi: np.ndarray, x: np.ndarray, own: np.ndarray, pids: list[np.ndarray], has: list[np.ndarray], rules: Rules, is_stub: bool) -> dict:
+    """What node_statistics gives, for rows at hand."""
+    unique = rules.unique
     upper = [x[:, i] >= lo[i] + (hi[i] - lo[i]) / 2 for i in range(len(cell))]
     inside = x[own]
     kinds, inner = [], []
@@ -154,21 +164,23 @@ def _local_stats(combo: str, cell: tuple[int, ...], lo: np.ndarray, hi: np.ndarr
         largest: list[dict] = []
         if not unique and h.any():
             ids, counts = np.unique(p[h].view(np.uint64), return_counts=True)
-            top = np.lexsort((ids, counts))[::-1][:10]
-            largest = [{"n": int(counts[i]), "h": int(ids[i])} for i in top]
+            top = np.lexsort((ids, counts))[::-1][: largest_kept(rules.params)]
+            largest = [{"n": int(counts[i]), "h": signed(int(ids[i]))} for i in top]
         kind |= {"rows": int(h.sum()), "unaccounted": int((~h).sum()), "largest": largest, "halves": [entities(m) for u in upper for m in (~u, u)]}
         kinds.append(kind)
         inner.append(entities(own))
-    return _Stats(combo, list(cell), lo.tolist(), hi.tolist(), inside.min(axis=0).tolist(), inside.max(axis=0).tolist(), len(x), int(own.sum()), [int((own & ~upper[0]).sum()), int((own & upper[0]).sum())], kinds, inner, is_stub)
+    amin, amax, n_in = inside.min(axis=0).tolist(), inside.max(axis=0).tolist(), int(own.sum())
+    split = rules.split_here(combo, depth, is_stub, amin == amax, n_in, [(x["entities"], x["seed"]) for x in inner])
+    half_in = [int((own & ~upper[0]).sum()), int((own & upper[0]).sum())]
+    return dict(zip(_NAMES, (combo, depth, list(cell), lo.tolist(), hi.tolist(), amin, amax, len(x), n_in, half_in, kinds, inner, is_stub, split), strict=True))
 
 
-def _finish(judges, unique: bool, has_smaller: bool, start: int):
-    """(rows, subnodes) of one node at depth `start` to all nodes from there down; judges: the rules by depth."""
-    names = [x.split(" ")[0] for x in NODE.split(", ")]
+def _finish(rules: Rules, has_smaller: bool, start: int):
+    """(rows, subnodes) of one node at depth `start` to the statistics of all nodes from there down."""
 
     def run(rows: pd.DataFrame, subs: pd.DataFrame) -> pd.DataFrame:
         if not len(rows):
-            return pd.DataFrame(columns=names)
+            return pd.DataFrame(columns=_NAMES)
         combo = rows["combo"].iloc[0]
         columns = combo.split("_")
         k = len(columns)
@@ -186,21 +198,20 @@ def _finish(judges, unique: bool, has_smaller: bool, start: int):
             depth, cell, lo, hi, at = todo.pop()
             own = ~outlier[at]
             is_stub = bool(parts) and all(stubs.get((s, depth, tuple(cell[i] for i in keep)), True) for s, keep in parts)
-            stats = _local_stats(combo, cell, lo, hi, x[at], own, [p[at] for p in pids], [h[at] for h in has], unique, is_stub)
-            node = judges(depth)(stats)
+            node = _local_stats(combo, depth, cell, lo, hi, x[at], own, [p[at] for p in pids], [h[at] for h in has], rules, is_stub)
             out.append(node)
-            if not node[names.index("split")]:
+            if not node["split"]:
                 continue
             mid = lo + (hi - lo) / 2
             bits = (x[at] >= mid).astype(np.int64)
             if k == 1:
-                bits[~own & (stats.half_in[0] == 0)] = 1
-                bits[~own & (stats.half_in[1] == 0)] = 0
+                bits[~own & (node["half_in"][0] == 0)] = 1
+                bits[~own & (node["half_in"][1] == 0)] = 0
             code = bits @ (1 << np.arange(k - 1, -1, -1))
             for c in np.unique(code):
                 bit = np.array([c >> (k - 1 - i) & 1 for i in range(k)])
                 todo.append((depth + 1, tuple(int(a) * 2 + int(b) for a, b in zip(cell, bit, strict=True)), np.where(bit == 1, mid, lo), np.where(bit == 1, hi, mid), at[code == c]))
-        return pd.DataFrame(out, columns=names)
+        return pd.DataFrame(out, columns=_NAMES)
 
     return run
 
@@ -208,8 +219,8 @@ def _finish(judges, unique: bool, has_smaller: bool, start: int):
 class TreeBuilder:
     """rows: pids array<long> and v array<double>, one entry for each encoded column."""
 
-    def __init__(self, rows: DataFrame, names: list[str], roots: list[Range], params: AnonymizationParams, buckets: BucketizationParams, unique: bool, kinds: int = 1, value_safe: list[bool] | None = None):
-        self.rows, self.names, self.params, self.buckets, self.unique, self.kinds = rows, names, params, buckets, unique, kinds
+    def __init__(self, rows: DataFrame, names: list[str], roots: list[Range], params: AnonymizationParams, buckets: BucketizationParams, unique: bool, value_safe: list[bool] | None = None):
+        self.rows, self.names, self.params, self.buckets, self.unique = rows, names, params, buckets, unique
         self.value_safe = value_safe or [False] * len(names)
         self.total = rows.count()
         self.roots = list(roots)
@@ -231,20 +242,18 @@ class TreeBuilder:
             made.append(F.struct(F.lit(key_of(combo)).alias("combo"), F.array(*[F.lit(0).cast("long") for _ in combo]).alias("cell"), F.array(*x).alias("x"), _literal([float(roots[c].lo) for c in combo]).alias("lo"), _literal([float(roots[c].hi) for c in combo]).alias("hi"), outside.alias("outlier")))
         return self.rows.select("pids", F.explode(F.array(*made)).alias("s")).select("pids", "s.*")
 
-    def _rules(self, combos: list[Combo]):
-        """The rules for nodes of these combinations, by depth."""
+    def _rules(self, combos: list[Combo]) -> Rules:
         k = len(combos[0])
-        keys = [key_of(c) for c in combos]
-        safe = {key: k == 1 and self.value_safe[c[0]] for key, c in zip(keys, combos, strict=True)}
-        limit = {key: noisy_row_limit(self.params.salt, self._seed(c), self.total, self.buckets.precision_limit_row_fraction) if k == 1 else 0 for key, c in zip(keys, combos, strict=True)}
-        seeds = {key: self._seed(c) for key, c in zip(keys, combos, strict=True)}
-        params, buckets, unique = self.params, self.buckets, self.unique
-        return lambda depth: _rule(depth, params, buckets, unique, safe, limit, seeds)
+        keys = {key_of(c): c for c in combos}
+        safe = {key for key, c in keys.items() if k == 1 and self.value_safe[c[0]]}
+        limits = {key: noisy_row_limit(self.params.salt, self._seed(c), self.total, self.buckets.precision_limit_row_fraction) if k == 1 else 0 for key, c in keys.items()}
+        return Rules(self.params, self.buckets, self.unique, safe, limits, {key: self._seed(c) for key, c in keys.items()})
 
     def _level(self, active: DataFrame, combos: list[Combo], depth: int) -> DataFrame:
-        k = len(combos[0])
-        stats = _with_stubs(_statistics(active, k, self.kinds, self.unique), combos, depth, self.levels.get(k - 1))
-        return cut(stats.select("combo", "cell", "lo", "hi", "amin", "amax", "n", "n_in", "half_in", "kinds", "inner", "is_stub").mapInPandas(_judge(self._rules(combos)(depth)), NODE))
+        k, rules = len(combos[0]), self._rules(combos)
+        stats = node_statistics(active, k, largest_kept(self.params), self.unique).withColumn("depth", F.lit(depth))
+        stats = _with_stubs(stats, combos, depth, self.levels.get(k - 1)).withColumn("split", rules.split())
+        return cut(rules.judge(stats, k))
 
     def _finish(self, rows: DataFrame, combos: list[Combo], depth: int) -> DataFrame:
         """All nodes from these rows' nodes (of `depth`) down, a node and what is below it in one task."""
@@ -260,7 +269,9 @@ class TreeBuilder:
                     need = one if need is None else need.unionByName(one)
             have = smaller.filter(F.col("depth") >= depth).select(F.col("combo").alias("s"), "depth", F.col("cell").alias("c"), "stub_sub", F.expr(f"transform(cell, v -> shiftright(v, depth - {depth}))").alias("top"))
             subs = need.join(have, ["s", "top"]).select("g", "gc", "s", "depth", "c", "stub_sub")
-        return rows.groupBy("combo", "cell").cogroup(subs.groupBy("g", "gc")).applyInPandas(_finish(self._rules(combos), self.unique, smaller is not None, depth), NODE)
+        rules = self._rules(combos)
+        stats = rows.groupBy("combo", "cell").cogroup(subs.groupBy("g", "gc")).applyInPandas(_finish(rules, smaller is not None, depth), STATS)
+        return rules.judge(stats, len(combos[0]))
 
     @staticmethod
     def _descend(active: DataFrame, level: DataFrame, k: int) -> DataFrame:
@@ -332,6 +343,16 @@ class TreeBuilder:
         self.build([combo])
         return self.levels[len(combo)].filter(F.col("combo") == key_of(combo))
 
+    def dump(self, combo: Combo) -> DataFrame:
+        """A tree to read, a node a row, each followed by what is below it: (path, node); a path is one bit a dimension and level."""
+        k = len(combo)
+        bits = F.expr(f"array_join(transform(sequence(1, depth), d -> concat({', '.join(f'cast(shiftright(cell[{i}], depth - d) & 1 as string)' for i in range(k))})), '.')")
+        path = F.when(F.col("depth") == 0, "").otherwise(bits)
+        ranges = F.array_join(F.transform(F.arrays_zip("lo", "hi"), lambda x: F.format_string("[%s, %s)", x["lo"].cast("string"), x["hi"].cast("string"))), " x ")
+        kind = F.when(F.col("split"), "branch").when(F.col("is_stub"), "stub").otherwise("leaf")
+        text = F.concat(F.repeat(F.lit("  "), F.col("depth")), kind, F.lit(" "), ranges, F.lit(" rows "), F.col("noisy").cast("string"))
+        return self.nodes(combo).select(path.alias("path"), text.alias("node")).orderBy("path")
+
     def family(self, combos: list[Combo]) -> DataFrame:
         """The nodes of these combinations and all their parts, once for each `goal` combination."""
         combos = [tuple(sorted(c)) for c in combos]

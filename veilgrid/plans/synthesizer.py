@@ -59,23 +59,31 @@ class Synthesizer:
         self.spark = df.sparkSession
         self.encoders, self.words = enc.fit(data, [i in safe for i in range(len(self.names))])
         if pid_cols:
-            for c in pid_cols:
-                if df.schema[c].dataType.typeName() not in ("string", "integer", "long", "short", "byte"):
-                    raise TypeError(f"ids in {c} must be integers or strings")
+            self._id_types = {c: df.schema[c].dataType.typeName() for c in pid_cols}
+            if bad := [c for c, t in self._id_types.items() if t not in ("string", "integer", "long", "short", "byte")]:
+                raise TypeError(f"ids must be integers or strings: {', '.join(bad)}")
             rows = df.withColumn("pids", F.array(*[self._hashed(c) for c in pid_cols]))
         else:
-            key = F.xxhash64(*[F.col(f"`{c}`") for c in self.names])
-            again = F.row_number().over(Window.partitionBy("_k").orderBy("_k"))
-            rows = df.withColumn("_k", key).withColumn("pids", F.array(F.xxhash64("_k", again.cast("long"))))
+            rows = self._one_id_a_row(df)
         self.unique = not pid_cols
         self.encoded = cut(enc.encode(rows, self.encoders, self.words, ["pids"]))
         self._builder: TreeBuilder | None = None
         self._clusters: Clusters | None = None
         self._entropy: np.ndarray | None = None
 
-    @staticmethod
-    def _hashed(column: str):
-        return hashed_ids(F.col(f"`{column}`"))
+    def _one_id_a_row(self, df: DataFrame) -> DataFrame:
+        """pids from each row's hash and its number among equal rows, which are numbered within partitions first: no task gets all of them."""
+        key = F.xxhash64(*[F.col(f"`{c}`") for c in self.names])
+        rows = cut(df.select(*[f"`{c}`" for c in self.names]).withColumns({"_k": key, "_p": F.spark_partition_id()}))
+        counts = rows.groupBy("_k", "_p").agg(F.count("*").alias("n"))
+        before = counts.select("_k", "_p", (F.sum("n").over(Window.partitionBy("_k").orderBy("_p")) - F.col("n")).alias("_before"))
+        again = F.row_number().over(Window.partitionBy("_k", "_p").orderBy("_k"))
+        return rows.join(before, ["_k", "_p"]).withColumn("pids", F.array(F.xxhash64("_k", F.col("_before") + again)))
+
+    def _hashed(self, column: str):
+        """Integers reach Python without nulls (0 is none either), which would turn them into floats."""
+        c = F.col(f"`{column}`")
+        return hashed_ids(c if self._id_types[column] == "string" else F.coalesce(c.cast("long"), F.lit(0).cast("long")))
 
     @property
     def salt(self) -> bytes:

@@ -1,28 +1,32 @@
 """A stored catalog of synthetic tables: one for each column and for every pair and triple, and larger ones that need no clustering.
 
-A blob is a folder of Parquet tables (combo=<column numbers>) with JSON metadata and a small
-Parquet table of measures; it holds no original data, no ids and no salt.  Local blobs can be
-zipped.  A read takes the table of its columns, or stitches one from tables that there are.
+A blob is a folder of Parquet tables, one for each number of columns, split by combo=<column
+numbers>, with JSON metadata and a small Parquet table of measures; it holds no original data, no
+ids and no salt.  Its folder may be on any file system that Spark writes to; a blob on a local one can be zipped.  A read takes the table of its columns, or stitches one from tables that there are.
 """
 
 from __future__ import annotations
 
 import shutil
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
 from itertools import combinations
-from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.params import AnonymizationParams, BucketizationParams
 from ..operators.nodes import key_of
+from ..operators.stitch import patch
 from ..plans.clustering import Clusters, ClusteringContext, NoClustering, anneal, solve_with_features
 from ..plans.features import select_features
 from ..plans.synthesizer import Synthesizer, stitch
-from .tables import read_json, read_table, write_json, write_table
+from .tables import Folder, read_table, write_table
 
 VERSION = 1
+#: Tables that are written at a time.
+WRITERS = 8
 
 
 @dataclass
@@ -36,13 +40,12 @@ class ClusterParams:
 
 
 class _Blob:
-    def __init__(self, name: str, folder: str | Path | None):
-        base = Path(folder or ".")
-        if not base.is_dir():
-            raise NotADirectoryError(str(base))
+    def __init__(self, spark: SparkSession, name: str, folder: str | None):
+        self.folder = Folder(spark, folder or ".")
+        if not self.folder.is_dir():
+            raise NotADirectoryError(str(folder))
         self.name = name
-        self.path = base / f".{name}.blob"
-        self.archive = base / f"{name}.blob.zip"
+        self.path, self.archive = f".{name}.blob", f"{name}.blob.zip"  # within the folder
 
     def context(self, columns: list[int]) -> ClusteringContext:
         return ClusteringContext(self.matrix, self.entropy).shrink(columns)
@@ -57,22 +60,26 @@ class _Blob:
 
 
 class BlobBuilder(_Blob):
-    def __init__(self, name: str, folder: str | Path | None = None, force: bool = False, **cluster_params):
-        super().__init__(name, folder)
-        if (self.path.exists() or self.archive.exists()) and not force:
-            raise FileExistsError(f"{self.archive}; force overwrites it")
+    def __init__(self, name: str, folder: str | None = None, force: bool = False, **cluster_params):
+        super().__init__(SparkSession.builder.getOrCreate(), name, folder)
+        if (self.folder.exists(self.path) or self.folder.exists(self.archive)) and not force:
+            raise FileExistsError(f"{self.path}; force overwrites it")
         self.params = ClusterParams(**cluster_params)
 
-    def write(self, df: DataFrame, pid_cols: list[str] | None = None, value_safe_columns: list[int | str] | None = None, anonymization_params: AnonymizationParams | None = None, bucketization_params: BucketizationParams | None = None, salt: bytes | None = None, zipped: bool = True) -> None:
-        shutil.rmtree(self.path, ignore_errors=True)
-        self.path.mkdir(parents=True)
+    def write(self, df: DataFrame, pid_cols: list[str] | None = None, value_safe_columns: list[int | str] | None = None, anonymization_params: AnonymizationParams | None = None, bucketization_params: BucketizationParams | None = None, salt: bytes | None = None, zipped: bool | None = None) -> None:
+        """zipped: into one file, which is what happens on a local file system unless it is False."""
+        local = self.folder.local
+        if zipped and local is None:
+            raise ValueError("only a blob on a local file system can be zipped")
+        self.folder.remove(self.path)
+        self.folder.remove(self.archive)
         syn = Synthesizer(df, pid_cols, anonymization_params, bucketization_params, clustering=NoClustering(), value_safe_columns=value_safe_columns, salt=salt)
         n = len(syn.names)
         self.matrix, self.entropy = syn.measure(None)
         self.features = {}
         if n > 3:
             for c in range(n):
-                found = select_features(syn.encoded, syn.names, c)
+                found = select_features(syn.encoded, syn.names, c, sentinels=[e.sentinel for e in syn.encoders])
                 self.features[c] = [syn.names.index(x) for x in found.features]
         else:
             self.features = {c: [x for x in range(n) if x != c] for c in range(n)}
@@ -80,18 +87,19 @@ class BlobBuilder(_Blob):
         larger: list[tuple[int, ...]] = []
         for c in combinations(range(n), 3):
             self._larger(c, n, larger)
-        # all trees of one size are built together, whatever the number of combinations
-        for c, rows in syn.materialize(combos + larger).items():
-            write_table(syn.named(rows, list(c)), str(self.path / f"combo={key_of(c)}"))
+        # all trees of one size are built together, whatever the number of combinations; their tables are then written several at a time
+        tables = syn.materialize(combos + larger)
+        with ThreadPoolExecutor(WRITERS) as pool:
+            list(pool.map(lambda c: write_table(syn.named(tables[c], list(c)), f"{self.folder.path}/{self.path}/combo={key_of(c)}"), tables))
         anonymization = asdict(syn.params)
         anonymization.pop("salt")
-        write_json({"version": VERSION, "columns": syn.names, "cluster_params": asdict(self.params), "bucketization_params": asdict(syn.buckets), "anonymization_params": anonymization, "features": {str(k): v for k, v in self.features.items()}, "tables": [key_of(c) for c in combos + larger]}, self.path / "metadata.json")
         spark = df.sparkSession
         measures = [(i, j, round(float(self.matrix[i, j]), 2), round(float(self.entropy[i]), 2)) for i in range(n) for j in range(n)]
-        write_table(spark.createDataFrame(measures, "x int, y int, dependence double, entropy double").coalesce(1), str(self.path / "measures"))
-        if zipped:
-            shutil.make_archive(str(self.archive).removesuffix(".zip"), "zip", self.path)
-            shutil.rmtree(self.path)
+        write_table(spark.createDataFrame(measures, "x int, y int, dependence double, entropy double").coalesce(1), f"{self.folder.path}/{self.path}/measures")
+        self.folder.write_json({"version": VERSION, "columns": syn.names, "cluster_params": asdict(self.params), "bucketization_params": asdict(syn.buckets), "anonymization_params": anonymization, "features": {str(k): v for k, v in self.features.items()}, "tables": [key_of(c) for c in combos + larger]}, f"{self.path}/metadata.json")
+        if local is not None and zipped is not False:
+            shutil.make_archive(f"{local}/{self.archive}".removesuffix(".zip"), "zip", f"{local}/{self.path}")
+            self.folder.remove(self.path)
 
     def _larger(self, combo: tuple[int, ...], n: int, out: list[tuple[int, ...]]) -> None:
         for i in range(combo[-1] + 1, n):
@@ -105,22 +113,22 @@ class BlobBuilder(_Blob):
 
 
 class BlobReader(_Blob):
-    def __init__(self, spark: SparkSession, name: str, folder: str | Path | None = None, cache: bool = True, **cluster_params):
-        super().__init__(name, folder)
-        if not self.path.exists():
-            if not self.archive.exists():
-                raise FileNotFoundError(str(self.archive))
-            shutil.unpack_archive(str(self.archive), str(self.path), "zip")
+    def __init__(self, spark: SparkSession, name: str, folder: str | None = None, cache: bool = True, **cluster_params):
+        super().__init__(spark, name, folder)
+        if not self.folder.exists(self.path):
+            if not self.folder.exists(self.archive) or self.folder.local is None:
+                raise FileNotFoundError(f"{self.folder.path}/{self.archive}")
+            shutil.unpack_archive(f"{self.folder.local}/{self.archive}", f"{self.folder.local}/{self.path}", "zip")
         self.spark, self.cache = spark, cache
-        meta = read_json(self.path / "metadata.json")
+        meta = self.folder.read_json(f"{self.path}/metadata.json")
         self.columns: list[str] = meta["columns"]
         self.version = meta["version"]
         self.params = ClusterParams(**(meta["cluster_params"] | cluster_params))
         self.features = {int(k): v for k, v in meta["features"].items()}
-        self.catalog = {tuple(int(x) for x in t.split("_")): self.path / f"combo={t}" for t in meta["tables"]}
+        self.catalog = {tuple(int(x) for x in t.split("_")): f"{self.folder.path}/{self.path}/combo={t}" for t in meta["tables"]}
         n = len(self.columns)
         self.matrix, self.entropy = np.ones((n, n)), np.ones(n)
-        for r in read_table(spark, str(self.path / "measures")).collect():
+        for r in read_table(spark, f"{self.folder.path}/{self.path}/measures").collect():
             self.matrix[r["x"], r["y"]], self.entropy[r["x"]] = r["dependence"], r["entropy"]
         self._loaded: dict[tuple[int, ...], DataFrame] = {}
         self._record: list[dict] = []
@@ -166,7 +174,7 @@ class BlobReader(_Blob):
             return self._loaded[key]
         if key not in self.catalog:
             return self._recover(key)
-        df = read_table(self.spark, str(self.catalog[key]))
+        df = read_table(self.spark, self.catalog[key])
         if self.cache:
             self._loaded[key] = df.cache()
         return df
@@ -183,10 +191,6 @@ class BlobReader(_Blob):
         return stitch(left, right, shared)
 
     def _patch(self, left: DataFrame, right: DataFrame) -> DataFrame:
-        from pyspark.sql import functions as F
-
-        from ..operators.stitch import patch
-
         keyed = lambda df, at: df.select(F.xxhash64(*df.columns).alias("row"), *[F.col(c).alias(f"v{at + i}") for i, c in enumerate(df.columns)])
         out = patch(keyed(left, 0), keyed(right, len(left.columns)))
         names = [*left.columns, *right.columns]

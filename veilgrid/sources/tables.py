@@ -44,18 +44,52 @@ def write_table(df: DataFrame, path: str) -> None:
         raise OSError(f"can't write {path}") from e
 
 
-def read_json(path: str | Path) -> Any:
-    try:
-        return json.loads(Path(path).read_text())
-    except (OSError, ValueError) as e:
-        raise OSError(f"can't read {path}") from e
-
-
-def write_json(value: Any, path: str | Path) -> None:
-    try:
-        Path(path).write_text(json.dumps(value, indent=1))
-    except (OSError, TypeError) as e:
-        raise OSError(f"can't write {path}") from e
+class Folder:
+    """A folder on any file system that Spark can write to."""
+
+    def __init__(self, spark: SparkSession, path: str | Path):
+        self.spark, self.path = spark, str(path).rstrip("/") or "/"
+        self._jvm = spark.sparkContext._jvm
+        self._fs = self._at("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _at(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    @property
+    def local(self) -> str | None:
+        """Where it is for Python's own file functions, if it is on a local file system."""
+        at = self._fs.makeQualified(self._at("")).toUri()
+        return at.getPath() if at.getScheme() == "file" else None
+
+    def is_dir(self, name: str = "") -> bool:
+        return self.exists(name) and self._fs.getFileStatus(self._at(name)).isDirectory()
+
+    def exists(self, name: str = "") -> bool:
+        return self._fs.exists(self._at(name))
+
+    def remove(self, name: str) -> None:
+        self._fs.delete(self._at(name), True)
+
+    def read_json(self, name: str) -> Any:
+        try:
+            stream = self._fs.open(self._at(name))
+            try:
+                return json.loads(bytes(stream.readAllBytes()).decode())
+            finally:
+                stream.close()
+        except Exception as e:
+            raise OSError(f"can't read {self.path}/{name}") from e
+
+    def write_json(self, value: Any, name: str) -> None:
+        try:
+            text = json.dumps(value, indent=1)
+            stream = self._fs.create(self._at(name), True)
+            try:
+                stream.write(bytearray(text.encode()))
+            finally:
+                stream.close()
+        except Exception as e:
+            raise OSError(f"can't write {self.path}/{name}") from e
 
 
 def stored_salt(folder: str | Path | None = None) -> bytes:
@@ -71,7 +105,7 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     path = os.path.join(tempfile.gettempdir(), f"veilgrid-{os.getuid()}")
     os.makedirs(path, exist_ok=True)
