@@ -4,7 +4,7 @@ import pytest
 from veilgrid.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-FAST = ["minmax_encode", "string_encode", "timestamp_encode", "snapped_range", "grid_counts", "lcf_groups", "pid_xor", "flattened_count", "entropy_grid", "dependence_grid", "adjust_counts", "safe_value_snap", "entity_max", "entity_joins", "correlations", "binned_error", "column_summary"]
+FAST = ["minmax_encode", "string_encode", "timestamp_encode", "snapped_range", "lcf_groups", "lcf_groups_noisy", "pid_xor", "flattened_count", "null_pid_unaccounted", "adjusted_counts", "nearest_values", "entity_max", "entity_joins", "balances_descending", "correlations", "binned_error", "column_summary", "ordinal_codes", "one_hot_flags", "robust_scaled", "varied_columns", "csv_round_trip", "dependence_noiseless"]
 
 
 @pytest.mark.parametrize("name", FAST)

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from veilgrid.functions.params import NOISELESS
+from veilgrid.functions.params import NOISELESS, AnonymizationParams, BucketizationParams
 from veilgrid.operators.nodes import TreeBuilder
 from veilgrid.operators.stitch import StitchColumn, StitchOwner, patch, stitch_rows
 from veilgrid.plans.clustering import NoClustering, SingleClustering
@@ -77,3 +77,43 @@ def test_public_stitch(spark):
     assert out.columns == ["k", "l", "r"] and out.count() == 30
     with pytest.raises(ValueError):
         stitch(left.select("l"), right)
+
+
+@pytest.mark.parametrize("unique", [True, False])
+def test_distributed_pairs_with_outliers_stubs_and_two_kinds_are_as_local_ones(spark, monkeypatch, unique):
+    import veilgrid.operators.nodes as nodes
+
+    rows = [([i, None if i % 7 == 0 else i // 3 + 1], [0.1 * (i % 5), 0.3 if i % 3 else 0.9]) for i in range(60)] + [([100 + i, 50], [0.95, 0.31]) for i in range(2)]
+    if unique:
+        rows = [([1000 + n], v) for n, (_, v) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "pids array<long>, v array<double>").persist()
+    roots = [nodes.Range(0.0, 0.5), nodes.Range(0.0, 1.0)]  # values above a half are outliers of the first column
+    key = ["combo", "depth", "cell", "n", "split", "is_stub", "stub_sub", "noisy", "low", "amin", "amax", "half_low", "half_in"]
+    found = []
+    for most in (200_000, 25):
+        monkeypatch.setattr(nodes, "LOCAL_ROWS", most)
+        builder = TreeBuilder(df, ["a", "b"], roots, AnonymizationParams(salt=b"s"), BucketizationParams(), unique)
+        builder.build([(0, 1)])
+        found.append({str(r) for k in (1, 2) for r in builder.levels[k].select(key).collect()})
+    assert found[0] == found[1] and len(found[0]) > 10
+    assert "Row(combo='0_1'" in str(found) and "is_stub=True" in str(found)
+    text = [r.node for r in builder.dump((0,)).collect()]
+    assert text[0].startswith("branch [0.0, ") and any(x.startswith("  ") for x in text)
+
+
+def test_harvest_by_hand(spark):
+    """One value; ranges of four; pairs refined from their columns' buckets."""
+    from veilgrid.operators.harvest import harvest
+    from veilgrid.operators.nodes import key_of
+
+    def buckets(rows, schema, combo):
+        s = Synthesizer(spark.createDataFrame(rows, schema), anonymization_params=NOISELESS, salt=b"x", clustering=SingleClustering())
+        found = harvest(s.builder.family([combo]), b"x", set()).filter(F.col("goal") == key_of(combo)).collect()
+        back = lambda x, i: round(float(s.encoders[i].low + x / s.encoders[i].scale), 6)
+        return sorted((tuple((back(a, i), back(b, i)) for i, a, b in zip(combo, r.lo, r.hi)), r["count"]) for r in found)
+
+    assert buckets([(1.0,)] * 12, "x double", (0,)) == [(((1.0, 1.0),), 12)]
+    pairs = buckets([(float(i), float(j)) for i in range(12) for j in (1, 2, 3) for _ in range(5)], "x double, y double", (0, 1))
+    assert sum(n for _, n in pairs) == 180 and all(lo == hi for r, _ in pairs for lo, hi in r)
+    ranges = buckets([(float(i),) for i in range(12)], "x double", (0,))
+    assert sum(n for _, n in ranges) == 12 and all(n >= 3 for _, n in ranges)
