@@ -7,14 +7,17 @@ longer character is never taken for one.
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import os
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -68,10 +71,37 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class _Made(threading.local):
+    """Paths that this thread has written and nobody has removed."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+
+_MADE = _Made()
+
+
+@contextlib.contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """What operators write to cut lineage within is removed at the end: results must be written by then."""
+    before = len(_MADE.paths)
+    try:
+        yield
+    finally:
+        while len(_MADE.paths) > before:
+            remove(spark, _MADE.paths.pop())
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """df written to the shared folder and read again: its lineage ends there, and a lost executor costs a read."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.paths.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -122,6 +152,20 @@ def in_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Itera
     return df.mapInArrow(_tidy(function), schema)
 
 
+def zip_arrays(*arrays, level: int = 1) -> bytes:
+    """Arrays by byte planes, where the high bytes of small numbers stand together; bytes as they are."""
+    parts = [x if isinstance(x, bytes) else np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T).tobytes() for x in arrays]
+    return zstandard.ZstdCompressor(level=level).compress(np.array([len(x) for x in parts], np.int64).tobytes() + b"".join(parts))
+
+
+def unzip_arrays(blob: bytes, *types) -> list:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n = len(types)
+    at = 8 * n + np.append(0, np.cumsum(np.frombuffer(raw, np.int64, n)))
+    parts = [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+    return [x if t is bytes else np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(np.dtype(t).itemsize, -1).T).view(t).ravel() for x, t in zip(parts, types, strict=True)]
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column, and where each text starts and the last ends; null is empty."""
     if column.null_count:

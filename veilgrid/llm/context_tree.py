@@ -26,11 +26,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, binary_array, cut, encode_words, hash_words, in_arrow, load, mix, parts_for, row_key, spans, steps, text_buffer
+from .common import LOWER, binary_array, cut, encode_words, hash_words, in_arrow, load, mix, parts_for, row_key, spans, steps, text_buffer, unzip_arrays, zip_arrays
 
 DEPTH, TOP = 6, 2
 TEXT_BYTES, BUCKET_BYTES = 3_500_000, 8_000_000
@@ -40,20 +39,6 @@ _NODES = np.array([[1 << j | s >> (8 - j) for j in range(8)] for s in range(256)
 _BITS = np.array([[s >> (7 - j) & 1 for j in range(8)] for s in range(256)], np.int64)
 
 
-def _zip(*arrays) -> bytes:
-    """Arrays by byte planes, where the high bytes of small numbers stand together; bytes as they are."""
-    parts = [x if isinstance(x, bytes) else np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T).tobytes() for x in arrays]
-    return zstandard.ZstdCompressor(level=1).compress(np.array([len(x) for x in parts], np.int64).tobytes() + b"".join(parts))
-
-
-def _unzip(blob: bytes, *types) -> list:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    n = len(types)
-    at = 8 * n + np.append(0, np.cumsum(np.frombuffer(raw, np.int64, n)))
-    parts = [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-    return [x if t is bytes else np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(np.dtype(t).itemsize, -1).T).view(t).ravel() for x, t in zip(parts, types, strict=True)]
-
-
 def lgamma(x: np.ndarray) -> np.ndarray:
     """By Stirling's series at x + 8."""
     z = x + 8
@@ -212,11 +197,11 @@ def _send(buckets: int):
             raw, at = text_buffer(words)
             flat = raw.tobytes()
             for k, w in _by_bucket((hash_words(words) % np.uint64(buckets)).astype(np.int64)):
-                out.append((buckets + k, _zip(np.diff(at)[w].astype(np.int32), count[w].astype(np.int32), b"".join([flat[a:b] for a, b in zip(at[w].tolist(), at[w + 1].tolist(), strict=True)]))))
+                out.append((buckets + k, zip_arrays(np.diff(at)[w].astype(np.int32), count[w].astype(np.int32), b"".join([flat[a:b] for a, b in zip(at[w].tolist(), at[w + 1].tolist(), strict=True)]))))
             yield _sent(out, part, seq)
         if part is not None:
             # the grams of all pieces in one, as if sent with the first
-            yield _sent([(k, _zip(np.diff(have[at], prepend=0), counts[at].astype(np.int32))) for k, at in _by_bucket(_gram_bucket(have, buckets))], part, 0)
+            yield _sent([(k, zip_arrays(np.diff(have[at], prepend=0), counts[at].astype(np.int32))) for k, at in _by_bucket(_gram_bucket(have, buckets))], part, 0)
 
     return run
 
@@ -244,7 +229,7 @@ def _held(batches: Iterator[pa.RecordBatch]) -> dict[int, list[tuple[int, int, b
 def _total_grams(got: list[tuple[int, int, bytes]]):
     keys, counts = [], []
     for _, _, blob in got:
-        k, c = _unzip(blob, np.int64, np.int32)
+        k, c = unzip_arrays(blob, np.int64, np.int32)
         keys.append(np.cumsum(k))
         counts.append(c)
     key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
@@ -253,7 +238,7 @@ def _total_grams(got: list[tuple[int, int, bytes]]):
 
 
 def _total_words(got: list[tuple[int, int, bytes]]):
-    parts = [_unzip(blob, np.int32, np.int32, bytes) for _, _, blob in got]
+    parts = [unzip_arrays(blob, np.int32, np.int32, bytes) for _, _, blob in got]
     sizes = [x[0] for x in parts]
     coded = binary_array(np.frombuffer(b"".join(x[2] for x in parts), np.uint8), np.concatenate(sizes)).dictionary_encode()
     ids = coded.indices.to_numpy(zero_copy_only=False)
@@ -294,7 +279,7 @@ def _answer(buckets: int, shared):
             else:
                 value, inverse, sizes = _total_words(got)
             at = np.append(0, np.cumsum(sizes))
-            blobs = [_zip(value[inverse[a:b]]) for a, b in zip(at[:-1], at[1:], strict=True)]
+            blobs = [zip_arrays(value[inverse[a:b]]) for a, b in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([k] * len(got), pa.int32()), pa.array([x[0] for x in got], pa.int32()), pa.array([x[1] for x in got], pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "part", "seq", "answer"])
 
     return run
@@ -315,7 +300,7 @@ def _score(buckets: int, n: int, v: int):
             have = _distinct(np.append(have, _distinct(grams(*text_buffer(batch.column("text")))[0])))
         value = np.empty(len(have), np.float32)
         for k, at in _by_bucket(_gram_bucket(have, buckets)):
-            value[at] = _unzip(answers.pop((0, k)), np.float32)[0]
+            value[at] = unzip_arrays(answers.pop((0, k)), np.float32)[0]
         for seq, batch in enumerate(pieces):
             key, first = grams(*text_buffer(batch.column("text")))
             order = np.argsort(key)
@@ -328,7 +313,7 @@ def _score(buckets: int, n: int, v: int):
             ids, first, words = _words(batch)
             count = np.empty(len(words), np.int64)
             for k, at in _by_bucket((hash_words(words) % np.uint64(buckets)).astype(np.int64)):
-                count[at] = _unzip(answers.pop((seq, buckets + k)), np.int64)[0]
+                count[at] = unzip_arrays(answers.pop((seq, buckets + k)), np.int64)[0]
             part = np.log10((count + 0.1) / (n + 0.1 * (v + 1)))
             doc = np.repeat(np.arange(batch.num_rows), np.diff(first))
             base = np.bincount(doc, weights=part[ids], minlength=batch.num_rows) + part[-1]

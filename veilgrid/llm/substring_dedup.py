@@ -6,6 +6,10 @@ packed string to the bucket that the minimiser names.  Equal windows have equal
 each bucket can sort its windows alone and see every occurrence of each.  The sort is on a
 64-bit hash, and runs of equal hashes are then compared word by word, so the result is exact.
 
+Super-k-mers that a piece of a partition has several times are settled there: where a smaller
+doc_id of the piece has the same words, all their windows repeat, and only where they stand
+travels on.  A passage that a third of all documents have so reaches its bucket once a piece.
+
 Words that stay keep the white space between them; around a cut, what stood on the side with a line break, or else on the right.
 
 A word goes if some window over it also starts in a document with a smaller doc_id.  Windows
@@ -22,12 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
-from .common import binary_array, encode_words, hash_words, in_arrow, load, mix, parts_for, row_key, single_spaced, spans, steps, text_buffer
+from .common import binary_array, encode_words, hash_words, in_arrow, load, mix, parts_for, row_key, single_spaced, spans, steps, text_buffer, unzip_arrays, zip_arrays
 
 WINDOW, MINIMISER = 13, 3
 _LAST = np.iinfo(np.int64).max
@@ -37,19 +40,6 @@ BUCKET_BYTES, TEXT_BYTES = 1_200_000, 2_000_000
 _PACKED = 2 << 20
 
 
-def _pack(*arrays: np.ndarray | bytes) -> bytes:
-    parts = [x if isinstance(x, bytes) else x.tobytes() for x in arrays]
-    head = np.array([len(x) for x in parts], np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(parts))
-
-
-def _unpack(blob: bytes, n: int) -> list[bytes]:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    sizes = np.frombuffer(raw, np.int64, n)
-    at = 8 * n + np.concatenate([[0], np.cumsum(sizes)])
-    return [raw[at[i] : at[i + 1]] for i in range(n)]
-
-
 def super_kmers(words: np.ndarray, first: np.ndarray, window: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first word, end word, hash of the minimiser) of every super-k-mer; words: a hash each; first: where documents begin, and the end."""
     n = len(words)
@@ -83,7 +73,7 @@ def super_kmers(words: np.ndarray, first: np.ndarray, window: int, m: int) -> tu
     return starts[begin], starts[finish] + window, low[starts[begin]]
 
 
-def _send(window: int, m: int, buckets: int):
+def _send(window: int, m: int, buckets: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, most=_PACKED):
             raw, at = text_buffer(batch.column("text"))
@@ -100,15 +90,26 @@ def _send(window: int, m: int, buckets: int):
             begin, stop, bucket = begin[order], stop[order], bucket[order]
             doc = np.searchsorted(first, begin, side="right") - 1
             doc_id, rid = _ids(batch)
-            a, b = at[begin].tolist(), at[stop].tolist()
-            edges = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
-            out_bucket, out_blob = [], []
-            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                d = doc[lo:hi]
-                packed = b"".join([text[x:y] for x, y in zip(a[lo:hi], b[lo:hi], strict=True)])
-                out_bucket.append(int(bucket[lo]))
-                out_blob.append(_pack(doc_id[d], rid[d], (begin[lo:hi] - first[d]).astype(np.int32), (stop - begin)[lo:hi].astype(np.int32), packed))
-            yield pa.RecordBatch.from_arrays([pa.array(out_bucket, pa.int32()), pa.array(out_blob, pa.binary())], ["bucket", "blob"])
+            a, b = at[begin], at[stop]
+            pieces = [text[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+            same = binary_array(np.frombuffer(b"".join(pieces), np.uint8), b - a).dictionary_encode()
+            code = same.indices.to_numpy(zero_copy_only=False)
+            smallest = np.full(len(same.dictionary), _LAST)
+            np.minimum.at(smallest, code, doc_id[doc])
+            known = doc_id[doc] > smallest[code]
+            out = []
+            if known.any():
+                d = doc[known]
+                for k, blob in _spans_by_part(rid[d], begin[known] - first[d], stop[known] - first[d], parts):
+                    out.append((k % buckets, k, blob))
+            sent = np.flatnonzero(~known)
+            edges = np.append(np.flatnonzero(np.diff(bucket[sent], prepend=-1)), len(sent)).tolist()
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                own = sent[lo:hi]
+                d = doc[own]
+                packed = b"".join([pieces[i] for i in own.tolist()])
+                out.append((int(bucket[own[0]]), None, zip_arrays(np.diff(doc_id[d], prepend=0), np.diff(rid[d], prepend=0), (begin[own] - first[d]).astype(np.int32), (stop - begin)[own].astype(np.int32), packed, level=3)))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], ["bucket", "part", "blob"])
 
     return run
 
@@ -117,6 +118,21 @@ def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return batch.column("doc_id").cast(pa.int64()).fill_null(_LAST).to_numpy(zero_copy_only=False), batch.column("rid").to_numpy(zero_copy_only=False)
 
 
+def _spans_by_part(rid: np.ndarray, lo: np.ndarray, hi: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
+    """(part, packed spans) of ranges of words that go; ranges of a row that touch or overlap become one (each must reach further than the one before it)."""
+    part = np.mod(rid, parts).astype(np.int32)
+    order = np.lexsort((lo, rid, part))
+    rid, lo, hi, part = rid[order], lo[order], hi[order], part[order]
+    new = np.ones(len(rid), bool)
+    new[1:] = (rid[1:] != rid[:-1]) | (lo[1:] > hi[:-1])
+    begin = np.flatnonzero(new)
+    finish = np.append(begin[1:], len(rid)) - 1
+    rid, part, lo, hi = rid[begin], part[begin], lo[begin], hi[finish]
+    edges = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part)).tolist()
+    for x, y in zip(edges[:-1], edges[1:], strict=True):
+        yield int(part[x]), zip_arrays(rid[x:y], lo[x:y].astype(np.int32), hi[x:y].astype(np.int32), level=3)
+
+
 def repeated_windows(ids: np.ndarray, starts: np.ndarray, owner: np.ndarray, window: int) -> np.ndarray:
     """Which of the windows (by first word; owner: its document) also start in a document with a smaller id.  Exact."""
     flags = np.zeros(len(starts), bool)
@@ -165,12 +181,17 @@ def _judge(window: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[bytes]] = defaultdict(list)
         for batch in batches:
-            for k, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist(), strict=True):
-                held[k].append(blob)
+            known = np.asarray(batch.column("part").is_valid())
+            if known.any():
+                settled = batch.filter(pa.array(known))
+                yield pa.RecordBatch.from_arrays([settled.column("part"), settled.column("blob")], ["part", "spans"])
+            for k, part, blob in zip(*(batch.column(c).to_pylist() for c in ("bucket", "part", "blob")), strict=True):
+                if part is None:
+                    held[k].append(blob)
         for k in list(held):
-            got = [_unpack(x, 5) for x in held.pop(k)]
-            doc, rid = (np.frombuffer(b"".join(x[i] for x in got), np.int64) for i in (0, 1))
-            pos, size = (np.frombuffer(b"".join(x[i] for x in got), np.int32).astype(np.int64) for i in (2, 3))
+            got = [unzip_arrays(x, np.int64, np.int64, np.int32, np.int32, bytes) for x in held.pop(k)]
+            doc, rid = (np.concatenate([np.cumsum(x[i]) for x in got]) for i in (0, 1))
+            pos, size = (np.concatenate([x[i] for x in got]).astype(np.int64) for i in (2, 3))
             raw = np.frombuffer(b"".join(x[4] for x in got), np.uint8)
             del got
             ids = _word_ids(raw)
@@ -181,20 +202,10 @@ def _judge(window: int, parts: int):
             inside = np.arange(len(kmer)) - np.repeat(np.cumsum(each) - each, each)
             flags = repeated_windows(ids, first[kmer] + inside, doc[kmer], window)
             hit = np.flatnonzero(flags)
-            if not len(hit):
-                continue
-            key, at = rid[kmer[hit]], pos[kmer[hit]] + inside[hit]
-            part = np.mod(key, parts).astype(np.int32)
-            order = np.lexsort((at, key, part))
-            key, at, part = key[order], at[order], part[order]
-            new = np.ones(len(key), bool)  # a run of windows becomes one span
-            new[1:] = (key[1:] != key[:-1]) | (at[1:] > at[:-1] + window)
-            begin = np.flatnonzero(new)
-            finish = np.append(begin[1:], len(key)) - 1
-            key, part, lo, hi = key[begin], part[begin], at[begin], at[finish] + window
-            edges = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
-            blobs = [_pack(key[x:y], lo[x:y], hi[x:y]) for x, y in zip(edges[:-1], edges[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(part[edges[:-1]], pa.int32()), pa.array(blobs, pa.binary())], ["part", "spans"])
+            if len(hit):
+                at = pos[kmer[hit]] + inside[hit]
+                found = list(zip(*_spans_by_part(rid[kmer[hit]], at, at + window, parts), strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int32()), pa.array(found[1], pa.binary())], ["part", "spans"])
 
     return run
 
@@ -205,8 +216,8 @@ def _apply(with_text: bool):
         for batch in batches:
             has = np.asarray(batch.column("spans").is_valid())
             for blob in batch.column("spans").filter(pa.array(has)).to_pylist():
-                for have, x in zip(found, _unpack(blob, 3), strict=True):
-                    have.append(np.frombuffer(x, np.int64))
+                for have, x in zip(found, unzip_arrays(blob, np.int64, np.int32, np.int32), strict=True):
+                    have.append(x.astype(np.int64))
             rows = batch.filter(pa.array(~has))
             if rows.num_rows:
                 texts.append(rows)
@@ -279,14 +290,17 @@ def _kept_texts(column: pa.Array, raw: np.ndarray, at: np.ndarray, start: np.nda
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIMISER, with_text: bool = True) -> DataFrame:
-    """(rid, doc_id, n_words, n_removed, kept_sha256[, kept_text][, row]) of every row of docs; rid is common.row_key().
+    """(rid, doc_id, n_words, n_removed, kept_sha256[, kept_text][, row]) of every row of docs; rid tells rows apart.
 
-    A struct column `row` of docs is carried along.
+    rid is the doc_id where each row has one of its own, which packs well, and else common.row_key().  A struct column
+    `row` of docs is carried along.
     """
     carried = [c for c in docs.columns if c == "row"]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carried).withColumn("rid", row_key())
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carried)
+    shared = own.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null").limit(1).count()
+    rows = own.withColumn("rid", row_key() if shared else F.col("doc_id"))
     buckets, parts = parts_for(docs.select("text"), BUCKET_BYTES), parts_for(docs.select("text"), TEXT_BYTES)
-    packed = rows.select("doc_id", "text", "rid").transform(in_arrow, _send(window, minimiser, buckets), "bucket int, blob binary").repartitionById(buckets, F.col("bucket"))
+    packed = rows.select("doc_id", "text", "rid").transform(in_arrow, _send(window, minimiser, buckets, parts), "bucket int, part int, blob binary").repartitionById(buckets, F.col("bucket"))
     found = packed.transform(in_arrow, _judge(window, parts), "part int, spans binary")
     texts = rows.select(F.pmod("rid", F.lit(parts)).cast("int").alias("part"), "doc_id", "rid", "text", *carried, F.lit(None).cast("binary").alias("spans"))
     none = [F.lit(None).cast(texts.schema[c].dataType).alias(c) for c in ("doc_id", "rid", "text", *carried)]
