@@ -36,6 +36,8 @@ from .common import in_arrow, load, steps, text_buffer
 
 PER_LANGUAGE, SAMPLE_BYTES = 48, 24_000
 MOST_LANGUAGES = 1024
+#: Blocks that the keys of a language are ranked in first.
+BLOCKS = 64
 #: What the tables of all automata weigh at most; they are broadcast.
 MODEL_BYTES = 256 << 20
 UND = "und"
@@ -213,7 +215,10 @@ def sample(docs: DataFrame, train: F.Column, per_language: int = PER_LANGUAGE, s
     rows = docs.select("doc_id", "text", "lang").filter(train & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     size = F.octet_length("text")
     keys = rows.select("lang", F.when(size.between(200, 4000), 0).otherwise(1).alias("odd"), F.xxhash64("text").alias("h"))
-    best = keys.distinct().withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("odd", "h"))).filter(F.col("n") <= per_language)
+    # first within blocks of each language, so that no task ranks all of its keys; what is left is bounded
+    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("odd", "h"))
+    few = keys.distinct().withColumn("n", rank("lang", F.pmod("h", F.lit(BLOCKS)))).filter(F.col("n") <= per_language)
+    best = few.withColumn("n", rank("lang")).filter(F.col("n") <= per_language)
     named = [r["lang"] for r in rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect()]
     if len(named) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages are labelled")
