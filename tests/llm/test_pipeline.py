@@ -62,3 +62,18 @@ def test_language_stage_names_the_language(spark):
     texts = ["der hund und die katze " * 8, "the dog and the cat " * 8, "der hund und die maus", None]
     docs = spark.createDataFrame([(i, t, [None, "en", "de", "de"][i], "s", None, "own", 7, "own") for i, t in enumerate(texts)], SCHEMA)
     assert {x.doc_id: x.lang for x in corpus_pipeline.identify_language(spark, docs, "").collect()} == {0: "de", 1: "en", 2: "de"}
+
+
+def test_run_leaves_its_last_table_only(spark, tmp_path, monkeypatch):
+    import os
+
+    monkeypatch.setattr(corpus_pipeline, "shared_dir", lambda _: str(tmp_path / "own"))
+    from veilgrid.llm import common
+
+    monkeypatch.setattr(common, "shared_dir", lambda _: str(tmp_path / "own"))
+    words = [" ".join(f"{k}{i}" for i in range(30)) for k in "abc"]
+    spark.createDataFrame([(i, t, "en", "s", 5, "own", 7, "own") for i, t in enumerate([*words, words[0]])], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "no such words")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert sorted(x.doc_id for x in corpus_pipeline.run(spark, str(tmp_path)).collect()) == [0, 1, 2]
+    left = os.listdir(tmp_path / "own")
+    assert len(left) == 1 and os.listdir(tmp_path / "own" / left[0]) == ["4-byte_bpe"]

@@ -335,3 +335,19 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS
 
 def op2_dart_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_classes(load(spark, sf_dir, "documents"))
+
+
+#: Every pair that shares a shingle, so for small tables only.
+SQL = r"""
+WITH RECURSIVE d AS (SELECT min(doc_id) id, text FROM documents WHERE text IS NOT NULL GROUP BY text),
+w AS (SELECT id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') ws FROM d),
+g AS (SELECT id, ws, unnest(generate_series(1, greatest(len(ws) - 4, 1))) i FROM w WHERE len(ws) > 0),
+s AS (SELECT id, array_to_string(ws[i:i+4], ' ') k, count(*) c FROM g GROUP BY ALL),
+z AS (SELECT id, sum(c) n FROM s GROUP BY id),
+p AS (SELECT a.id a, b.id b, sum(least(a.c, b.c)) m FROM s a JOIN s b ON a.k = b.k AND a.id < b.id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN z x ON x.id = a JOIN z y ON y.id = b WHERE 10 * m >= 8 * (x.n + y.n - m)),
+l AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT id, id c FROM d UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.id),
+k AS (SELECT id, min(c) c FROM r GROUP BY id)
+SELECT doc_id, coalesce(c, doc_id)::BIGINT AS class_id FROM documents LEFT JOIN d USING (text) LEFT JOIN k USING (id)
+"""

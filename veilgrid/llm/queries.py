@@ -17,6 +17,7 @@ QUERIES = {
     "op10_byte_bpe_rank_queue": bpe.op10_byte_bpe_rank_queue,
 }
 ORACLES = {
+    "op2_dart_minhash_near_dedup": near_dedup.SQL,
     "op4_token_rollup": token_rollup.SQL,
     "op5_super_kmer_dedup": substring_dedup.SQL,
     "op8_benchmark_fm_index": decontaminate.SQL,
