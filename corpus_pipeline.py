@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilgrid.llm import bpe, decontaminate, language_id, near_dedup, substring_dedup
-from veilgrid.llm.common import as_row, from_row, load, shared_dir
+from veilgrid.llm.common import as_row, from_row, load, remove, shared_dir, swept
 
 #: No stage but the last can be told in SQL as a whole; tests hold the chain against plain Python.
 ORACLE_SQL = None
@@ -67,10 +67,14 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents")
+    """Rows of the last stage; what stages left in the shared folder is removed as soon as the next one is written."""
+    docs, last = load(spark, sf_dir, "documents"), None
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{i}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with swept(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if last is not None:
+            remove(spark, last)
+        docs, last = spark.read.parquet(path), path
     return docs
