@@ -615,3 +615,24 @@ def test_rollup_folds_and_two_writers_count_once(spark, tmp_path):
     assert rollup.apply("gone", token_rollup.deletes(docs, "v1", token_rollup.word_count())) and total() == {}
     rollup.compact()
     assert total() == {} and rollup.apply("again", change) and total() == before
+
+
+def test_link_finds_links_between_members_that_represent_nothing():
+    """Sets around several centres, some of them on the way from one to another."""
+    r = random.Random(1)
+    for _ in range(20):
+        sets, bases = [], [[r.randrange(10**9) for _ in range(40)] for _ in range(r.randint(1, 3))]
+        for _ in range(r.randint(2, 40)):
+            s = list(r.choice(bases))
+            for i in r.sample(range(40), r.choice([0, 1, 2, 3, 4, 6, 8, 10])):
+                s[i] = r.randrange(10**9) if r.random() < 0.7 else r.choice(bases)[i]
+            if r.random() < 0.3:
+                bases[r.randrange(len(bases))] = s
+            sets.append(np.array(sorted(set(s)), np.uint64))
+        want = np.arange(len(sets))
+        for i in range(len(sets)):
+            for j in range(i):
+                common = len(np.intersect1d(sets[i], sets[j]))
+                if common / (len(sets[i]) + len(sets[j]) - common) >= 0.8 - 1e-12 and want[i] != want[j]:
+                    want[want == max(want[i], want[j])] = min(want[i], want[j])
+        assert near_dedup.link(np.arange(len(sets)), [s.tobytes() for s in sets], 0.8).tolist() == want.tolist()

@@ -9,10 +9,12 @@ limit throw again, so the work is the text's length plus the signature's.
 
 Equal texts are joined first, and only one of each goes on.  Texts that agree on a band are
 linked to the band's least, and the components of these links are verified exactly: within a
-component, a representative is compared with every member; members within the similarity join it,
-and by the triangle inequality of Jaccard distance a member can only have further links across two
-groups if it is within twice the distance of both representatives, so just such members become
-representatives too.  Every link between candidates is thus found without comparing all pairs.
+component, a representative is compared with every member, and members within the similarity join
+it.  A link that is not found so stands between members of two groups that are no representatives
+themselves, and by the triangle inequality of Jaccard distance each is within twice the distance of the other's
+representative; just such members of one of the two groups, the one that has fewer, become representatives too.
+Every link between candidates is thus found without comparing all pairs.  Members whose shingles
+most others share come first, as they have the largest groups.
 Components of up to ALONE_BYTES of shingles are verified in one task, larger ones by rounds over
 all tasks.
 
@@ -154,30 +156,43 @@ def distances(rep: np.ndarray, units: np.ndarray, first: np.ndarray) -> np.ndarr
 def link(ids: np.ndarray, sets: list[bytes], similarity: float) -> np.ndarray:
     """The least linked id of each member of one component; exact."""
     arrays = [np.frombuffer(x, np.uint64) for x in sets]
-    first = np.append(0, np.cumsum([len(x) for x in arrays]))
-    units = np.concatenate(arrays)
+    size = np.array([len(x) for x in arrays])
+    first = np.append(0, np.cumsum(size))
+    _, of, counts = np.unique(np.concatenate(arrays), return_inverse=True, return_counts=True)
+    central = np.add.reduceat(counts[of].astype(float), first[:-1]) / size
+    turn = np.argsort(-central, kind="stable")  # members in the order that they may represent in
+    at_turn = np.argsort(turn)
     far = 1 - similarity + 1e-12
     label = np.arange(len(ids))
-    waiting, done = np.ones(len(ids), bool), np.zeros(len(ids), bool)
-    reps: list[tuple[int, np.ndarray, np.ndarray]] = []  # who, the members within twice the distance, how far they are
-    while waiting.any():
-        r = int(np.flatnonzero(waiting)[0])
+    waiting, done, of_rep = np.ones(len(ids), bool), np.zeros(len(ids), bool), np.zeros(len(counts), bool)
+    reps: list[tuple[int, np.ndarray, np.ndarray]] = []  # who has near members that are none, the members within twice the distance, how far they are
+    while waiting.any() and (label != label[0]).any():
+        r = int(turn[at_turn[waiting].min()])
         waiting[r] = False
         done[r] = True
-        d = distances(arrays[r], units, first)
+        own = of[first[r] : first[r + 1]]
+        of_rep[own] = True
+        common = np.add.reduceat(of_rep[of].astype(np.int64), first[:-1])
+        of_rep[own] = False
+        d = 1 - common / (size + size[r] - common)
         near = np.flatnonzero(d <= far)
         waiting[near] = False
         joined = np.isin(label, label[near])
         label[joined] = label[joined].min()
+        if done[near].all():
+            continue  # all links of it and of its near members are known
         around = np.flatnonzero(d <= 2 * far)
-        reps.append((r, around, d[around]))
-        # a member of another group within twice the distance may link to a member of this one
+        # members of another group and of this one may be linked, if neither is a representative
         for q, at, e in reps:
             if label[q] != label[r]:
                 x = d[at]
-                maybe = at[(x <= far) | (e <= far) & (x <= 2 * far)]
-                waiting[maybe[~done[maybe]]] = True
-    return np.array([ids[label == x].min() for x in label])
+                here, there = (at[(a <= far) & (b <= 2 * far) & ~done[at]] for a, b in ((x, e), (e, x)))
+                if len(here) and len(there):
+                    waiting[here if len(here) <= len(there) else there] = True
+        reps.append((r, around, d[around]))
+    least = np.full(len(ids), np.iinfo(np.int64).max)
+    np.minimum.at(least, label, ids)
+    return least[label]
 
 
 def _alone(similarity: float):
@@ -234,10 +249,11 @@ def _large(members: DataFrame, similarity: float) -> DataFrame:
     while True:
         waiting = members.select("component", "id")
         if found is not None:
-            # settled: a representative, or one linked to one, unless it may link two groups
+            # settled: a representative, or one linked to one, unless it may link two groups; a group of representatives only has no unknown links
             group = components(found.filter(F.col("d") <= far).select(F.col("id").alias("a"), F.col("rep").alias("b")), "groups").withColumnRenamed("component", "g")
             of_rep = found.select("rep").distinct().join(group, group["id"] == F.col("rep"), "left").select("rep", F.coalesce("g", "rep").alias("rep_g"))
-            seen = found.join(of_rep, "rep").groupBy("id").agg(F.min("d").alias("d"), F.countDistinct("rep_g").alias("groups"))
+            still_open = found.filter(F.col("d") <= far).join(found.select(F.col("rep").alias("id")).distinct(), "id", "left_anti").select("rep", F.lit(True).alias("open")).distinct()
+            seen = found.join(of_rep, "rep").join(still_open, "rep", "left").groupBy("id").agg(F.min("d").alias("d"), F.countDistinct(F.when(F.col("open") | (F.col("d") <= far), F.col("rep_g"))).alias("groups"))
             settled = seen.filter((F.col("d") <= far) & (F.col("groups") == 1)).select("id").unionByName(found.select(F.col("rep").alias("id"))).distinct()
             waiting = waiting.join(settled, "id", "left_anti")
         chosen = waiting.groupBy("component").agg(F.min("id").alias("id"), *[F.min_by("id", F.xxhash64("id", F.lit(i))).alias(f"r{i}") for i in range(ROUND - 1)])
