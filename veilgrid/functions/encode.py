@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.tables import cut, numbered
-from .intervals import Range, hull, null_sentinel, snap
+from .intervals import Range, checked, hull, null_sentinel, snap
 from .params import ColumnType, column_type
 
 TOP = 0.9999
@@ -95,7 +95,7 @@ def fit(df: DataFrame, value_safe: list[bool] | None = None) -> tuple[list[Encod
         if e.kind is ColumnType.STRING:
             e.high = float(max(0, words[e.name].count() - 1))
         if e.root is None:
-            ends = Range(e.low, e.high) if not e.scaled else Range(0.0, e.high * e.scale - e.low * e.scale if e.high > e.low else 0.0)
+            ends = checked(e.low, e.high) if not e.scaled else Range(0.0, e.high * e.scale - e.low * e.scale if e.high > e.low else 0.0)
             e.sentinel = null_sentinel(ends)
             e.root = snap(hull(*ends, e.sentinel))
     return encoders, words

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.intervals import Range, midpoint
+from ..functions.intervals import Range, holds, in_upper_half, midpoint
 from ..functions.noise import any_low, flat_kinds, hash_strings, hashed_labels, is_low_count, largest_kept, low_count_column, noisy_entities, noisy_row_limit, noisy_rows, signed, unsigned
 from ..functions.params import AnonymizationParams, BucketizationParams
 from ..sources.tables import cut
@@ -238,7 +238,7 @@ class TreeBuilder:
             outside = F.lit(False)
             if len(combo) == 1:
                 r = roots[combo[0]]
-                outside = ~((x[0] >= r.lo) & (x[0] < r.hi))
+                outside = ~holds(F.lit(float(r.lo)), F.lit(float(r.hi)), x[0])
             made.append(F.struct(F.lit(key_of(combo)).alias("combo"), F.array(*[F.lit(0).cast("long") for _ in combo]).alias("cell"), F.array(*x).alias("x"), _literal([float(roots[c].lo) for c in combo]).alias("lo"), _literal([float(roots[c].hi) for c in combo]).alias("hi"), outside.alias("outlier")))
         return self.rows.select("pids", F.explode(F.array(*made)).alias("s")).select("pids", "s.*")
 
@@ -278,8 +278,8 @@ class TreeBuilder:
         splits = level.filter("split").select("combo", "cell", F.col("half_in").alias("_in"))
         on = active.join(splits, ["combo", "cell"])
         bits = []
-        for i, m in enumerate(_mids(k)):
-            bit = F.when(F.col("x")[i] >= m, 1).otherwise(0)
+        for i in range(k):
+            bit = F.when(in_upper_half(F.col("x")[i], F.col("lo")[i], F.col("hi")[i]), 1).otherwise(0)
             if k == 1:  # outliers only go where there is data
                 bit = F.when(F.col("outlier") & (F.col("_in")[0] == 0), 1).when(F.col("outlier") & (F.col("_in")[1] == 0), 0).otherwise(bit)
             bits.append(bit)

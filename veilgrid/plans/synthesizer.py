@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import encode as enc
 from ..functions.intervals import hull, null_sentinel, snap
-from ..functions.noise import hash_string, hashed_ids
+from ..functions.noise import hashed_ids
 from ..functions.params import AnonymizationParams, BucketizationParams, ColumnType, SuppressionParams, column_positions
 from ..operators.harvest import harvest
 from ..operators.measures import entropy as measure_entropy
@@ -228,7 +228,3 @@ def stitch(left: DataFrame, right: DataFrame, shared: bool = True) -> DataFrame:
         out = stitch_rows(l, r, columns, StitchOwner.SHARED if shared else StitchOwner.LEFT)
     types = {f.name: f.dataType for f in [*right.schema, *left.schema]}
     return out.select(*[F.col(f"v{i}").cast(types[c]).alias(c) for i, c in enumerate(names)])
-
-
-def entropy_seed(text: str) -> int:
-    return hash_string(text)
