@@ -636,3 +636,42 @@ def test_link_finds_links_between_members_that_represent_nothing():
                 if common / (len(sets[i]) + len(sets[j]) - common) >= 0.8 - 1e-12 and want[i] != want[j]:
                     want[want == max(want[i], want[j])] = min(want[i], want[j])
         assert near_dedup.link(np.arange(len(sets)), [s.tobytes() for s in sets], 0.8).tolist() == want.tolist()
+
+
+def test_null_ids_repeated_rows_and_empty_tables(spark):
+    """What the docstrings define, for the operators that no other test asks."""
+    texts, ids = ["some words here", "some words here", None, "", "other words"], [3, 3, None, 3, None]
+    rows, none = frame(spark, texts, ids), frame(spark, texts, ids).limit(0)
+
+    shards = sharding.shard_rows(rows, 2).collect()
+    assert len(shards) == 5 and {x.text_crc32 for x in shards} == {zlib.crc32((t or "").encode()) for t in texts}
+    assert all(sorted(x.slot for x in shards if x.shard == s) == list(range(sum(x.shard == s for x in shards))) for s in (0, 1))
+
+    model = language_id.fit(rows, F.lit(True))
+    assert [x.lang_pred for x in language_id.predict(rows.select("text"), model).collect()] == ["en", "en", "und", "und", "en"]
+
+    scored = sorted(map(str, context_tree.score_texts(rows, F.lit(True)).collect()))
+    assert len(scored) == 5 and scored.count(str(next(x for x in scored if "n_tokens=4" in x))) == 2
+    assert context_tree.score_texts(none, F.lit(True)).count() == 0
+
+    labels = spark.createDataFrame([(3, 1), (3, 0), (None, 1)], "doc_id long, toxic int")
+    learnt = toxicity.learn(rows, labels, F.lit(True))
+    assert [x.score for x in toxicity.score(rows.select("text"), learnt).collect()] == [0.0] * 5  # no row of the other label
+    assert toxicity.score(none.select("text"), toxicity.learn(none, labels, F.lit(True))).count() == 0
+
+    kept = quality_rules.judge(rows.withColumn("source", F.lit(None).cast("string"))).collect()
+    assert len(kept) == 5 and not any(x.kept for x in kept) and quality_rules.judge(none).count() == 0
+
+    digests = bpe.digests(rows).collect()
+    assert len(digests) == 5 and sorted(x.n_tokens for x in digests)[:2] == [0, 0] and len({x.ids_sha256 for x in digests}) == 3
+    assert bpe.digests(none).count() == 0 and bpe.encode(none).count() == 0
+
+
+def test_very_long_texts_are_one_text_to_every_operator(spark):
+    long = " ".join(f"k{i % 9_000}" for i in range(1_500_000))
+    docs = frame(spark, [long, long + " end", "k1 k2 k3"])
+    assert {x.doc_id: x.class_id for x in near_dedup.near_classes(docs).collect()} == {0: 0, 1: 0, 2: 2}
+    lexicon = toxicity.Lexicon({"k8999$": 2.0, "zugdorf": 2.0})
+    got = {x.doc_id: x.score for x in toxicity.score(docs.select("doc_id", "text"), (lexicon, np.array([-1.0, *[1.0] * len(toxicity.FEATURES)]))).collect()}
+    assert got[0] == pytest.approx(got[1]) and got[0] > got[2]
+    assert {x.doc_id: x.n_tokens for x in context_tree.score_texts(docs, F.lit(True)).collect()} == {0: 1_500_001, 1: 1_500_002, 2: 4}
