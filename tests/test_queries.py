@@ -15,7 +15,7 @@ def test_query_agrees_with_sql(spark, name):
     want, got = db.sql(catalog.ORACLES[name]).df(), catalog.QUERIES[name](spark, SF).toPandas()
     columns = sorted(want.columns)
     assert sorted(got.columns) == columns
-    rows = lambda df: sorted(tuple(round(float(x), 5) if isinstance(x, (int, float)) or getattr(x, "dtype", None) is not None and x.dtype.kind in "if" else str(x) for x in r) for r in df[columns].itertuples(index=False))
+    rows = lambda df: sorted(tuple(round(float(x), 5) if isinstance(x, (int, float)) or getattr(x, "dtype", None) is not None and x.dtype.kind in "if" else str(x) for x in r) for r in df[columns].fillna(-1e9).itertuples(index=False))
     assert rows(got) == rows(want)
 
 
