@@ -638,6 +638,48 @@ def test_link_finds_links_between_members_that_represent_nothing():
         assert near_dedup.link(np.arange(len(sets)), [s.tobytes() for s in sets], 0.8).tolist() == want.tolist()
 
 
+def star(n, seed=5):
+    """Texts with more and more edits of one: the first are linked to it, the others to nothing, but all are candidates."""
+    r = random.Random(seed)
+    base = [f"b{i}" for i in range(120)]
+    texts = []
+    for i in range(n):
+        w = list(base)
+        for j in r.sample(range(120), 1 + i % 9):
+            w[j] = f"q{r.randrange(10**9)}"
+        texts.append(" ".join(w))
+    return texts
+
+
+def test_a_large_component_of_unlinked_members_takes_few_rounds(spark, monkeypatch):
+    """Blocks of few rows, so that pairs of blocks are compared; each unlinked member used to be a representative, 16 a round."""
+    texts = star(240)
+    rounds, cut = [], near_dedup.cut
+
+    def counted(df, name="cut"):
+        rounds.append(name)
+        if rounds.count("round") > 4:
+            raise AssertionError("too many rounds")
+        return cut(df, name)
+
+    for name, x in (("ALONE_BYTES", 0), ("BLOCK_ROWS", 50), ("ROUND", 3), ("cut", counted)):
+        monkeypatch.setattr(near_dedup, name, x, raising=False)
+    got = {x.doc_id: x.class_id for x in near_dedup.near_classes(frame(spark, texts)).collect()}
+    want = brute_classes(texts, range(len(texts)))
+    assert got == want and 50 < len(set(want.values())) < 200 and "links" in rounds
+
+
+@pytest.mark.parametrize("columns, listed", [(4096, 1 << 21), (3, 5)])
+def test_shared_units_are_counted_whether_frequent_or_rare(monkeypatch, columns, listed):
+    monkeypatch.setattr(near_dedup, "_COLUMNS", columns)
+    monkeypatch.setattr(near_dedup, "_LISTED", listed)
+    r = random.Random(6)
+    sets = [sorted({*r.sample(range(20), r.randint(0, 15)), *r.sample(range(20, 3000), 60)}) for _ in range(70)]
+    first = np.append(0, np.cumsum([len(s) for s in sets]))
+    got = near_dedup.shared_units(np.concatenate(sets).astype(np.int64), first, 3000, (0, 30), (25, 70))
+    assert got.tolist() == [[len({*a} & {*b}) for b in sets[25:70]] for a in sets[:30]]
+
+
 def test_null_ids_repeated_rows_and_empty_tables(spark):
     """What the docstrings define, for the operators that no other test asks."""
     texts, ids = ["some words here", "some words here", None, "", "other words"], [3, 3, None, 3, None]

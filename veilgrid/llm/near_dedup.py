@@ -16,7 +16,9 @@ representative; just such members of one of the two groups, the one that has few
 Every link between candidates is thus found without comparing all pairs.  Members whose shingles
 most others share come first, as they have the largest groups.
 Components of up to ALONE_BYTES of shingles are verified in one task, larger ones by rounds over
-all tasks.
+all tasks.  Where many members are linked to nothing each would have to represent itself, so the
+rounds end when one settles few; the members left over are compared with all others then, block by
+block, which finds every link that the rounds have not.
 
 A text is known in the graph by a number of its own, never by a doc_id.  Rows of one doc_id with
 several texts join the classes of these.
@@ -44,8 +46,12 @@ BANDS, ROWS = 32, 6
 ALONE_BYTES = 8 << 20
 #: Representatives of one component compared in one round over all tasks.
 ROUND = 16
-#: What the representatives of one round weigh at most (and one more); those left over are chosen again.
-ROUND_BYTES = 64 << 20
+#: Another round follows as long as one leaves no more than this share of the members that waited.
+SETTLES = 0.75
+#: What a block of a large component weighs and has of rows, about; blocks are compared by pairs.
+BLOCK_BYTES, BLOCK_ROWS = 8 << 20, 4096
+#: Rows and columns of the matrices that count common units, pairs listed at once.
+_TILE, _COLUMNS, _LISTED = 1024, 4096, 1 << 21
 _STEP = 2 << 20
 
 
@@ -217,59 +223,168 @@ def _alone(similarity: float):
     return run
 
 
-def _round(shared, similarity: float):
-    """Distances of each member to its component's representatives of this round."""
+def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[tuple, list[bool], np.ndarray, np.ndarray, np.ndarray]]:
+    """Neighbouring rows of one key: the key, each row's `left`, its id, all rows' units and where each row's begin."""
+    now, left, ids, sets = None, [], [], []
+
+    def ended():
+        return now, left, np.array(ids, np.int64), np.frombuffer(b"".join(sets), np.uint64), np.append(0, np.cumsum([len(x) // 8 for x in sets]))
+
+    for batch in batches:
+        rows = zip(*(batch.column(x).to_pylist() for x in (*keys, "left", "id", "units")), strict=True)
+        for *key, is_left, i, u in rows:
+            if key != now and ids:
+                yield ended()
+                left, ids, sets = [], [], []
+            now = key
+            left.append(is_left)
+            ids.append(i)
+            sets.append(u)
+    if ids:
+        yield ended()
+
+
+def _round(similarity: float):
+    """Distances of the members of each block to its component's representatives of this round, which come first."""
+    far = 1 - similarity + 1e-12
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reps: dict[int, list[tuple[int, bytes]]] = shared.value
-        far = 1 - similarity + 1e-12
-        for batch in batches:
-            arrays = [np.frombuffer(x, np.uint64) for x in batch.column("units").to_pylist()]
-            component, ids = batch.column("component").to_numpy(), batch.column("id").to_numpy()
-            out = [[], [], [], []]
-            for c in np.unique(component).tolist():
-                own = np.flatnonzero(component == c)
-                first = np.append(0, np.cumsum([len(arrays[i]) for i in own]))
-                units = np.concatenate([arrays[i] for i in own])
-                for r, rep in reps.get(c, ()):
-                    d = distances(np.frombuffer(rep, np.uint64), units, first)
-                    keep = np.flatnonzero(d <= 2 * far)
-                    for have, x in zip(out, (np.full(len(keep), c), ids[own[keep]], np.full(len(keep), r), d[keep]), strict=True):
-                        have.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else [], t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], ["component", "id", "rep", "d"])
+        for _, left, ids, units, first in _groups(batches, ("component", "block")):
+            n = sum(left)
+            for r in range(n):
+                d = distances(units[first[r] : first[r + 1]], units[first[n] :], first[n:] - first[n])
+                keep = np.flatnonzero(d <= 2 * far)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[n:][keep]), pa.array(np.full(len(keep), ids[r])), pa.array(d[keep])], ["id", "rep", "d"])
+
+    return run
+
+
+def shared_units(of: np.ndarray, first: np.ndarray, n: int, a: tuple[int, int], b: tuple[int, int]) -> np.ndarray:
+    """How many of n numbered units each set from a[0] to a[1] has in common with each from b[0] to b[1].
+
+    Units of many sets are counted by products of matrices, those of few by listing the pairs that have them.
+    """
+    sides = [(of[first[x] : first[y]], np.repeat(np.arange(y - x), np.diff(first[x : y + 1]))) for x, y in (a, b)]
+    rows = [y - x for x, y in (a, b)]
+    often = [np.bincount(u, minlength=n) for u, _ in sides]
+    pairs = often[0] * often[1]
+    many = pairs * 256 > rows[0] * rows[1]
+    out = np.zeros(rows, np.float32 if len(of) < 1 << 24 else np.float64)
+    place = np.cumsum(many) - 1
+    dense = [(place[u[many[u]]], r[many[u]]) for u, r in sides]
+    for at in range(0, int(many.sum()), _COLUMNS):
+        width = min(_COLUMNS, int(many.sum()) - at)
+        parts = []
+        for (u, r), size in zip(dense, rows, strict=True):
+            here = (u >= at) & (u < at + width)
+            parts.append(np.zeros((size, width), out.dtype))
+            parts[-1][r[here], u[here] - at] = 1
+        out += parts[0] @ parts[1].T
+    few = (pairs > 0) & ~many
+    u, r = (x[few[sides[0][0]]] for x in sides[0])
+    v, q = (x[few[sides[1][0]]] for x in sides[1])
+    order = np.argsort(v, kind="stable")
+    q, begin = q[order], np.searchsorted(v[order], u)  # each unit of a stands with the run of b's rows that have it
+    run = often[1][u]
+    total = np.append(0, np.cumsum(run))
+    flat = out.reshape(-1)
+    at = 0
+    while at < len(u):
+        to = max(at + 1, int(np.searchsorted(total, total[at] + _LISTED, side="right")) - 1)
+        each = run[at:to]
+        nth = np.arange(total[to] - total[at]) - np.repeat(total[at:to] - total[at], each)
+        flat += np.bincount(np.repeat(r[at:to], each) * rows[1] + q[np.repeat(begin[at:to], each) + nth], minlength=len(flat)).astype(out.dtype)
+        at = to
+    return out
+
+
+def joined(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The labels after joining those of i and j, pair by pair; a label is the least place that has it."""
+    while True:
+        low, high = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
+        open_pairs = low != high
+        if not open_pairs.any():
+            return label
+        up = np.arange(len(label))
+        np.minimum.at(up, high[open_pairs], low[open_pairs])
+        while (up != up[up]).any():
+            up = up[up]
+        label = up[label]
+
+
+def _pairs(similarity: float):
+    """Of two blocks, links that join all that are linked from one to the other (within it, for a block and itself)."""
+    far = 1 - similarity + 1e-12
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, i, j), left, ids, units, first in _groups(batches, ("component", "i", "j")):
+            n, size = len(ids) if i == j else sum(left), np.diff(first)
+            _, of = np.unique(units, return_inverse=True)
+            vocabulary, label = int(of.max()) + 1, np.arange(len(ids))
+            tiles = [(x, min(x + _TILE, y)) for start, y in ((0, n), (n, len(ids))) for x in range(start, y, _TILE)]
+            for a in tiles:
+                for b in tiles:
+                    if a[0] < n and (b[0] >= a[0] if i == j else b[0] >= n):
+                        common = shared_units(of, first, vocabulary, a, b).astype(np.float64)
+                        d = 1 - common / (size[slice(*a), None] + size[None, slice(*b)] - common)
+                        x, y = np.nonzero(d <= far)
+                        label = joined(label, x + a[0], y + b[0])
+            moved = np.flatnonzero(label != np.arange(len(ids)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[label[moved]])], ["a", "b"])
 
     return run
 
 
-def _large(members: DataFrame, similarity: float) -> DataFrame:
-    """(id, class_id) of the members of components too large for a task, by rounds of representatives."""
-    sc = members.sparkSession.sparkContext
+def _blocks(rows: F.Column, units: F.Column) -> F.Column:
+    return F.ceil(F.greatest(rows / BLOCK_ROWS, units * 8 / BLOCK_BYTES)).cast("int")
+
+
+def _waiting_links(members: DataFrame, waiting: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): what joins the waiting members to all that they are linked to; every pair of blocks, one of them of waiting members, is compared."""
+    rows = members.select("component", "id", "units").join(waiting.withColumn("w", F.lit(True)), ["component", "id"], "left").withColumn("w", F.coalesce("w", F.lit(False)))
+    rows = cut(rows, "marked")
+    sums = [_blocks(F.coalesce(F.sum(F.when(x, 1)), F.lit(0)), F.coalesce(F.sum(F.when(x, F.octet_length("units") / 8)), F.lit(0))).alias(n) for x, n in ((F.col("w"), "nw"), (~F.col("w"), "ns"))]
+    sizes = cut(rows.groupBy("component").agg(*sums).filter("nw > 0"), "blocks")
+    tasks = sizes.agg(F.sum(F.expr("nw * (nw + 1) / 2 + nw * ns"))).first()[0]
+    own = F.pmod(F.xxhash64("id"), F.greatest(F.when(F.col("w"), F.col("nw")).otherwise(F.col("ns")), F.lit(1))).cast("int") + F.when(F.col("w"), 0).otherwise(F.col("nw"))
+    dealt = rows.join(F.broadcast(sizes), "component").withColumn("own", own)
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("w"), F.col("nw") + F.col("ns")).otherwise(F.col("nw")) - 1)))
+    dealt = dealt.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("left"), "id", "units")
+    parts = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(int(tasks), 100_000))
+    dealt = dealt.repartition(parts, "component", "i", "j").sortWithinPartitions("component", "i", "j", F.desc("left"))
+    return cut(dealt.transform(in_arrow, _pairs(similarity), "a long, b long"), "links")
+
+
+def _large(members: DataFrame, similarity: float, parts: int) -> DataFrame:
+    """(id, class_id) of the members of components too large for a task: rounds of representatives as long as they settle many members, then all links of those left over."""
     far = 1 - similarity + 1e-12
+    sizes = members.groupBy("component").agg(_blocks(F.count("*"), F.sum(F.octet_length("units") / 8)).alias("blocks"))
+    members = cut(members.join(F.broadcast(sizes), "component").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).repartition(parts), "large")
+    waiting, left = members.select("component", "id"), members.count()
     found = None
-    while True:
-        waiting = members.select("component", "id")
-        if found is not None:
-            # settled: a representative, or one linked to one, unless it may link two groups; a group of representatives only has no unknown links
-            group = components(found.filter(F.col("d") <= far).select(F.col("id").alias("a"), F.col("rep").alias("b")), "groups").withColumnRenamed("component", "g")
-            of_rep = found.select("rep").distinct().join(group, group["id"] == F.col("rep"), "left").select("rep", F.coalesce("g", "rep").alias("rep_g"))
-            still_open = found.filter(F.col("d") <= far).join(found.select(F.col("rep").alias("id")).distinct(), "id", "left_anti").select("rep", F.lit(True).alias("open")).distinct()
-            seen = found.join(of_rep, "rep").join(still_open, "rep", "left").groupBy("id").agg(F.min("d").alias("d"), F.countDistinct(F.when(F.col("open") | (F.col("d") <= far), F.col("rep_g"))).alias("groups"))
-            settled = seen.filter((F.col("d") <= far) & (F.col("groups") == 1)).select("id").unionByName(found.select(F.col("rep").alias("id"))).distinct()
-            waiting = waiting.join(settled, "id", "left_anti")
+    while left:
         chosen = waiting.groupBy("component").agg(F.min("id").alias("id"), *[F.min_by("id", F.xxhash64("id", F.lit(i))).alias(f"r{i}") for i in range(ROUND - 1)])
         chosen = chosen.select("component", F.explode(F.array_distinct(F.array("id", *[f"r{i}" for i in range(ROUND - 1)]))).alias("id"))
-        reps: dict[int, list[tuple[int, bytes]]] = {}
-        held = 0
-        for c, i, u in chosen.join(members, ["component", "id"]).select("component", "id", "units").toLocalIterator():
-            reps.setdefault(c, []).append((i, bytes(u)))
-            held += len(u)
-            if held >= ROUND_BYTES:
-                break
-        if not reps:
-            break
-        got = cut(members.transform(in_arrow, _round(sc.broadcast(reps), similarity), "component long, id long, rep long, d double"), "round")
+        reps = members.join(F.broadcast(chosen), ["component", "id"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("left", F.lit(True))
+        names = ["component", "block", "left", "id", "units"]
+        dealt = reps.select(names).unionByName(members.withColumn("left", F.lit(False)).select(names))
+        dealt = dealt.repartition(parts, "component", "block").sortWithinPartitions("component", "block", F.desc("left"))
+        got = cut(dealt.transform(in_arrow, _round(similarity), "id long, rep long, d double"), "round")
         found = got if found is None else found.unionByName(got)
-    group = components(found.filter(F.col("d") <= far).select(F.col("id").alias("a"), F.col("rep").alias("b")), "groups")
+        # settled: a representative, or one linked to one, unless it may link two groups; a group of representatives only has no unknown links
+        group = components(found.filter(F.col("d") <= far).select(F.col("id").alias("a"), F.col("rep").alias("b")), "groups").withColumnRenamed("component", "g")
+        of_rep = found.select("rep").distinct().join(group, group["id"] == F.col("rep"), "left").select("rep", F.coalesce("g", "rep").alias("rep_g"))
+        still_open = found.filter(F.col("d") <= far).join(found.select(F.col("rep").alias("id")).distinct(), "id", "left_anti").select("rep", F.lit(True).alias("open")).distinct()
+        seen = found.join(of_rep, "rep").join(still_open, "rep", "left").groupBy("id").agg(F.min("d").alias("d"), F.countDistinct(F.when(F.col("open") | (F.col("d") <= far), F.col("rep_g"))).alias("groups"))
+        settled = seen.filter((F.col("d") <= far) & (F.col("groups") == 1)).select("id").unionByName(found.select(F.col("rep").alias("id"))).distinct()
+        before, waiting = left, cut(members.select("component", "id").join(settled, "id", "left_anti").select("component", "id"), "waiting")
+        left = waiting.count()
+        if left > SETTLES * before:
+            break
+    links = found.filter(F.col("d") <= far).select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    if left:  # links of settled members to each other are known, so those of the others are all that is missing
+        links = links.unionByName(_waiting_links(members, waiting, similarity))
+    group = components(links, "groups")
     return members.select("id").join(group, "id", "left").select("id", F.coalesce("component", "id").alias("class_id"))
 
 
@@ -307,12 +422,12 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BA
     large = sized.groupBy("component").agg(F.sum("units").alias("units")).filter(F.col("units") * 8 > ALONE_BYTES).select("component", F.lit(True).alias("large"))
     member = cut(member.join(large, "component", "left").select("id", "component", F.coalesce("large", F.lit(False)).alias("large")), "members")
     wanted = member.join(ids, "id").select(F.col("k").alias("_k"), F.col("doc_id").alias("_d"), "id", "component", "large")
-    sets = cut(texts.join(wanted, is_chosen).select("text", "id", "component", "large").transform(in_arrow, _units, "id long, component long, large boolean, units binary"), "units").dropDuplicates(["id"])
+    sets = cut(texts.join(wanted, is_chosen).select("text", "id", "component", "large").transform(in_arrow, _units, "id long, component long, large boolean, units binary"), "units")
     parts = parts_for(docs.select("text"), 8_000_000)
-    alone = sets.filter(~F.col("large")).repartition(parts, "component").sortWithinPartitions("component", "id").select("component", "id", "units").transform(in_arrow, _alone(similarity), "id long, class_id long")
-    whole = sets.filter("large").select("component", "id", "units")
-    if whole.limit(1).count():
-        alone = alone.unionByName(_large(cut(whole.repartition(parts), "large"), similarity))
+    alone = sets.filter(~F.col("large")).dropDuplicates(["id"]).repartition(parts, "component").sortWithinPartitions("component", "id").select("component", "id", "units").transform(in_arrow, _alone(similarity), "id long, class_id long")
+    if member.filter("large").limit(1).count():
+        whole = cut(sets.filter("large").dropDuplicates(["id"]).select("component", "id", "units"), "whole")
+        alone = alone.unionByName(_large(whole, similarity, parts))
     classes = cut(alone.filter("id <> class_id"), "classes")
     same = cut(_same_document(keyed, ids), "same")
     if same.limit(1).count():
