@@ -669,6 +669,29 @@ def test_a_large_component_of_unlinked_members_takes_few_rounds(spark, monkeypat
     assert got == want and 50 < len(set(want.values())) < 200 and "links" in rounds
 
 
+def test_a_component_of_many_short_texts_is_no_single_task(spark, monkeypatch):
+    """However little its texts weigh."""
+    texts, names, cut = star(60), [], near_dedup.cut
+    monkeypatch.setattr(near_dedup, "ALONE_ROWS", 20, raising=False)
+    monkeypatch.setattr(near_dedup, "cut", lambda df, name="cut": (names.append(name), cut(df, name))[1])
+    got = {x.doc_id: x.class_id for x in near_dedup.near_classes(frame(spark, texts)).collect()}
+    assert got == brute_classes(texts, range(len(texts))) and "round" in names
+
+
+def test_blocks_of_many_tiles_are_compared_whole(monkeypatch):
+    monkeypatch.setattr(near_dedup, "_TILE", 7)
+    texts = star(50)
+    units, first = near_dedup.shingles(*text_buffer(pa.array(texts)))
+    sets = [np.sort(units[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
+    label = np.arange(50)
+    for i, j in ((0, 0), (0, 1), (1, 1)):
+        ids = [*range(i * 25, i * 25 + 25), *(range(25, 50) if i != j else ())]
+        rows = {"component": [3] * len(ids), "i": [i] * len(ids), "j": [j] * len(ids), "left": [k // 25 == i for k in ids], "id": ids, "units": [sets[k].tobytes() for k in ids]}
+        for got in near_dedup._pairs(0.8)(iter([pa.RecordBatch.from_pydict(rows)])):
+            label = near_dedup.joined(label, got.column("a").to_numpy(), got.column("b").to_numpy())
+    assert label.tolist() == near_dedup.link(np.arange(50), [s.tobytes() for s in sets], 0.8).tolist() and 1 < len(set(label.tolist())) < 50
+
+
 @pytest.mark.parametrize("columns, listed", [(4096, 1 << 21), (3, 5)])
 def test_shared_units_are_counted_whether_frequent_or_rare(monkeypatch, columns, listed):
     monkeypatch.setattr(near_dedup, "_COLUMNS", columns)

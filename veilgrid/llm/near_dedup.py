@@ -15,8 +15,8 @@ themselves, and by the triangle inequality of Jaccard distance each is within tw
 representative; just such members of one of the two groups, the one that has fewer, become representatives too.
 Every link between candidates is thus found without comparing all pairs.  Members whose shingles
 most others share come first, as they have the largest groups.
-Components of up to ALONE_BYTES of shingles are verified in one task, larger ones by rounds over
-all tasks.  Where many members are linked to nothing each would have to represent itself, so the
+Components of up to ALONE_BYTES of shingles and ALONE_ROWS texts are verified in one task, larger
+ones by rounds over all tasks.  Where many members are linked to nothing each would have to represent itself, so the
 rounds end when one settles few; the members left over are compared with all others then, block by
 block, which finds every link that the rounds have not.
 
@@ -43,7 +43,8 @@ from .graph import components
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 6
-ALONE_BYTES = 8 << 20
+#: A component of up to so much is verified in one task, by a representative for each member that is linked to nothing.
+ALONE_BYTES, ALONE_ROWS = 8 << 20, 4096
 #: Representatives of one component compared in one round over all tasks.
 ROUND = 16
 #: Another round follows as long as one leaves no more than this share of the members that waited.
@@ -419,7 +420,7 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BA
     links = banded.join(least, "band").filter("id <> least").select(F.col("id").alias("a"), F.col("least").alias("b"))
     member = components(links)
     sized = member.join(signed.select("id", "units"), "id")
-    large = sized.groupBy("component").agg(F.sum("units").alias("units")).filter(F.col("units") * 8 > ALONE_BYTES).select("component", F.lit(True).alias("large"))
+    large = sized.groupBy("component").agg(F.sum("units").alias("units"), F.count("*").alias("n")).filter((F.col("units") * 8 > ALONE_BYTES) | (F.col("n") > ALONE_ROWS)).select("component", F.lit(True).alias("large"))
     member = cut(member.join(large, "component", "left").select("id", "component", F.coalesce("large", F.lit(False)).alias("large")), "members")
     wanted = member.join(ids, "id").select(F.col("k").alias("_k"), F.col("doc_id").alias("_d"), "id", "component", "large")
     sets = cut(texts.join(wanted, is_chosen).select("text", "id", "component", "large").transform(in_arrow, _units, "id long, component long, large boolean, units binary"), "units")
