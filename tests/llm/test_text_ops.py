@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilgrid.llm import bpe, context_tree, decontaminate, language_id, near_dedup, quality_rules, sharding, substring_dedup, token_rollup, toxicity
-from veilgrid.llm.common import hash_words, text_buffer
+from veilgrid.llm.common import hash_words, text_buffer, unzip_arrays, zip_arrays
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rid string, part int, bucket string"
@@ -363,6 +363,49 @@ def test_context_tree_grams_are_sent_once_a_partition(monkeypatch):
     assert len(whole) == n and all(cut[i] == pytest.approx(whole[i]) for i in whole)
 
 
+def test_context_tree_scoring_orders_each_text_once(monkeypatch):
+    texts = ["some words", "Other words here", "", "é", "some words"] * 5
+    n = len(texts)
+    columns = {"doc_id": pa.int64(), "text": pa.string(), "train": pa.bool_(), "rid": pa.int64(), "part": pa.int32(), "bucket": pa.int32(), "seq": pa.int32(), "answer": pa.binary()}
+    rows = [dict.fromkeys(columns) | {"doc_id": i, "text": t, "train": True, "rid": i, "part": 0} for i, t in enumerate(texts)]
+    batch = pa.RecordBatch.from_pylist(rows, pa.schema(columns))
+    monkeypatch.setattr(context_tree, "_STEP", 40)
+    answers = []
+    for b in context_tree._send(1)(iter([batch])):
+        for r in b.to_pylist():
+            if r["bucket"] == 0:
+                value = (-(np.cumsum(unzip_arrays(r["blob"], np.int64, np.int32)[0]) % 97)).astype(np.float32)
+            else:
+                value = unzip_arrays(r["blob"], np.int32, np.int32, bytes)[1].astype(np.int64)
+            answers.append(dict.fromkeys(columns) | {"part": 0, "bucket": r["bucket"], "seq": r["seq"], "answer": zip_arrays(value)})
+    both = [batch, pa.RecordBatch.from_pylist(answers, pa.schema(columns))]
+    plain, seen = context_tree.grams, []
+    monkeypatch.setattr(context_tree, "grams", lambda raw, at: seen.append(len(raw)) or plain(raw, at))
+    for least in (0, 1 << 20):
+        monkeypatch.setattr(context_tree, "_RANKED", least, raising=False)
+        seen.clear()
+        got = {r["doc_id"]: r["score"] for b in context_tree._score(1, 10, 5)(iter(both)) for r in b.to_pylist()}
+        assert len(seen) > 1 and sum(seen) == sum(len(t.encode()) for t in texts)
+        for i, t in enumerate(texts):
+            raw = b"\xff" * 6 + "".join(c.lower() if c.isascii() else c for c in t).encode() + b"\xff"
+            keys = [int.from_bytes(raw[j - 6 : j][::-1] + raw[j : j + 1], "big") for j in range(6, len(raw))]
+            assert got[i] == -sum(k % 97 for k in keys)
+
+
+def test_context_tree_orders_and_estimates(monkeypatch):
+    monkeypatch.setattr(context_tree, "_RANKED", 0)
+    r = np.random.default_rng(3)
+    for n, kinds in ((1, 1), (70_000, 500), (200_000, 200_000)):  # in one number, over several blocks, and in too many bits for that
+        key = r.integers(0, 1 << 56, kinds)[r.integers(0, kinds, n)]
+        order, new = context_tree._ordered(key)
+        assert sorted(order.tolist()) == list(range(n)) and (key[order] == np.sort(key)).all()
+        assert (key[order][new] == np.unique(key)).all()
+    counts = np.array([0, 1, 5, 4_094, 4_095, 4_096, 70_000], float)
+    a, b = (x.ravel() for x in np.meshgrid(counts, counts))
+    kt = [math.lgamma(x + 0.5) + math.lgamma(y + 0.5) - math.lgamma(x + y + 1) - math.log(math.pi) for x, y in zip(a, b, strict=True)]
+    assert context_tree.log_kt(a, b) == pytest.approx(kt, rel=1e-9, abs=1e-9)
+
+
 def test_toxicity(spark):
     r = random.Random(8)
     clean = [f"{a}{b}" for a in "ba ko lu me".split() for b in "n r st l".split()]

@@ -37,6 +37,8 @@ _STEP = 6 << 20
 _END = b" "  # no word has a blank
 _NODES = np.array([[1 << j | s >> (8 - j) for j in range(8)] for s in range(256)], np.int64)
 _BITS = np.array([[s >> (7 - j) & 1 for j in range(8)] for s in range(256)], np.int64)
+_RANKED = 1 << 20  # keys from which on a table of 16 million ranks costs less than it spares
+_BLOCK = 1 << 16  # values of a step whose arrays stay below what workers map and unmap each time
 
 
 def lgamma(x: np.ndarray) -> np.ndarray:
@@ -46,26 +48,76 @@ def lgamma(x: np.ndarray) -> np.ndarray:
     return (z - 0.5) * np.log(z) - z + 0.9189385332046727 + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - np.log(down)
 
 
+_FEW = 4096
+_HALF, _WHOLE = lgamma(np.arange(_FEW) + 0.5), lgamma(np.arange(_FEW) + 1.0)
+
+
 def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Natural log of the Krichevsky-Trofimov probability of a zeros and b ones, in any order."""
-    return lgamma(a + 0.5) + lgamma(b + 0.5) - lgamma(a + b + 1) - np.log(np.pi)
+    """Natural log of the Krichevsky-Trofimov probability of a zeros and b ones, in any order: whole numbers, small ones looked up."""
+    out, few = np.empty(a.shape), a + b < _FEW
+    x, y = a[few].astype(np.int64), b[few].astype(np.int64)
+    out[few] = _HALF[x] + _HALF[y] - _WHOLE[x + y] - np.log(np.pi)
+    x, y = a[~few], b[~few]
+    out[~few] = lgamma(x + 0.5) + lgamma(y + 0.5) - lgamma(x + y + 1) - np.log(np.pi)
+    return out
 
 
 def grams(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A key for each byte and end (nearest context byte highest, the symbol lowest), and where each text's begin."""
     n = len(at) - 1
-    size = np.diff(at)
-    s = np.full(len(raw) + n * (DEPTH + 1), 0xFF, np.int64)
-    first = at[:-1] + np.arange(n) * (DEPTH + 1) + DEPTH
-    place = np.arange(len(raw)) + np.repeat(first - at[:-1], size)
-    s[place] = LOWER[raw]
-    key = s.copy()
-    for j in range(1, DEPTH + 1):
-        key[j:] |= s[:-j] << (8 * (DEPTH + 1 - j))
+    s = np.full(len(raw) + n * (DEPTH + 1) + 1, 0xFF, np.uint8)
+    first = at[:-1] + np.arange(n) * (DEPTH + 1) + DEPTH + 1
+    end = first + np.diff(at)
     valid = np.ones(len(s), bool)
-    pad = (first[:, None] - np.arange(1, DEPTH + 1)[None, :]).ravel()
-    valid[pad] = False
-    return key[valid], at[:-1] + np.arange(n)
+    valid[0] = False
+    valid[first[:, None] - np.arange(1, DEPTH + 1)] = False
+    valid[end] = False
+    s[valid] = LOWER[raw]
+    valid[end] = True
+    # the eight bytes that end with a symbol, the nearest context byte as second highest: the symbol moves to the lowest
+    eight = np.ndarray(max(0, len(s) - 7), "<u8", s, strides=(1,))
+    key, to = np.empty(len(raw) + n, np.int64), 0
+    for lo in range(0, len(eight), _BLOCK):
+        x = eight[lo : lo + _BLOCK][valid[lo + 7 : lo + 7 + _BLOCK]].astype(np.uint64)
+        key[to : to + len(x)] = x & np.uint64(0x00FFFFFFFFFFFF00) | x >> np.uint64(56)
+        to += len(x)
+    return key, at[:-1] + np.arange(n)
+
+
+def _argsorted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(key)
+    key = key[order]
+    return order, np.append(True, key[1:] != key[:-1])
+
+
+def _ordered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of keys, and which of the ordered ones differ from the one before.
+
+    Three bytes are ranked by a table, so that mostly a key and its place fit one number: sorting such
+    numbers is several times as fast as np.argsort, which orders the others and few keys."""
+    if len(key) < _RANKED:
+        return _argsorted(key)
+    bits = len(key).bit_length()
+    rank = np.zeros(1 << 24, bool)
+    for lo in range(0, len(key), _BLOCK):
+        x = key[lo : lo + _BLOCK]
+        rank[x >> 32] = True
+        rank[x >> 8 & 0xFFFFFF] = True
+    rank = np.cumsum(rank, dtype=np.int32) - np.int32(1)
+    each = int(rank[-1]).bit_length()
+    if 2 * each + 8 + bits > 63:
+        return _argsorted(key)
+    packed = np.empty(len(key), np.int64)
+    for lo in range(0, len(key), _BLOCK):
+        x = key[lo : lo + _BLOCK]
+        packed[lo : lo + len(x)] = ((rank[x >> 32].astype(np.int64) << each | rank[x >> 8 & 0xFFFFFF]) << 8 | x & 255) << bits | np.arange(lo, lo + len(x))
+    packed.sort()
+    order, new = np.empty(len(key), np.int64 if bits > 31 else np.int32), np.ones(len(key), bool)
+    for lo in range(0, len(key), _BLOCK):
+        x = packed[lo : lo + _BLOCK + 1]
+        order[lo : lo + _BLOCK] = x[:_BLOCK] & ((1 << bits) - 1)
+        new[lo + 1 : lo + _BLOCK + 1] = x[1:] >> bits != x[:-1] >> bits
+    return order, new
 
 
 def _gram_bucket(key: np.ndarray, buckets: int) -> np.ndarray:
@@ -80,7 +132,7 @@ def _distinct(key: np.ndarray) -> np.ndarray:
 
 def _add_up(key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order, and the sum of each one's counts."""
-    order = np.argsort(key)
+    order = np.argsort(key, kind="stable")  # by merging what is in order
     key, count = key[order], count[order]
     begin = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
     return key[begin], np.add.reduceat(count, begin) if len(key) else count
@@ -93,25 +145,22 @@ class Trees:
         seen = count > 0
         key, count = key[seen], count[seen]
         self.levels = {}
-        below = None
+        node = ((key >> 8)[:, None] * 256 + _NODES[key & 255]).ravel()
+        ones = (count[:, None] * _BITS[key & 255]).ravel()
+        total, child = np.repeat(count, 8), None
         for d in range(DEPTH, TOP - 1, -1):
-            node = ((key >> (8 * (DEPTH + 1 - d)))[:, None] * 256 + _NODES[key & 255]).ravel()
-            bit = _BITS[key & 255].ravel()
             ids, inverse = np.unique(node, return_inverse=True)
-            n = np.repeat(count, 8)
-            ones = np.bincount(inverse, weights=n * bit, minlength=len(ids))
-            total = np.bincount(inverse, weights=n, minlength=len(ids))
+            ones = np.bincount(inverse, weights=ones, minlength=len(ids))
+            total = np.bincount(inverse, weights=total, minlength=len(ids))
             own = log_kt(total - ones, ones)
-            if below is None:
+            if child is None:
                 weighted, stay = own, np.ones(len(ids))
             else:
-                deeper, child = below
-                up = np.searchsorted(ids, (deeper >> 16) * 256 + (deeper & 255))
-                children = np.bincount(up, weights=child, minlength=len(ids))
-                weighted = np.logaddexp(own, children) - np.log(2)
+                weighted = np.logaddexp(own, np.bincount(inverse, weights=child, minlength=len(ids))) - np.log(2)
                 stay = np.exp(own - np.log(2) - weighted)
             self.levels[d] = (ids, total - ones, ones, stay)
             below = (ids, weighted)
+            node, child = (ids >> 16) * 256 + (ids & 255), weighted  # of the context one byte shorter
         self.top = below
 
     def log10(self, key: np.ndarray, shallow: Shallow) -> np.ndarray:
@@ -182,7 +231,9 @@ def _send(buckets: int):
             out: list[tuple[int, bytes]] = []
             key, first = grams(*text_buffer(batch.column("text")))
             doc_train = np.repeat(train, np.diff(np.append(first, len(key))))
-            key = np.sort(key * 2 + ~doc_train)
+            key <<= 1
+            key |= ~doc_train
+            key.sort()
             begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             count = np.diff(np.append(begin, len(key)))
             key = key[begin]
@@ -232,9 +283,13 @@ def _total_grams(got: list[tuple[int, int, bytes]]):
         k, c = unzip_arrays(blob, np.int64, np.int32)
         keys.append(np.cumsum(k))
         counts.append(c)
-    key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(inverse, weights=np.concatenate(counts), minlength=len(key))
-    return key, total, inverse, [len(x) for x in keys]
+    key = np.concatenate(keys)
+    order = np.argsort(key, kind="stable")  # by merging what is in order
+    key = key[order]
+    new = np.append(True, key[1:] != key[:-1])
+    begin, inverse = np.flatnonzero(new), np.empty(len(key), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return key[begin], np.add.reduceat(np.concatenate(counts).astype(float)[order], begin), inverse, [len(x) for x in keys]
 
 
 def _total_words(got: list[tuple[int, int, bytes]]):
@@ -274,8 +329,8 @@ def _answer(buckets: int, shared):
             if k < buckets:
                 key, total, inverse, sizes = _total_grams(got)
                 trees, value = Trees(key, total), np.empty(len(key), np.float32)
-                for lo in range(0, len(key), 65536):
-                    value[lo : lo + 65536] = trees.log10(key[lo : lo + 65536], shared.value)
+                for lo in range(0, len(key), _BLOCK // 8):
+                    value[lo : lo + _BLOCK // 8] = trees.log10(key[lo : lo + _BLOCK // 8], shared.value)
             else:
                 value, inverse, sizes = _total_words(got)
             at = np.append(0, np.cumsum(sizes))
@@ -295,21 +350,22 @@ def _score(buckets: int, n: int, v: int):
             for k, seq, blob in zip(*(a.column(c).to_pylist() for c in ("bucket", "seq", "answer")), strict=True):
                 answers[seq, k] = blob
             texts.append(b.filter(pa.array(~has)))
-        pieces, have = list(_pieces(texts)), np.zeros(0, np.int64)
+        pieces, sorts, have = list(_pieces(texts)), [], np.zeros(0, np.int64)
         for batch in pieces:
-            have = _distinct(np.append(have, _distinct(grams(*text_buffer(batch.column("text")))[0])))
+            key, first = grams(*text_buffer(batch.column("text")))
+            order, new = _ordered(key)
+            sorts.append((order, new, key[order[new]], first))
+            have = _distinct(np.append(have, sorts[-1][2]))
         value = np.empty(len(have), np.float32)
         for k, at in _by_bucket(_gram_bucket(have, buckets)):
             value[at] = unzip_arrays(answers.pop((0, k)), np.float32)[0]
         for seq, batch in enumerate(pieces):
-            key, first = grams(*text_buffer(batch.column("text")))
-            order = np.argsort(key)
-            ordered = key[order]
-            new = np.append(True, ordered[1:] != ordered[:-1])
-            each = np.empty(len(key))
-            each[order] = value[np.searchsorted(have, ordered[new])][np.cumsum(new) - 1]
+            order, new, key, first = sorts[seq]
+            sorts[seq] = None
+            each = np.empty(len(order))
+            each[order] = np.repeat(value[np.searchsorted(have, key)], np.diff(np.append(np.flatnonzero(new), len(new))))
             score = np.add.reduceat(each, first)
-            size = np.diff(np.append(first, len(key)))
+            size = np.diff(np.append(first, len(order)))
             ids, first, words = _words(batch)
             count = np.empty(len(words), np.int64)
             for k, at in _by_bucket((hash_words(words) % np.uint64(buckets)).astype(np.int64)):
