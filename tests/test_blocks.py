@@ -54,3 +54,17 @@ def test_outliers_follow_the_ends(spark):
     grid = Grid((0,), [Range(0.0, 1.0)], [(0.3, 0.6)])
     u, top, outlier = grid.place(np.array([[-5.0], [0.4], [7.0]]))
     assert u[:, 0].tolist() == [0.3, 0.4, 0.6] and not top.any() and outlier.tolist() == [True, False, True]
+
+
+def test_rows_counted_at_hand_are_those_of_columns(spark):
+    from veilgrid.functions.noise import KIND, count_rows, flat_kinds, hash_int, noisy_rows, signed, unsigned
+    from veilgrid.functions.params import NOISELESS, AnonymizationParams
+
+    made = []
+    for g in range(1, 40):
+        largest = sorted(((hash_int(g * 100 + i) % (g + 3) + 1, signed(hash_int(g * 100 + i))) for i in range(g)), reverse=True)
+        made.append([(g, sum(n for n, _ in largest), g % 5, signed(hash_int(g)), largest[:10])] * (1 + g % 2))
+    for params in (NOISELESS, AnonymizationParams(salt=b"s")):
+        df = spark.createDataFrame([(i, m) for i, m in enumerate(made)], f"i int, kinds array<{KIND}>")
+        want = [r[0] or 0 for r in df.select("i", noisy_rows(flat_kinds("kinds", params, F.lit(77).cast("long"))).alias("n")).orderBy("i").select("n").collect()]
+        assert [count_rows(params, 77, [(e, r, u, unsigned(s), [n for n, _ in top], [h for _, h in top]) for e, r, u, s, top in m]) for m in made] == want
