@@ -68,3 +68,11 @@ def test_rows_counted_at_hand_are_those_of_columns(spark):
         df = spark.createDataFrame([(i, m) for i, m in enumerate(made)], f"i int, kinds array<{KIND}>")
         want = [r[0] or 0 for r in df.select("i", noisy_rows(flat_kinds("kinds", params, F.lit(77).cast("long"))).alias("n")).orderBy("i").select("n").collect()]
         assert [count_rows(params, 77, [(e, r, u, unsigned(s), [n for n, _ in top], [h for _, h in top]) for e, r, u, s, top in m]) for m in made] == want
+
+
+def test_equal_keys_stitch_as_one_and_stay_whole(spark):
+    from veilgrid.operators.stitch import StitchColumn, assign_cells
+
+    rows = spark.range(64).select((F.col("id") % 2).cast("int").alias("side"), F.col("id").alias("row"), F.array((F.col("id") % 8 / 8).cast("double")).alias("s"))
+    got = assign_cells(rows, [StitchColumn(0, 0.0, 1.0)])
+    assert got.count() == 64 and got.groupBy("s").agg(F.countDistinct("cell").alias("n")).filter("n > 1").count() == 0

@@ -49,14 +49,15 @@ def _alike(a: Column, b: Column) -> Column:
 
 
 def assign_cells(rows: DataFrame, columns: list[StitchColumn]) -> DataFrame:
-    """rows (side, row, s array<double>, ...) with the cell of each."""
+    """rows (side, row, s array<double>, ...) with the cell of each, which follows from s: equal ones of a side go through all levels as one."""
     n = len(columns)
+    grouped = rows.groupBy("side", "s").agg(F.count("*").alias("_n"))
     lo, hi = (F.array(*[F.lit(float(getattr(c, x))) for c in columns]) for x in ("lo", "hi"))
-    active = rows.withColumns({"cell": F.lit(""), "_lo": lo, "_hi": hi, "_next": F.lit(0), "_left": F.lit(n)})
+    active = grouped.withColumns({"cell": F.lit(""), "_lo": lo, "_hi": hi, "_next": F.lit(0), "_left": F.lit(n)})
     units = F.array(*[F.lit(c.unit if c.unit is not None else 0.0) for c in columns])
     tops = F.array(*[F.lit(float(c.top)) for c in columns])
     done: list[DataFrame] = []
-    keep = rows.columns
+    keep = grouped.columns
     step = 0
     while True:
         value, a, b = F.get("s", F.col("_next")), F.get("_lo", F.col("_next")), F.get("_hi", F.col("_next"))
@@ -64,7 +65,7 @@ def assign_cells(rows: DataFrame, columns: list[StitchColumn]) -> DataFrame:
         left = F.col("side") == 0
         cells = active.groupBy("cell").agg(
             *[F.first(c).alias(c) for c in ("_lo", "_hi", "_next", "_left")],
-            *[F.count_if(side & half).alias(name) for name, side, half in (("ll", left, value < mid), ("lu", left, value >= mid), ("rl", ~left, value < mid), ("ru", ~left, value >= mid))],
+            *[F.sum(F.when(side & half, F.col("_n")).otherwise(0)).alias(name) for name, side, half in (("ll", left, value < mid), ("lu", left, value >= mid), ("rl", ~left, value < mid), ("ru", ~left, value >= mid))],
         )
         size, unit = b - a, F.get(units, F.col("_next"))
         over = (F.col("_left") == 0) | (F.col("ll") + F.col("lu") <= 1) | (F.col("rl") + F.col("ru") <= 1)
@@ -92,7 +93,7 @@ def assign_cells(rows: DataFrame, columns: list[StitchColumn]) -> DataFrame:
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
-    return cut(out)
+    return cut(rows.join(cut(out.drop("_n")), ["side", "s"]).select(*rows.columns, "cell"))
 
 
 def _rank(rows: DataFrame, name: str, *order: str) -> DataFrame:
