@@ -76,3 +76,14 @@ def test_equal_keys_stitch_as_one_and_stay_whole(spark):
     rows = spark.range(64).select((F.col("id") % 2).cast("int").alias("side"), F.col("id").alias("row"), F.array((F.col("id") % 8 / 8).cast("double")).alias("s"))
     got = assign_cells(rows, [StitchColumn(0, 0.0, 1.0)])
     assert got.count() == 64 and got.groupBy("s").agg(F.countDistinct("cell").alias("n")).filter("n > 1").count() == 0
+
+
+def test_nearest_has_no_frame_up_to_the_end(spark):
+    from veilgrid.operators.microdata import nearest
+
+    values = spark.range(40).select((F.col("id") * 1.5).alias("v"))
+    safe = spark.range(5).select((F.col("id") * 10.0).alias("x"))
+    out = nearest(values, "v", safe, "w")
+    assert "unboundedfollowing" not in out._jdf.queryExecution().analyzed().toString().lower()
+    rows = out.collect()
+    assert len(rows) == 40 and all(r["w"] == min((abs(r["v"] - x), x) for x in (0.0, 10.0, 20.0, 30.0, 40.0))[1] for r in rows)
